@@ -52,3 +52,10 @@ def sample_kurtosis(x: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
+
+
+def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """Limit to [lo, hi]; null stays null (least and greatest alone would skip it)."""
+    y = x if lo is None else F.greatest(x, F.lit(lo))
+    y = y if hi is None else F.least(y, F.lit(hi))
+    return F.when(x.isNotNull(), y)

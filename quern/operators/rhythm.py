@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.mathx import norm_cdf, sample_skew
+from quern.functions.mathx import clip, norm_cdf, sample_skew
 from quern.functions.ordered import join_keys, quantiles
 from quern.operators.customer import CID, ratio, when_sum
 
@@ -181,7 +181,7 @@ def soft_hit(est: DataFrame) -> DataFrame:
 
 def lognormal(est: DataFrame, sigmas: Sequence[float] = (0.25, 0.5, 0.8)) -> DataFrame:
     """Log-normal probability that the gap ends in the window, plain and given that the pause already lasts r days."""
-    b = F.greatest(F.col("period"), F.lit(1.0))
+    b = clip(F.col("period"), 1.0)
     r = F.col("r").cast("double")
 
     def cdf(x: Column, s: float) -> Column:
@@ -388,7 +388,7 @@ def basket_similar_wait(b: DataFrame, pop: DataFrame) -> DataFrame:
         CID, "wait_mass", "wait_alive", "wait_window",
         (F.col("_avg") - F.col("_mean")).alias("wait_gap_shift"),
         (F.col("_r") - F.col("_avg")).alias("wait_overdue"),
-        F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("wait_share"),
+        clip(share, 0.0, 1.0).alias("wait_share"),
     )
 
 

@@ -115,3 +115,45 @@ TARGET = """target AS (
               AND CAST(o.o_orderdate AS DATE) > p.scoring_date
               AND CAST(o.o_orderdate AS DATE) <= p.scoring_date + p.win_len::INT) THEN 1 ELSE 0 END AS target
   FROM pop p)"""
+
+
+def survey(t: Tables) -> DataFrame:
+    """Orders with customer attributes, holes in some columns and a three-way class."""
+    o, c = t.orders, t.customer
+    k = F.col("o_orderkey")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        k.alias("id"),
+        F.when(k % 13 != 0, F.col("o_totalprice")).alias("total"),
+        F.when(k % 11 != 0, F.col("c_acctbal")).alias("acct"),
+        F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1995-01-01"))).alias("day"),
+        F.when(k % 7 != 0, F.col("c_mktsegment")).alias("seg"),
+        F.col("o_orderpriority").alias("prio"),
+        F.col("c_nationkey").alias("nation"),
+        F.col("o_custkey").alias("cust"),
+        F.col("o_orderstatus").alias("target"),
+    )
+
+
+SURVEY = """survey AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS total,
+         CASE WHEN o_orderkey % 11 <> 0 THEN c_acctbal END AS acct,
+         date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS day,
+         CASE WHEN o_orderkey % 7 <> 0 THEN c_mktsegment END AS seg, o_orderpriority AS prio, c_nationkey AS nation,
+         o_custkey AS cust, o_orderstatus AS target
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+train AS (SELECT * FROM survey WHERE id % 5 <> 0), test AS (SELECT * FROM survey WHERE id % 5 = 0)"""
+CLASSES = ("F", "O", "P")  # fixed values: levels of o_orderstatus
+NUM = ("total", "acct", "day")
+CAT = ("seg", "prio")
+
+
+def splits(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of the survey (four to one by id)."""
+    s = survey(t)
+    return s.where("id % 5 <> 0"), s.where("id % 5 = 0")
+
+
+def sql_long(cols, source: str, keep: str = "", value: str = "x", kind: str = "DOUBLE", name: str = "feature") -> str:
+    """Long form of columns as SQL."""
+    keep = keep + ", " if keep else ""
+    return " UNION ALL ".join(f"SELECT {keep}'{c}' AS {name}, CAST({c} AS {kind}) AS {value} FROM {source}" for c in cols)

@@ -272,7 +272,7 @@ def _(t):
 a AS (SELECT customer_id, max(r) AS r, sum(w) AS wait_mass, coalesce(sum(w) FILTER (gap > r), 0.0) AS wait_alive,
   coalesce(sum(w) FILTER (gap > r + 14 AND gap <= r + 14 + win_len), 0.0) AS wait_window, sum(w * gap) / nullif(sum(w), 0) AS av, avg(gap) AS mn FROM x GROUP BY 1)
 SELECT customer_id, wait_mass, wait_alive, wait_window, round(av - mn, 6) AS wait_gap_shift, round(r - av, 6) AS wait_overdue,
-  least(greatest(wait_window / nullif(wait_alive, 0), 0.0), 1.0) AS wait_share FROM a""",
+  CASE WHEN wait_alive > 0 THEN least(greatest(wait_window / wait_alive, 0.0), 1.0) END AS wait_share FROM a""",
     f="wait_mass wait_alive wait_window wait_gap_shift wait_overdue wait_share",
 )
 def _(t):
