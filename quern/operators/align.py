@@ -28,6 +28,8 @@ def decode(df: DataFrame, entity: str, pos: str, uid: str, cols: Sequence[str],
     """(entity, uid, value): the decoded value of every row. ``payload``: one row (entity, payload) per entity."""
     limit = limit or ROWS_PER_TASK
     rows = df.select(entity, F.col(uid).cast("long").alias("_u"), F.col(pos).cast("double").alias("_p"), *[F.col(c).cast("double").alias(c) for c in cols])
+    # fresh column identities: the payload usually comes from the same table
+    payload = payload.select(F.col(entity).alias("_e"), F.col("payload").alias("_y")).select(F.col("_e").alias(entity), F.col("_y").alias("payload"))
     keytype = dict(df.dtypes)[entity]
     schema = f"`{entity}` {keytype}, _u long, value double"
 
@@ -257,6 +259,7 @@ def match_ncc(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: st
         kt = cand.groupBy(entity).agg(F.max("_kt").alias("_km"))
         left = suffix.join(kt, entity).withColumn("_kt", F.explode(F.sequence(F.lit(0).cast("long"), "_km"))).drop("_km")
         right = cand.join(ht, entity).withColumn("_ht", F.explode(F.sequence(F.lit(0).cast("long"), "_hm"))).drop("_hm")
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh identities for the cogroup
         keytype = dict(p.dtypes)[entity]
 
         def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
