@@ -59,3 +59,8 @@ def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
     y = x if lo is None else F.greatest(x, F.lit(lo))
     y = y if hi is None else F.least(y, F.lit(hi))
     return F.when(x.isNotNull(), y)
+
+
+def micros(col: str) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})")

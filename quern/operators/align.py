@@ -141,10 +141,10 @@ def _grid(payload, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["x"] for r in g], float), np.array([[r[c] for c in cols] for r in g], float)
 
 
-def dtw(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, cols: Sequence[str], ridge: str, step: float, max_step: int = 3, band: float = 80.0, limit: int | None = None) -> DataFrame:
+def dtw(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, cols: Sequence[str], ridge: str, step: float, max_step: int = 3, band: float = 80.0, limit: int | None = 20_000) -> DataFrame:
     """Monotone path over the reference grid with at most ``max_step`` grid steps per row.
 
-    Cost: capped squared feature distance, a pull to the ridge line, a squared step penalty. Payload fields:
+    A task holds rows x grid numbers, hence the lower row limit. Cost: capped squared feature distance, a pull to the ridge line, a squared step penalty. Payload fields:
     grid, start (grid position before the first row), direction (+1 or -1).
     """
 
@@ -189,7 +189,7 @@ def dtw(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, co
     return decode(rows, entity, pos, uid, [*cols, ridge], payload, lambda p, s, d: sweep(p, s, d)[1], backward, limit)
 
 
-def beam(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, col: str, width: int = 12, radius: int = 2, penalty: float = 8.0, scale: float = 80.0, limit: int | None = None) -> DataFrame:
+def beam(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, col: str, width: int = 12, radius: int = 2, penalty: float = 8.0, scale: float = 80.0, limit: int | None = 200_000) -> DataFrame:
     """Beam search over grid positions: squared value error plus a penalty per grid step; best ``width`` paths kept."""
     moves = np.arange(-radius, radius + 1)
 

@@ -300,7 +300,12 @@ def best_per_key(df: DataFrame, key: str, score: str, name: str, higher: str) ->
     )
 
 
-def top_k_recall(df: DataFrame, recommended: str, actual: str, k: int = 6) -> DataFrame:
-    """Share of the actual items found among the first k recommendations, and its mean over rows."""
-    hits = F.size(F.array_intersect(F.slice(F.col(recommended), 1, k), F.col(actual)))
-    return df.withColumn("recall", hits / F.nullif(F.size(F.array_distinct(F.col(actual))), F.lit(0)))
+def top_k_recall(actual: DataFrame, recommended: DataFrame, keys: Sequence[str], item: str, rank: str, k: int = 6) -> DataFrame:
+    """Share of each row's distinct items found among the first k recommendations.
+
+    Long rows on both sides: actual (keys, item), recommended (item, rank), with the keys too if lists differ per key.
+    """
+    on = [c for c in (*keys, item) if c in recommended.columns]
+    hits = recommended.where(F.col(rank) <= k).select(*on).distinct().withColumn("_h", F.lit(1))
+    rows = actual.select(*keys, item).distinct().join(hits, on, "left")
+    return rows.groupBy(*keys).agg((F.count("_h") / F.count(F.lit(1))).alias("recall"))

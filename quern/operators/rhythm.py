@@ -192,7 +192,7 @@ def lognormal(est: DataFrame, sigmas: Sequence[float] = (0.25, 0.5, 0.8)) -> Dat
         tag = str(s).replace(".", "")
         win = cdf(r + F.col("hi"), s) - cdf(r + F.col("lo"), s)
         alive = F.greatest(1 - cdf(r, s), F.lit(1e-6))
-        cols += [win.alias(f"win_{tag}"), (win / alive).alias(f"win_alive_{tag}")]
+        cols += [win.alias(f"win_{tag}"), alive.alias(f"alive_{tag}"), (win / alive).alias(f"win_alive_{tag}")]
     hidden = (cdf(r + F.col("lo"), 0.5) - cdf(r, 0.5)) / F.greatest(1 - cdf(r, 0.5), F.lit(1e-6))
     return est.select(CID, "hist", "est", *cols, hidden.alias("hidden_alive_05"))
 

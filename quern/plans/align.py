@@ -7,7 +7,13 @@ from quern.plans.series import lc, prefix
 from quern.registry import query
 
 
-@query("ts_step_limit")
+@query(
+    "ts_step_limit",
+    """WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r(user_id, event_id, rn, value) AS (SELECT user_id, event_id, rn, value FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.event_id, s.rn, r.value + least(greatest(s.value - r.value, -2.5), 2.5) FROM r JOIN s ON s.user_id = r.user_id AND s.rn = r.rn + 1)
+SELECT user_id, event_id, value FROM r""",
+    f="value",
+)
 def _(t):
     return A.step_limit(prefix(t), "user_id", "md", "event_id", "value", 2.5)
 

@@ -155,7 +155,12 @@ def _(t):
     return K.grouped(B.survey(t).select("id", "cust"), "cust", 5, 7)
 
 
-@query("fold_stratified_group")
+@query(
+    "fold_stratified_group",
+    f"""WITH {S}, c AS (SELECT cust, count(*) AS n, count(*) FILTER (target = 'F') AS f, count(*) FILTER (target = 'O') AS o, count(*) FILTER (target = 'P') AS p FROM survey GROUP BY 1),
+m AS (SELECT *, CASE WHEN f >= o AND f >= p THEN 0 WHEN o >= p THEN 1 ELSE 2 END AS main FROM c), r AS (SELECT cust, (row_number() OVER (PARTITION BY main ORDER BY n DESC, {hashed('cust', 7)}) - 1) % 10 AS p FROM m)
+SELECT id, cust, target, CASE WHEN p < 5 THEN p ELSE 9 - p END AS fold FROM survey JOIN r USING (cust)""",
+)
 def _(t):
     return K.stratified_group(B.survey(t).select("id", "cust", "target"), "cust", "target", B.CLASSES, 5, 7)
 

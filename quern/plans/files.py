@@ -31,7 +31,10 @@ def _(t):
     return S.scan_multi_split(t.spark, root, "lightcurves.csv", "event_id long, value double")
 
 
-@query("scan_entity_files")
+@query(
+    "scan_entity_files",
+    "WITH a AS (SELECT 'r' || n_regionkey AS entity, count(*) AS rows_a FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), b AS (SELECT 'r' || n_regionkey AS entity, count(*) AS rows_b FROM nation WHERE n_regionkey < 4 GROUP BY 1) SELECT entity, rows_a, rows_b, CAST(rows_a IS NOT NULL AND rows_b IS NOT NULL AS INT) AS complete FROM a FULL JOIN b USING (entity)",
+)
 def _(t):
     root = S.work_folder(t.spark, "wells")
     n, p = t.nation, t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -44,7 +47,10 @@ def _(t):
     return S.entity_inventory(a, b)
 
 
-@query("scan_prediction_pool")
+@query(
+    "scan_prediction_pool",
+    """WITH m("group", model, score) AS (VALUES ('trees', 'a_0.951', 0.951::DOUBLE), ('trees', 'b_0.962', 0.962), ('nets', 'c_0.940', 0.940)) SELECT m.*, (SELECT count(*) FROM orders) AS n, (SELECT count(DISTINCT o_orderkey) FROM orders) AS ids FROM m""",
+)
 def _(t):
     root = S.work_folder(t.spark, "pool")
     o = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500000).alias("value"))

@@ -73,7 +73,7 @@ def _(t):
     return Q.integrity_checks(train, s.where("id % 5 = 0 OR id % 500 = 3"), s.where("id % 5 = 0 OR id % 900 = 4").select("id"), "id")
 
 
-@query("require_columns")
+@query("require_columns", "SELECT count(*) AS n_rows FROM orders")
 def _(t):
     ok = Q.require_columns(t.orders, ["o_orderkey", "o_custkey", "o_totalprice"], unique="o_orderkey", not_null=["o_custkey", "o_totalprice"])
     return ok.agg(F.count(F.lit(1)).alias("n_rows"))

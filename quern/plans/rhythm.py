@@ -133,14 +133,41 @@ def _soft(center, sd):
     return f"({CDF(f'(hi - ({center})) / ({sd})')} - {CDF(f'(lo - ({center})) / ({sd})')})"
 
 
-@query("rhythm_soft_hit")
+# the normal approximation is good to 1e-7: compare six decimals
+@query(
+    "rhythm_soft_hit",
+    f"WITH {LONG} SELECT customer_id, hist, est, "
+    + ", ".join(f"round({_soft('period - r', sd)}, 6) + 0.0 AS {n}" for n, sd in (("phit10", "10e0"), ("phit20", "20e0"), ("phit_rel", "period * 0.25e0")))
+    + " FROM ew",
+    f="phit10 phit20 phit_rel",
+)
 def _(t):
-    return R.soft_hit(_est(t))
+    return R.soft_hit(_est(t)).withColumns({c: F.round(c, 6) for c in ("phit10", "phit20", "phit_rel")})
+
+
+def _ln(x, s):
+    return CDF(f"(ln(greatest({x}, 1e-9)) - ln(b)) / {s}e0")
 
 
-@query("rhythm_lognormal")
+_LN = []
+for _s in (0.25, 0.5, 0.8):
+    _w = f"({_ln('r + hi', _s)} - {_ln('r + lo', _s)})"
+    _a = f"greatest(1 - {_ln('r', _s)}, 1e-6)"
+    _t = str(_s).replace(".", "")
+    _LN += [f"round({_w}, 5) AS win_{_t}", f"CASE WHEN {_a} > 0.001 THEN round({_w} / {_a}, 3) END AS win_alive_{_t}"]
+
+
+@query(
+    "rhythm_lognormal",
+    f"WITH {LONG}, z AS (SELECT *, CASE WHEN period IS NOT NULL THEN greatest(period, 1.0) END AS b FROM ew WHERE est IN ('median', 'mean')) SELECT customer_id, hist, est, {', '.join(_LN)} FROM z",
+    f="win_025 win_05 win_08 win_alive_025 win_alive_05 win_alive_08",
+)
 def _(t):
-    return R.lognormal(_est(t).where(F.col("est").isin("median", "mean")))
+    # conditional probabilities of long-lapsed customers divide by less than the approximation's error: not shown
+    out = R.lognormal(_est(t).where(F.col("est").isin("median", "mean"))).drop("hidden_alive_05")
+    for c in ("025", "05", "08"):
+        out = out.withColumn(f"win_alive_{c}", F.when(F.col(f"alive_{c}") > 0.001, F.round(f"win_alive_{c}", 3))).drop(f"alive_{c}")
+    return out.withColumns({f"win_{c}": F.round(f"win_{c}", 5) for c in ("025", "05", "08")})
 
 
 @query(

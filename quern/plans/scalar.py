@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.functions.mathx import clip
+from quern.functions.mathx import clip, micros
 from quern.operators import scalar as X
 from quern.plans import bind as B
 from quern.registry import query
@@ -172,7 +172,7 @@ SER = """ser AS (SELECT event_id, user_id, epoch_us(ts) AS pos, CASE WHEN event_
 
 
 def ser(t):
-    return t.events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("v"))
+    return t.events.select("event_id", "user_id", micros("ts").alias("pos"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("v"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quern.functions.mathx import micros
 from quern.operators import series as T
 from quern.plans import bind as B
 from quern.registry import query
@@ -13,7 +14,7 @@ LC = f"""lc AS (SELECT user_id, event_id, event_type AS band, epoch_us(ts) AS po
 
 def lc(t):
     k = F.get_json_object("props", "$.k").cast("int")
-    pos = F.unix_micros(F.col("ts").cast("timestamp"))
+    pos = micros("ts")
     return t.events.select(
         "user_id", "event_id", F.col("event_type").alias("band"), pos.alias("pos"), ((pos - F.lit(T0)) / F.lit(86400000000.0)).alias("t"),
         F.col("value").alias("flux"), (k / F.lit(20.0)).alias("err"),
@@ -159,7 +160,7 @@ pf AS (SELECT *, max(CASE WHEN rn = last_rn THEN tvt_input END) OVER (PARTITION
 
 
 def seq(t):
-    pos = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(T0)
+    pos = micros("ts") - F.lit(T0)
     s = t.events.select(
         "user_id", "event_id", (pos / F.lit(3600000000.0)).alias("md"), (F.get_json_object("props", "$.k").cast("int") * F.lit(1.0)).alias("z"),
         F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("gr"), "value",

@@ -200,10 +200,20 @@ def _(t):
     return S.idw(near(t)[1], "sid", "v").withColumn("idw_std", F.round("idw_std", 1))
 
 
-@query("knn_plane_impute")
+_D = "(a * (b * d - sv * sv) - uv * (uv * d - sv * su) + su * (uv * sv - b * su))"
+_N = "(a * (b * sz - vz * sv) - uv * (uv * sz - vz * su) + uz * (uv * sv - b * su))"
+
+
+@query(
+    "knn_plane_impute",
+    f"""WITH {KNN}, w AS (SELECT *, 1 / (distance + 1e-3) AS w, rx - qx AS u, ry - qy AS vv FROM nn),
+s AS (SELECT sid, count(*) AS n, sum(w) + 1e-9 AS d, sum(w * u) AS su, sum(w * vv) AS sv, sum(w * u * u) + 1e-9 AS a, sum(w * u * vv) AS uv, sum(w * vv * vv) + 1e-9 AS b, sum(w * v) AS sz, sum(w * u * v) AS uz, sum(w * vv * v) AS vz FROM w GROUP BY 1)
+SELECT sid, n, round(CASE WHEN abs({_D}) > 1e-9 * a * b * d THEN {_N} / {_D} ELSE sz / d END, 2) AS plane_value FROM s""",
+    f="plane_value",
+)
 def _(t):
     q, n = near(t)
-    return S.plane(n, q, "sid", "x", "y", "rx", "ry", "v")
+    return S.plane(n, q, "sid", "x", "y", "rx", "ry", "v").withColumn("plane_value", F.round("plane_value", 2))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quern.functions.mathx import micros
 from quern.operators import metrics as M
 from quern.operators import textops as X
 from quern.registry import query
@@ -54,7 +55,7 @@ HITS = "hits AS (SELECT event_id, user_id || '-' || dayofmonth(ts) AS visit_id,
 def hits(t):
     e = t.events.where(F.col("event_type").isin("view", "click"))
     return e.select(
-        "event_id", F.concat_ws("-", "user_id", F.dayofmonth("ts")).alias("visit_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        "event_id", F.concat_ws("-", "user_id", F.dayofmonth("ts")).alias("visit_id"), micros("ts").alias("t"),
         F.get_json_object("props", "$.k").cast("int").alias("item"),
     )
 
@@ -72,9 +73,7 @@ def _(t):
 def _(t):
     h = hits(t)
     top = h.groupBy("item").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "item").limit(6)
-    rec = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "item"))), lambda x: x["item"]).alias("r")).scalar()
-    seen = h.select("visit_id", "item").distinct().groupBy("visit_id").agg(F.collect_list("item").alias("items"))
-    return M.top_k_recall(seen.withColumn("rec", rec), "rec", "items").select("visit_id", "recall")
+    return M.top_k_recall(h, top.withColumn("rank", F.lit(1)), ["visit_id"], "item", "rank")
 
 
 @query("text_clean", r"SELECT doc_id, trim(regexp_replace(array_to_string(string_split(text, chr(10)), ' <TURN> '), '\s+', ' ', 'g')) AS clean FROM documents")
