@@ -158,23 +158,23 @@ def carried(
     limit: int | None = None,
 ) -> DataFrame:
     """Last non-null value at or before each row (``reverse``: first non-null value at or after it)."""
-    pick = F.first if reverse else F.last
-    frame = (0, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, 0)
+    # backwards is the same carry over descending order: a frame that grows is cheap, one that shrinks is
+    # evaluated anew for every row
+    direction = [F.desc(c) if reverse else F.asc(c) for c in order]
     spread = chunked(df, keys, lead, limit)
     if spread is None:
-        w = window(keys).orderBy(*order).rowsBetween(*frame)
-        return df.withColumns({n: pick(e, ignorenulls=True).over(w) for n, e in cols.items()})
+        w = window(keys).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.last(e, ignorenulls=True).over(w) for n, e in cols.items()})
     part = [*keys, CHUNK]
-    w = window(part).orderBy(*order).rowsBetween(*frame)
-    local = spread.withColumns({n: pick(e, ignorenulls=True).over(w) for n, e in cols.items()})
+    w = window(part).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
+    local = spread.withColumns({n: F.last(e, ignorenulls=True).over(w) for n, e in cols.items()})
     best = F.min_by if reverse else F.max_by
     place = F.struct(*[F.col(c) for c in order])
     edge = spread.groupBy(*part).agg(
         *[best(e, F.when(e.isNotNull(), place)).alias(f"_e_{n}") for n, e in cols.items()]
     )
-    span = (1, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, -1)
-    outer = window(keys).orderBy(CHUNK).rowsBetween(*span)
-    multi = edge.withColumns({f"_e_{n}": pick(F.col(f"_e_{n}"), ignorenulls=True).over(outer) for n in cols})
+    outer = window(keys).orderBy(F.desc(CHUNK) if reverse else F.asc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    multi = edge.withColumns({f"_e_{n}": F.last(F.col(f"_e_{n}"), ignorenulls=True).over(outer) for n in cols})
     # a group with one chunk needs nothing from outside: keep rows of groups that have a chunk above 0
     multi = multi.withColumn("_hot", F.max(CHUNK).over(window(keys)) > 0).where("_hot").drop("_hot")
     out = join_keys(local, multi, part, "left", small=True)

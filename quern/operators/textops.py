@@ -94,14 +94,12 @@ def count_of(col: Column, part: str) -> Column:
     return (F.length(col) - F.length(F.replace(col, F.lit(part), F.lit("")))) / F.lit(len(part))
 
 
-def _is(word: str):
-    return lambda v: v == F.lit(word)
-
-
 def style_features(df: DataFrame, col: str) -> DataFrame:
     """Shape of the text, marker counts per token and function-word rates."""
     x = F.col(col)
     rows = df.withColumn("_w", F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).withColumn("_l", F.transform("_w", lambda w: F.lower(w)))
+    # tokens with a space on each side: a word is then counted by plain replacement
+    rows = rows.withColumn("_j", F.concat(F.lit(" "), F.array_join("_l", "  "), F.lit(" ")))
     n = F.greatest(F.size("_w"), F.lit(1))
     chars = F.greatest(F.length(x), F.lit(1))
     total = F.aggregate(F.transform("_w", lambda w: F.length(w)), F.lit(0), lambda a, v: a + v)
@@ -113,9 +111,9 @@ def style_features(df: DataFrame, col: str) -> DataFrame:
         "type_token": F.size(F.array_distinct("_l")) / n, "word_mean": mean, "word_std": F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0))),
         "upper": share(r"\p{Lu}"), "digit": share(r"\p{Nd}"), "non_ascii": share(r"[^\x00-\x7F]"), "space": share(r"[\s\p{Z}]"),
         **{f"marker_{i}": count_of(x, m) / n for i, m in enumerate(MARKERS)},
-        **{f"word_{w}": F.size(F.filter("_l", _is(w))) / n for w in FUNCTION_WORDS},
+        **{f"word_{w}": count_of(F.col("_j"), f" {w} ") / n for w in FUNCTION_WORDS},
     }
-    return rows.withColumns(cols).drop("_w", "_l")
+    return rows.withColumns(cols).drop("_w", "_l", "_j")
 
 
 def shape_view(col: Column) -> Column:
