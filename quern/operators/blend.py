@@ -462,6 +462,7 @@ def convex_logloss(df: DataFrame, models: Sequence[str], y: str, rounds: int = 3
     return df.sparkSession.createDataFrame([(m, x, float(loss)) for m, x in zip(models, w)], "model string, weight double, log_loss double")
 
 
+# fixed values: grid of class multipliers
 MULTIPLIERS = [0.5 + 0.05 * i for i in range(31)]
 
 
@@ -545,6 +546,7 @@ def candidate_report(df: DataFrame, anchor: str, candidates: dict[str, str], mov
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+# fixed values: gate quantiles and fallback weights tried
 QUANTILES = (0.70, 0.80, 0.85, 0.90, 0.95)
 ANCHOR_WEIGHTS = (0.10, 0.20, 0.25, 0.35)
 

@@ -127,6 +127,7 @@ def windowed_lookback(ot: DataFrame, windows: Sequence[int] = (7, 30, 90, 180, 3
     return out.withColumns({f"aov_{w}": ratio(f"sum_{w}", f"n_orders_{w}") for w in (90, 365)})
 
 
+# fixed values: day-bin edges
 LOOKBACK_EDGES = (0, 7, 14, 30, 60, 90, 120, 180, 270, 365, 450, 540, 733)
 
 

@@ -164,6 +164,7 @@ def segment_auc(df: DataFrame, segment: str, y: str, score: str, min_rows: int =
     return out.where((F.col("positives") + F.col("negatives") >= min_rows) & (F.least("positives", "negatives") >= min_class))
 
 
+# fixed values: ranking band edges
 BANDS = (0.0, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30, 0.50, 1.0)
 
 

@@ -18,6 +18,7 @@ def numbers(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Dat
     return df.select(*keep, F.explode(arr).alias("p")).select(*keep, "p.*")
 
 
+# fixed values: percentiles of the profile
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
 

@@ -163,10 +163,15 @@ def column_match_rate(a: DataFrame, b: DataFrame, entity: str, row: str, cols: S
 
 
 def column_set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Columns only in one table or in both (schema work only, no rows read)."""
-    left, right = set(a.columns), set(b.columns)
-    rows = [(c, "both" if c in left and c in right else "only_a" if c in left else "only_b") for c in sorted(left | right)]
-    return a.sparkSession.createDataFrame(rows, "column string, side string")
+    """Columns only in one table or in both, with the number of non-null values on each side."""
+
+    def filled(d: DataFrame, name: str) -> DataFrame:
+        one = d.agg(*[F.count(c).alias(c) for c in d.columns])
+        return one.unpivot([], d.columns, "column", name)
+
+    j = filled(a, "values_a").join(filled(b, "values_b"), "column", "full")
+    side = F.when(F.col("values_b").isNull(), "only_a").when(F.col("values_a").isNull(), "only_b").otherwise("both")
+    return j.withColumn("side", side)
 
 
 def missing_summary(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:

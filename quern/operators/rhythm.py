@@ -17,7 +17,9 @@ from quern.functions.mathx import clip, norm_cdf, sample_skew
 from quern.functions.ordered import join_keys, quantiles
 from quern.operators.customer import CID, ratio, when_sum
 
+# fixed values: history horizons in days
 HORIZONS = {"all": 10_000, "year": 365, "half": 182}
+# fixed values: names of the period estimates
 ESTIMATORS = ("mean", "median", "min", "max", "q25", "q75", "last", "last2", "last3", "ewm", "trim")
 GAP_DAYS = 14
 
@@ -288,6 +290,7 @@ def repeats(lines: DataFrame, col: str) -> DataFrame:
     )
 
 
+# fixed values: look-back windows in days
 TREND_WINDOWS = (30, 60, 90, 120, 180, 270, 365, 540, 730)
 
 
@@ -392,6 +395,7 @@ def basket_similar_wait(b: DataFrame, pop: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: estimates tried as rules
 AUDIT_PERIODS = ("mean", "median", "max", "trim", "q75", "last", "ewm")
 
 

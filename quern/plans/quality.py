@@ -125,8 +125,14 @@ def _(t):
     return Q.column_match_rate(a, b, "user_id", "event_id", ["v", "w"], tol=0.1)
 
 
-@query("column_set_diff", """SELECT * FROM (VALUES ('c_acctbal', 'only_a'), ('c_custkey', 'only_a'), ('c_mktsegment', 'only_a'), ('c_name', 'only_a'), ('nationkey', 'both'),
-  ('s_acctbal', 'only_b'), ('s_name', 'only_b'), ('s_suppkey', 'only_b')) v("column", side)""")
+@query(
+    "column_set_diff",
+    """WITH c AS (SELECT count(c_custkey) AS k, count(c_name) AS n, count(c_nationkey) AS x, count(c_acctbal) AS b, count(c_mktsegment) AS m FROM customer),
+s AS (SELECT count(s_suppkey) AS k, count(s_name) AS n, count(s_nationkey) AS x, count(s_acctbal) AS b FROM supplier)
+SELECT 'c_custkey' AS "column", c.k AS values_a, NULL::BIGINT AS values_b, 'only_a' AS side FROM c UNION ALL SELECT 'c_name', c.n, NULL, 'only_a' FROM c
+UNION ALL SELECT 'c_acctbal', c.b, NULL, 'only_a' FROM c UNION ALL SELECT 'c_mktsegment', c.m, NULL, 'only_a' FROM c UNION ALL SELECT 'nationkey', c.x, s.x, 'both' FROM c, s
+UNION ALL SELECT 's_suppkey', NULL, s.k, 'only_b' FROM s UNION ALL SELECT 's_name', NULL, s.n, 'only_b' FROM s UNION ALL SELECT 's_acctbal', NULL, s.b, 'only_b' FROM s""",
+)
 def _(t):
     return Q.column_set_diff(t.customer.withColumnRenamed("c_nationkey", "nationkey"), t.supplier.withColumnRenamed("s_nationkey", "nationkey"))
 
