@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
 MAX_HOT = 20_000  # a group is hot above total / MAX_HOT rows at least, so hot groups are at most this many
+UNKNOWN = object()  # group sizes not looked at yet; pass the result of hot_groups to look only once
 CHUNK = "_chunk"
 TILE = "_tile"
 
@@ -192,6 +193,7 @@ def framed(
     after: int,
     build: Callable[[object], dict[str, Column]],
     limit: int | None = None,
+    found: object = UNKNOWN,
 ) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` rows ahead.
 
@@ -199,7 +201,8 @@ def framed(
     are cut into tiles of equal row count; each tile also gets copies of the neighbour rows it looks at.
     """
     limit = limit or ROWS_PER_TASK
-    if hot_groups(df, keys, limit) is None:
+    found = hot_groups(df, keys, limit) if found is UNKNOWN else found
+    if found is None:
         return df.withColumns(build(window(keys).orderBy(*order)))
     tile = max(limit, before + after + 1)
     rows = numbered(df, keys, lead, order, "_rn", limit).withColumn("_rn", F.col("_rn") - 1)
@@ -222,6 +225,7 @@ def quantiles(
     keys: Sequence[str],
     wanted: dict[str, tuple[str, float]],
     limit: int | None = None,
+    found: object = UNKNOWN,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group: ``{out: (column, probability)}``.
 
@@ -231,7 +235,7 @@ def quantiles(
     by_col: dict[str, list[tuple[str, float]]] = {}
     for out, (c, p) in wanted.items():
         by_col.setdefault(c, []).append((out, p))
-    found = hot_groups(df, keys, limit)
+    found = hot_groups(df, keys, limit) if found is UNKNOWN else found
     if found is None:
         arrays = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for _, p in ps])).alias(f"_q{i}")
                   for i, (c, ps) in enumerate(by_col.items())]

@@ -109,9 +109,10 @@ def step_limit(df: DataFrame, entity: str, pos: str, uid: str, col: str, max_ste
 
 def feature_bank(df: DataFrame, entity: str, pos: str, uid: str, col: str, limit: int | None = None) -> DataFrame:
     """Locally normalised views of a series: raw and smoothed z-scores and a robust slope of the smoothed series."""
-    med = quantiles(df, [entity], {"_med": (col, 0.5)}, limit)
+    found = hot_groups(df, [entity], limit or ROWS_PER_TASK)  # all steps see the same groups
+    med = quantiles(df, [entity], {"_med": (col, 0.5)}, limit, found)
     rows = join_keys(df, med, [entity]).withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    rows = join_keys(rows, quantiles(rows, [entity], {"_mad": ("_dev", 0.5)}, limit), [entity])
+    rows = join_keys(rows, quantiles(rows, [entity], {"_mad": ("_dev", 0.5)}, limit, found), [entity])
     scale = F.greatest(1.4826 * F.col("_mad"), F.lit(1e-3))
 
     def build(w) -> dict[str, Column]:
@@ -121,7 +122,7 @@ def feature_bank(df: DataFrame, entity: str, pos: str, uid: str, col: str, limit
             "_a": F.avg(col).over(w.rowsBetween(-11, 9)), "_b": F.avg(col).over(w.rowsBetween(-9, 11)),
         }
 
-    rows = framed(rows, [entity], F.col(pos), [pos, uid], 30, 30, build, limit)
+    rows = framed(rows, [entity], F.col(pos), [pos, uid], 30, 30, build, limit, found)
     sd = F.greatest(F.coalesce("_s", F.lit(0.0)), 0.25 * scale)
     z = lambda c: clip((F.col(c) - F.col("_m")) / sd, -5.0, 5.0)
     rows = rows.withColumns({"f_raw": z(col), "f_smooth": z("_q"), "f_slope": clip((F.col("_b") - F.col("_a")) / 2 / scale, -5.0, 5.0)})

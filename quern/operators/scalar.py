@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.mathx import clip
-from quern.functions.ordered import carried, framed, join_keys, numbered, quantiles
+from quern.functions.ordered import ROWS_PER_TASK, carried, framed, hot_groups, join_keys, numbered, quantiles
 
 
 def c(x: Column | str) -> Column:
@@ -202,9 +202,10 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = N
 
 def robust_zscore(df: DataFrame, keys: Sequence[str], col: str, scale: float = 1.0, limit: int | None = None) -> DataFrame:
     """(x - median) / (scale * MAD) per entity; deviation when the MAD is 0; null when both are 0."""
-    med = quantiles(df, keys, {"_med": (col, 0.5)}, limit)
+    found = hot_groups(df, keys, limit or ROWS_PER_TASK)  # both steps see the same groups
+    med = quantiles(df, keys, {"_med": (col, 0.5)}, limit, found)
     rows = join_keys(df, med, keys).withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    mad = quantiles(rows, keys, {"_mad": ("_dev", 0.5)}, limit)
+    mad = quantiles(rows, keys, {"_mad": ("_dev", 0.5)}, limit, found)
     sd = df.groupBy(*keys).agg(F.stddev_pop(col).alias("_sd"))
     rows = join_keys(join_keys(rows, mad, keys), sd, keys)
     width = F.when(F.col("_mad") > 0, F.col("_mad") * F.lit(scale)).when(F.col("_sd") > 0, F.col("_sd"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.mathx import sample_kurtosis, sample_skew
-from quern.functions.ordered import carried, framed, join_keys, numbered, quantiles
+from quern.functions.ordered import ROWS_PER_TASK, UNKNOWN, carried, framed, hot_groups, join_keys, numbered, quantiles
 
 MOMENTS = ("count", "mean", "std", "min", "max", "median", "p10", "p90", "mad", "iqr", "skew", "kurt", "amp")
 
@@ -22,14 +22,15 @@ def moments(df: DataFrame, keys: Sequence[str], value: str, limit: int | None =
     """Count, mean, population deviation, extremes, quantiles, MAD, IQR, corrected skewness and kurtosis, amplitude."""
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_x"))
+    found = hot_groups(rows, keys, limit or ROWS_PER_TASK)  # both quantile steps see the same groups
     x = F.col("_x")
     base = rows.groupBy(*keys).agg(
         F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"),
         sample_skew(x).alias("skew"), sample_kurtosis(x).alias("kurt"), (F.max("_x") - F.min("_x")).alias("amp"),
     )
-    q = quantiles(rows, keys, {"median": ("_x", 0.5), "p10": ("_x", 0.1), "p90": ("_x", 0.9), "_q1": ("_x", 0.25), "_q3": ("_x", 0.75)}, limit)
+    q = quantiles(rows, keys, {"median": ("_x", 0.5), "p10": ("_x", 0.1), "p90": ("_x", 0.9), "_q1": ("_x", 0.25), "_q3": ("_x", 0.75)}, limit, found)
     dev = join_keys(rows, q.select(*keys, "median"), keys).withColumn("_d", F.abs(F.col("_x") - F.col("median")))
-    mad = quantiles(dev, keys, {"mad": ("_d", 0.5)}, limit)
+    mad = quantiles(dev, keys, {"mad": ("_d", 0.5)}, limit, found)
     out = join_keys(join_keys(base, q, keys), mad, keys)
     return out.withColumn("iqr", F.col("_q3") - F.col("_q1")).select(*keys, *MOMENTS)
 
@@ -72,15 +73,16 @@ def t0_dt(df: DataFrame, entity: str, t: str) -> DataFrame:
     return join_keys(df, t0, [entity]).withColumn("dt", F.col(t) - F.col("t0"))
 
 
-def _lags(df: DataFrame, keys: Sequence[str], pos: str, uid: str, cols: dict[str, str], limit: int | None) -> DataFrame:
-    return framed(df, keys, F.col(pos), [pos, uid], 1, 0, lambda w: {o: F.lag(c).over(w) for o, c in cols.items()}, limit)
+def _lags(df: DataFrame, keys: Sequence[str], pos: str, uid: str, cols: dict[str, str], limit: int | None, found: object = UNKNOWN) -> DataFrame:
+    return framed(df, keys, F.col(pos), [pos, uid], 1, 0, lambda w: {o: F.lag(c).over(w) for o, c in cols.items()}, limit, found)
 
 
 def cadence(df: DataFrame, entity: str, t: str, uid: str, limit: int | None = None) -> DataFrame:
     """Span and gap statistics of observation times."""
-    gaps = _lags(df, [entity], t, uid, {"_p": t}, limit).withColumn("_g", F.col(t) - F.col("_p"))
+    found = hot_groups(df, [entity], limit or ROWS_PER_TASK)
+    gaps = _lags(df, [entity], t, uid, {"_p": t}, limit, found).withColumn("_g", F.col(t) - F.col("_p"))
     base = gaps.groupBy(entity).agg((F.max(t) - F.min(t)).alias("span"), F.avg("_g").alias("gap_mean"), F.max("_g").alias("gap_max"))
-    return join_keys(base, quantiles(gaps, [entity], {"gap_median": ("_g", 0.5), "gap_p90": ("_g", 0.9)}, limit), [entity])
+    return join_keys(base, quantiles(gaps, [entity], {"gap_median": ("_g", 0.5), "gap_p90": ("_g", 0.9)}, limit, found), [entity])
 
 
 def max_rates(df: DataFrame, keys: Sequence[str], t: str, value: str, uid: str, limit: int | None = None) -> DataFrame:
@@ -94,11 +96,12 @@ def max_rates(df: DataFrame, keys: Sequence[str], t: str, value: str, uid: str,
 def sequence_features(df: DataFrame, entity: str, t: str, value: str, err: str, uid: str, limit: int | None = None) -> DataFrame:
     """Per row: time since start, normalised and log time, robust z-score, signal to noise, steps in time and value."""
     rows = t0_dt(df, entity, t)
+    found = hot_groups(df, [entity], limit or ROWS_PER_TASK)
     span = rows.groupBy(entity).agg(F.max("dt").alias("_span"), F.stddev_pop(value).alias("_sd"))
-    med = quantiles(rows, [entity], {"_med": (value, 0.5)}, limit)
+    med = quantiles(rows, [entity], {"_med": (value, 0.5)}, limit, found)
     rows = join_keys(join_keys(rows, span, [entity]), med, [entity]).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = quantiles(rows, [entity], {"_mad": ("_dev", 0.5)}, limit)
-    rows = _lags(join_keys(rows, mad, [entity]), [entity], t, uid, {"_pt": t, "_pv": value}, limit)
+    mad = quantiles(rows, [entity], {"_mad": ("_dev", 0.5)}, limit, found)
+    rows = _lags(join_keys(rows, mad, [entity]), [entity], t, uid, {"_pt": t, "_pv": value}, limit, found)
     scale = F.when(F.col("_mad") > 0, F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd"))
     return rows.select(
         *df.columns, "dt",
