@@ -34,7 +34,7 @@ SHARE = 0.8  # of the windows of an item, and of its slot values
 LITERAL = 3  # ordinary words that a window needs to stand with placeholders
 FILTER_BITS = 24  # the filter has 2 ** 24 bits (2 MB) however large the benchmark is
 CACHE = 400_000  # distinct words whose hashes a task keeps
-UNITS = "mm cm m km mg g kg t ml l s sec min h hours days weeks months years percent usd eur gbp dollars euros cents miles feet inches pounds ounces degrees mph kmh watts volts joules newtons".split()
+UNITS = frozenset("mm cm m km mg g kg t ml l s sec min h hours days weeks months years percent usd eur gbp dollars euros cents miles feet inches pounds ounces degrees mph kmh watts volts joules newtons".split())
 NUMBER, NAME, UNIT = (zlib.crc32(x) << 32 | zlib.crc32(x, 1) for x in (b"\0number", b"\0name", b"\0unit"))
 TOKEN = re.compile(r"[^\W_]+|[.!?:\n]")
 RATE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of window hashes
@@ -49,24 +49,34 @@ class Words:
 
     def clear(self) -> None:
         self.row.clear()
-        self.data: list[tuple[int, int]] = []
-        self.table = np.zeros((0, 2), "u8")
+        self.table = np.zeros((1 << 12, 2), "u8")  # doubles when full
 
     def look(self, tokens: list[str]) -> np.ndarray:
         """(hash, kind) rows; kinds: 0 word, 1 number, 2 unit, 3 capitalised, 4 sentence mark."""
         if len(self.row) > CACHE:
             self.clear()
-        new = set(tokens).difference(self.row)
-        for t in new:
-            low = t.lower().encode()
-            kind = 4 if t in ".!?:\n" else 1 if any(c.isdigit() for c in t) else 2 if t.lower() in UNITS else 3 if t[0].isupper() else 0
-            self.row[t] = len(self.data)
-            self.data.append((zlib.crc32(low) << 32 | zlib.crc32(low, 7), kind))
+        new = list(set(tokens).difference(self.row))
         if new:
-            self.table = np.concatenate([self.table, np.array(self.data[len(self.table) :], "u8").reshape(-1, 2)])
+            at = len(self.row)
+            while at + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            for i, t in enumerate(new, at):
+                self.row[t] = i
+            self.table[at : at + len(new)] = [measured(t) for t in new]
         return self.table[np.fromiter(map(self.row.__getitem__, tokens), "i8", len(tokens))]
 
 
+def measured(token: str) -> tuple[int, int]:
+    """Hash and kind of a token."""
+    low = token.lower()
+    b = low.encode()
+    if token.isalpha():
+        kind = 2 if low in UNITS else 3 if token[0].isupper() else 0
+    else:
+        kind = 4 if token in ".!?:\n" else 1 if any(c.isdigit() for c in token) else 0
+    return zlib.crc32(b) << 32 | zlib.crc32(b, 7), kind
+
+
 def template(words: Words, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values (hashes of the words), template hashes in the two forms (2, n), and slot kinds of the second form."""
     tokens = TOKEN.findall(text or "")
