@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(key)`` puts a whole group in one task. The helpers
 sizes first (one pre-aggregated count) and keep the plain window while every group fits in a task.
 Groups above ``limit`` rows are cut into ordered chunks: windows run per (key, chunk) and what must
 cross a chunk border (prefix sums, last values, neighbour rows) travels in small per-chunk summaries.
-Cut points are collected numbers, so both branches of a plan see the same chunks.
+Cut points are picked by a hash of the rows' place, so both branches of a plan see the same chunks.
 
 ``lead`` is a numeric column that never decreases along ``order``; ``order`` are column names,
 ascending, that together order the rows of a group completely.
@@ -12,17 +12,18 @@ ascending, that together order the rows of a group completely.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-MAX_HOT = 20_000  # a group is hot above total / MAX_HOT rows at least, so hot groups are at most this many
+CUTS = 4  # cut points per ROWS_PER_TASK rows of a large group
 UNKNOWN = object()  # group sizes not looked at yet; pass the result of hot_groups to look only once
 CHUNK = "_chunk"
 TILE = "_tile"
+_names = itertools.count()
 
 
 def window(keys: Sequence[str]):
@@ -36,81 +37,65 @@ def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
+def quoted(name: str) -> Column:
+    """A column by its plain name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
     """Null-safe join on ``keys`` that keeps one copy of the keys."""
-    right = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    mine = {k: f"_key{next(_names)}" for k in keys}  # no name of a caller's column, nor of an earlier join
+    right = b.select(*[quoted(k).alias(n) for k, n in mine.items()], *[quoted(c) for c in b.columns if c not in keys])
     cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    for k, n in mine.items():
+        cond = cond & quoted(k).eqNullSafe(F.col(n))
     if small:
         right = F.broadcast(right)
-    return a.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
+    return a.join(right, cond, how).drop(*mine.values())
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, int, int] | None:
-    """Groups above ``limit`` rows as (frame of keys and n, effective limit, largest n), None if there are none."""
+    """Groups above ``limit`` rows as (frame of keys and n, limit, largest n), None if there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    top = counts.agg(F.max("_n")).first()[0]
     if not top or top <= limit:
         return None
-    limit = max(limit, math.ceil(total / MAX_HOT))
-    if top <= limit:
-        return None
     return counts.where(F.col("_n") > limit), limit, top
 
 
-def _nested(bounds: list[float]) -> tuple[list[float], list[list[float]], int]:
-    size = max(1, math.isqrt(len(bounds)))
-    fine = [bounds[i : i + size] for i in range(0, len(bounds), size)]
-    return [f[-1] for f in fine], fine + [[]], size
+def chunked(df: DataFrame, keys: Sequence[str], lead: Column, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame | None:
+    """``df`` with an ordered chunk number for rows of hot groups (0 elsewhere); None when nothing is hot.
 
-
-def chunked(df: DataFrame, keys: Sequence[str], lead: Column, limit: int | None = None) -> DataFrame | None:
-    """``df`` with an ordered chunk number for rows of hot groups (0 elsewhere); None when nothing is hot."""
+    Cut points are rows of the group itself, picked by a hash of their place, ``CUTS`` per ``limit`` rows on average:
+    a group has as many pieces as its size asks for, and rows that tie on ``lead`` are cut by the rest of ``order``.
+    Nulls come first, as in an ascending window.
+    """
     limit = limit or ROWS_PER_TASK
     found = hot_groups(df, keys, limit)
     if found is None:
         return None
-    hot, limit, top = found
-    pieces = min(4096, math.ceil(top / limit))
-    probs = [i / pieces for i in range(1, pieces)]
-    lead = lead.cast("double")
-    rows = df.withColumn("_lead", lead)
-    # at most MAX_HOT groups, checked by hot_groups
-    cut = (
-        (join_keys(rows, hot.drop("_n"), keys, "left_semi", small=True) if keys else rows)
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_lead", probs, 10_000).alias("_b"))
-        .collect()
+    hot, limit, _ = found
+    rows = df.withColumn("_place", F.struct(lead.cast("double").alias("l"), *[quoted(c).alias(f"o{i}") for i, c in enumerate(order)]))
+    inside = join_keys(rows, hot.drop("_n"), keys, "left_semi") if keys else rows
+    step = max(1, limit // CUTS)
+    picked = inside.where(F.pmod(F.xxhash64(F.col("_place").cast("string")), F.lit(step)) == 0)
+    sorted_cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_set("_place")).alias("_c"))
+    size = F.greatest(F.ceil(F.sqrt(F.size("_c"))), F.lit(1)).cast("int")
+    blocks = F.ceil(F.size("_c") / F.col("_size")).cast("int")
+    last = lambda i: F.element_at("_c", F.least((i + 1) * F.col("_size"), F.size("_c")))
+    bounds = sorted_cuts.withColumn("_size", size).withColumn("_blocks", blocks)
+    bounds = bounds.select(
+        *keys,
+        F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), last).alias("_coarse"),
+        F.transform(F.sequence(F.lit(0), F.col("_blocks")), lambda i: F.slice("_c", i * F.col("_size") + 1, F.col("_size"))).alias("_fine"),
+        "_size",
     )
-    spark = df.sparkSession
-    table = []
-    for r in cut:
-        coarse, fine, size = _nested(sorted(set(r["_b"])))
-        table.append(tuple(r[k] for k in keys) + (coarse, fine, size))
-    fields = [df.schema[k] for k in keys]
-    schema = spark.createDataFrame([], "_coarse array<double>, _fine array<array<double>>, _size int").schema
-    for f in reversed(fields):
-        schema.fields.insert(0, f)
-    from pyspark.sql.types import StructType
-
-    bounds = spark.createDataFrame(table, StructType(schema.fields))
-    if keys:
-        rows = join_keys(rows, bounds, keys, "left", small=True)
-    else:
-        _, coarse, fine, size = (None, *table[0])
-        rows = rows.withColumns(
-            {
-                "_coarse": F.array(*[F.lit(float(x)) for x in coarse]),
-                "_fine": F.array(*[F.array(*[F.lit(float(x)) for x in f]).cast("array<double>") for f in fine]),
-                "_size": F.lit(size),
-            }
-        )
-    block = F.size(F.filter("_coarse", lambda b: b < F.col("_lead")))
-    rows = rows.withColumn("_block", block)
-    inner = F.size(F.filter(F.element_at("_fine", F.col("_block") + 1), lambda b: b < F.col("_lead")))
+    # without keys there is one row of cut points; else the planner looks at their size
+    rows = join_keys(rows, bounds, keys, "left", small=not keys)
+    rows = rows.withColumn("_block", F.size(F.filter("_coarse", lambda b: b < F.col("_place"))))
+    inner = F.size(F.filter(F.element_at("_fine", F.col("_block") + 1), lambda b: b < F.col("_place")))
     rows = rows.withColumn(CHUNK, F.when(F.col("_coarse").isNull(), 0).otherwise(F.col("_block") * F.col("_size") + inner))
-    return rows.drop("_lead", "_coarse", "_fine", "_size", "_block")
+    return rows.drop("_place", "_coarse", "_fine", "_size", "_block")
 
 
 def running(
@@ -122,7 +107,7 @@ def running(
     limit: int | None = None,
 ) -> DataFrame:
     """Inclusive prefix sums of each expression along the order of its group."""
-    spread = chunked(df, keys, lead, limit)
+    spread = chunked(df, keys, lead, limit, order)
     if spread is None:
         w = window(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(e).over(w) for n, e in sums.items()})
@@ -134,9 +119,9 @@ def running(
         spread.groupBy(*part)
         .agg(*[F.sum(e).alias(f"_b_{n}") for n, e in sums.items()])
         .withColumns({f"_b_{n}": F.sum(f"_b_{n}").over(before) for n in sums})
-        .where(F.col(CHUNK) > 0)  # only chunks of hot groups, a bounded number
+        .where(F.col(CHUNK) > 0)  # only chunks of hot groups
     )
-    out = join_keys(local, base, part, "left", small=True)
+    out = join_keys(local, base, part, "left")
     return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in sums}).drop(
         CHUNK, *[f"_b_{n}" for n in sums]
     )
@@ -162,7 +147,7 @@ def carried(
     # backwards is the same carry over descending order: a frame that grows is cheap, one that shrinks is
     # evaluated anew for every row
     direction = [F.desc(c) if reverse else F.asc(c) for c in order]
-    spread = chunked(df, keys, lead, limit)
+    spread = chunked(df, keys, lead, limit, order)
     if spread is None:
         w = window(keys).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.last(e, ignorenulls=True).over(w) for n, e in cols.items()})
@@ -178,7 +163,7 @@ def carried(
     multi = edge.withColumns({f"_e_{n}": F.last(F.col(f"_e_{n}"), ignorenulls=True).over(outer) for n in cols})
     # a group with one chunk needs nothing from outside: keep rows of groups that have a chunk above 0
     multi = multi.withColumn("_hot", F.max(CHUNK).over(window(keys)) > 0).where("_hot").drop("_hot")
-    out = join_keys(local, multi, part, "left", small=True)
+    out = join_keys(local, multi, part, "left")
     return out.withColumns({n: F.coalesce(F.col(n), F.col(f"_e_{n}")) for n in cols}).drop(
         CHUNK, *[f"_e_{n}" for n in cols]
     )
@@ -250,19 +235,18 @@ def quantiles(
         size = counts.groupBy(*keys).agg(F.sum("_k").alias("_n"))
         cum = join_keys(cum, size, keys) if keys else cum.withColumn("_n", size.scalar())
         aggs = []
-        for out, p in ps:
+        for i, (_, p) in enumerate(ps):
             pos = F.lit(float(p)) * (F.col("_n") - 1)
             start = F.col("_cum") - F.col("_k")
             for tag, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-                aggs.append(F.max(F.when((start <= at) & (at < F.col("_cum")), F.col("_v"))).alias(f"_{tag}_{out}"))
+                aggs.append(F.max(F.when((start <= at) & (at < F.col("_cum")), F.col("_v"))).alias(f"_{tag}{i}"))
         got = cum.groupBy(*keys).agg(*aggs, F.max("_n").alias("_n"))
-        for out, p in ps:
+        values = []
+        for i, (out, p) in enumerate(ps):
             pos = F.lit(float(p)) * (F.col("_n") - 1)
-            frac = pos - F.floor(pos)
-            got = got.withColumn(out, F.col(f"_lo_{out}") + frac * (F.col(f"_hi_{out}") - F.col(f"_lo_{out}")))
-        got = got.select(*keys, *[o for o, _ in ps])
-        result = join_keys(result, got, keys)
-    return result.select(*keys, *wanted)
+            values.append((F.col(f"_lo{i}") + (pos - F.floor(pos)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(out))
+        result = join_keys(result, got.select(*keys, *values), keys)
+    return result.select(*keys, *[quoted(w) for w in wanted])
 
 
 def average_rank(

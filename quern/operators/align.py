@@ -129,67 +129,11 @@ def feature_bank(df: DataFrame, entity: str, pos: str, uid: str, col: str, limit
     return rows.drop("_med", "_dev", "_mad", "_m", "_s", "_q", "_a", "_b")
 
 
-def grid_payload(ref: DataFrame, entity: str, x: str, cols: Sequence[str], extra: DataFrame) -> DataFrame:
-    """Reference grid per entity as one array, with per-entity numbers. The grid is the decoder's state space,
-    so its length is range / step by construction, not the length of any series."""
-    g = ref.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), *[F.col(c).cast("double").alias(c) for c in cols]))).alias("grid"))
-    names = [c for c in extra.columns if c != entity]
-    return g.join(extra, entity).select(entity, F.struct("grid", *[F.col(c).cast("double").alias(c) for c in names]).alias("payload"))
-
-
 def _grid(payload, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     g = payload["grid"]
     return np.array([r["x"] for r in g], float), np.array([[r[c] for c in cols] for r in g], float)
 
 
-def dtw(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, cols: Sequence[str], ridge: str, step: float, max_step: int = 3, band: float = 80.0, limit: int | None = 20_000) -> DataFrame:
-    """Monotone path over the reference grid with at most ``max_step`` grid steps per row.
-
-    A task holds rows x grid numbers, hence the lower row limit. Cost: capped squared feature distance, a pull to the ridge line, a squared step penalty. Payload fields:
-    grid, start (grid position before the first row), direction (+1 or -1).
-    """
-
-    def setup(pay):
-        grid, feats = _grid(pay, cols)
-        if pay["direction"] < 0:
-            grid, feats = grid[::-1], feats[::-1]
-        return grid, feats
-
-    def emission(grid, feats, pdf):
-        h = pdf[list(cols)].to_numpy(float)
-        d = np.minimum((h[:, None, :] - feats[None, :, :]) ** 2, 16.0).mean(axis=2)
-        off = grid[None, :] - pdf[ridge].to_numpy(float)[:, None]
-        d = d + 0.04 * (off / 30.0) ** 2
-        return np.where(np.abs(off) > band, 1e9, d)
-
-    def sweep(pay, state, pdf):
-        grid, feats = setup(pay)
-        e = emission(grid, feats, pdf)
-        back = np.zeros(e.shape, np.int16)
-        dp, first = state, 0
-        if dp is None:
-            dp, first = e[0] + 2.0 * ((grid - pay["start"]) / step) ** 2, 1
-        for r in range(first, len(e)):
-            best, src = dp.copy(), np.zeros(len(dp), np.int16)
-            for s in range(1, max_step + 1):
-                cand = dp[:-s] + 0.08 * s * s
-                better = cand < best[s:]
-                best[s:][better], src[s:][better] = cand[better], s
-            dp, back[r] = best + e[r], src
-        return grid, dp, back
-
-    def backward(pay, state, pdf, choice):
-        grid, dp, back = sweep(pay, state, pdf)
-        at = int(np.argmin(dp)) if choice is None else choice
-        path = np.empty(len(back), int)
-        for r in range(len(back) - 1, -1, -1):
-            path[r] = at
-            at -= int(back[r, at])
-        return grid[path], at
-
-    return decode(rows, entity, pos, uid, [*cols, ridge], payload, lambda p, s, d: sweep(p, s, d)[1], backward, limit)
-
-
 def beam(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, col: str, width: int = 12, radius: int = 2, penalty: float = 8.0, scale: float = 80.0, limit: int | None = 200_000) -> DataFrame:
     """Beam search over grid positions: squared value error plus a penalty per grid step; best ``width`` paths kept."""
     moves = np.arange(-radius, radius + 1)
@@ -223,101 +167,56 @@ def beam(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, c
     return decode(rows, entity, pos, uid, [col], payload, lambda p, s, d: sweep(p, s, d)[1], backward, limit)
 
 
-def match_ncc(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: str, halves: Sequence[int] = (8, 15, 25), stride: int = 3, tile: int = 20_000, limit: int | None = None) -> DataFrame:
-    """Position of the best-correlated known window for each suffix row, per window size and softmax-weighted.
+SEGMENTS = 4  # parts of a window whose means make its shape
+BREAKS = (-0.6745, 0.0, 0.6745)  # fixed values: quartiles of the normal distribution
+
+
+def shaped(window: Column) -> Column:
+    """Struct (z, shape): the window with mean 0 and deviation 1, and a number for the levels of its part means."""
+    n = F.size(window)
+    mean = F.aggregate(window, F.lit(0.0), lambda a, x: a + x) / n
+    sd = F.sqrt(F.aggregate(window, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n) + 1e-6
+    z = F.transform(window, lambda x: (x - mean) / sd)
+    at = lambda i: F.floor(i * n / SEGMENTS).cast("int")
+    part = lambda i: F.slice(window, at(i) + 1, at(i + 1) - at(i))
+    shape = F.lit(0)
+    for i in range(SEGMENTS):
+        level = F.lit(0)
+        value = (F.aggregate(part(i), F.lit(0.0), lambda a, x: a + x) / (at(i + 1) - at(i)) - mean) / sd
+        for b in BREAKS:
+            level = level + (value > b).cast("int")
+        shape = shape * (len(BREAKS) + 1) + level
+    return F.struct(z.alias("z"), shape.alias("shape"))
+
+
+def match_ncc(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: str, halves: Sequence[int] = (8, 15, 25), stride: int = 3, sharpness: float = 3.0, limit: int | None = None) -> DataFrame:
+    """Position of the best-correlated known window of the same shape for each suffix row, per window size and mixed.
 
-    Windows are arrays built by bounded frames. Suffix windows meet known windows tile by tile, so a task holds one
-    tile of each and a row's best match is reduced over tiles. Input: ``prefix_frame`` columns.
+    A window's shape is the sequence of its part means in four levels. Suffix windows meet the known windows of their
+    series that have the same shape in a plain equi-join; the correlation of the joined windows decides. The mixed
+    position weighs the sizes by exp(sharpness x correlation). Input: ``prefix_frame`` columns.
     """
     part = F.when(F.col("rn") <= F.col("n_known"), "known").otherwise("suffix")
     rows = p.withColumn("_part", part).where(F.col(col).isNotNull())
     keys = [entity, "_part"]
     rows = numbered(rows, keys, F.col(pos), [pos, uid], "_i", limit)
     rows = framed(rows, keys, F.col(pos), [pos, uid], 2, 2, lambda w: {"_g": F.avg(col).over(w.rowsBetween(-2, 2))}, limit)
-    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = join_keys(rows, size, keys)
     top = max(halves)
-    rows = framed(
-        rows, keys, F.col(pos), [pos, uid], top, 2 * top,
-        lambda w: {
-            **{f"_c{h}": F.collect_list("_g").over(w.rowsBetween(-h, h)) for h in halves},
-            **{f"_k{h}": F.collect_list("_g").over(w.rowsBetween(0, 2 * h)) for h in halves},
-            **{f"_t{h}": F.lead(known, h).over(w) for h in halves},
-        }, limit,
-    )
-    out = None
+    around = lambda w: {f"_w{h}": F.collect_list("_g").over(w.rowsBetween(-h, h)) for h in halves}
+    rows = framed(rows, keys, F.col(pos), [pos, uid], top, top, around, limit)
+    out = p.where(F.col("rn") > F.col("n_known")).select(entity, uid, "last_known")
     for h in halves:
-        win = 2 * h + 1
-        head = F.greatest(h - (F.col("_i") - 1), F.lit(0)).cast("int")
-        foot = F.greatest(h - (F.col("_n") - F.col("_i")), F.lit(0)).cast("int")
-        arr = F.col(f"_c{h}")
-        padded = F.concat(F.array_repeat(F.element_at(arr, 1), head), arr, F.array_repeat(F.element_at(arr, -1), foot))
-        # spans cut the rows of each side into tiles
-        suffix = rows.where("_part = 'suffix'").select(entity, F.col(uid).alias("_u"), padded.alias("_w"), F.floor((F.col("_i") - 1) / tile).alias("_ht"))
-        cand = rows.where((F.col("_part") == "known") & (F.size(f"_k{h}") == win) & ((F.col("_i") - 1) % stride == 0))
-        cand = cand.select(entity, F.col("_i").alias("_u"), F.col(f"_k{h}").alias("_w"), F.col(f"_t{h}").alias("_v"), F.floor((F.col("_i") - 1) / (tile * stride)).alias("_kt"))
-        ht = suffix.groupBy(entity).agg(F.max("_ht").alias("_hm"))
-        kt = cand.groupBy(entity).agg(F.max("_kt").alias("_km"))
-        left = suffix.join(kt, entity).withColumn("_kt", F.explode(F.sequence(F.lit(0).cast("long"), "_km"))).drop("_km")
-        right = cand.join(ht, entity).withColumn("_ht", F.explode(F.sequence(F.lit(0).cast("long"), "_hm"))).drop("_hm")
-        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh identities for the cogroup
-        keytype = dict(p.dtypes)[entity]
-
-        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({entity: [], "_u": [], "score": [], "start": [], "value": []})
-            b = b.sort_values("_u")
-            norm = lambda m: (m - m.mean(1, keepdims=True)) / (m.std(1, keepdims=True) + 1e-6)
-            x, y = norm(np.stack(a["_w"].to_numpy())), norm(np.stack(b["_w"].to_numpy()))
-            s = x @ y.T / x.shape[1]
-            i = s.argmax(1)
-            return pd.DataFrame({entity: a[entity].to_numpy(), "_u": a["_u"].to_numpy(), "score": s.max(1), "start": b["_u"].to_numpy()[i], "value": b["_v"].to_numpy(float)[i]})
-
-        tk = [entity, "_ht", "_kt"]
-        got = left.groupBy(*tk).cogroup(right.groupBy(*tk)).applyInPandas(best, f"`{entity}` {keytype}, _u long, score double, start long, value double")
-        one = got.groupBy(entity, "_u").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "value")).alias("b"))
-        one = one.select(entity, F.col("_u").alias(uid), F.col("b.value").alias(f"pos_{h}"), F.col("b.score").alias(f"score_{h}"))
-        out = one if out is None else out.join(one, [entity, uid], "full")
-    # a size without candidates falls back to the last known value with score 0
-    last = p.where(F.col("rn") > F.col("n_known")).select(entity, uid, "last_known")
-    out = last.join(out, [entity, uid])
-    out = out.withColumns({f"pos_{h}": F.coalesce(f"pos_{h}", "last_known") for h in halves} | {f"score_{h}": F.coalesce(f"score_{h}", F.lit(0.0)) for h in halves})
-    w = [F.exp(3.0 * F.col(f"score_{h}")) for h in halves]
-    total = sum(w[1:], w[0]) + 1e-9
-    mixed = [F.col(f"pos_{h}") * x for h, x in zip(halves, w)]
-    return out.withColumn("matched", sum(mixed[1:], mixed[0]) / total).drop("last_known")
-
-
-def notch(df: DataFrame, entity: str, pos: str, uid: str, col: str, need: int = 64, limit: int | None = None) -> DataFrame:
-    """Remove the strongest periodic component and its two neighbours from each series (64 values needed).
-
-    The transform mixes every value of a series, so a series is one group; a series above the row limit is
-    refused with an error instead of being cut.
-    """
-    limit = limit or ROWS_PER_TASK
-    if hot_groups(df, [entity], limit) is not None:
-        raise ValueError(f"a series of {entity} exceeds {limit} rows")
-    keytype = dict(df.dtypes)[entity]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_p", "_u"], kind="stable")
-        x = pdf["_x"].to_numpy(float)
-        ok = np.isfinite(x)
-        out = x.copy()
-        if ok.sum() >= need:
-            at = np.arange(len(x), dtype=float)
-            full = np.interp(at, at[ok], x[ok])
-            mid = np.median(full)
-            spec = np.fft.rfft(full - mid)
-            if len(spec) >= 5:
-                amp = np.abs(spec)
-                amp[0] = 0.0
-                k = int(np.argmax(amp))
-                if k > 0:
-                    spec[max(1, k - 1) : k + 2] = 0.0
-                    out[ok] = (np.fft.irfft(spec, n=len(x)) + mid)[ok]
-        return pd.DataFrame({entity: pdf[entity], uid: pdf["_u"], "denoised": out})
-
-    rows = df.select(entity, F.col(uid).cast("long").alias("_u"), F.col(pos).cast("double").alias("_p"), F.col(col).cast("double").alias("_x"))
-    out = rows.groupBy(entity).applyInPandas(run, f"`{entity}` {keytype}, `{uid}` long, denoised double")
-    return out.withColumn("denoised", F.when(~F.isnan("denoised"), F.col("denoised")))
+        whole = rows.where(F.size(f"_w{h}") == 2 * h + 1).withColumn("_s", shaped(F.col(f"_w{h}")))
+        suffix = whole.where("_part = 'suffix'").select(entity, F.col(uid).alias("_u"), F.col("_s.shape").alias("_shape"), F.col("_s.z").alias("_a"))
+        cand = whole.where((F.col("_part") == "known") & (F.col("_i") % stride == 0))
+        cand = cand.select(entity, F.col("_s.shape").alias("_shape"), F.col("_s.z").alias("_b"), F.col("_i").alias("_at"), F.col(known).alias("_v"))
+        product = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / (2 * h + 1)
+        met = suffix.join(cand, [entity, "_shape"]).select(entity, "_u", F.struct(F.round(product, 9).alias("score"), (-F.col("_at")).alias("first"), F.col("_v").alias("value")).alias("m"))
+        best = met.groupBy(entity, "_u").agg(F.max("m").alias("m"))
+        best = best.select(entity, F.col("_u").alias(uid), F.col("m.value").alias(f"pos_{h}"), F.col("m.score").alias(f"score_{h}"))
+        out = out.join(best, [entity, uid], "left")
+        # a row without a window of its shape stays at the last known value with score 0
+        out = out.withColumns({f"pos_{h}": F.coalesce(f"pos_{h}", "last_known"), f"score_{h}": F.coalesce(f"score_{h}", F.lit(0.0))})
+    weights = [F.exp(F.lit(sharpness) * F.col(f"score_{h}")) for h in halves]
+    moved = [F.col(f"pos_{h}") * w for h, w in zip(halves, weights)]
+    return out.withColumn("matched", sum(moved[1:], moved[0]) / sum(weights[1:], weights[0])).drop("last_known")

@@ -409,15 +409,15 @@ def cross_weight_grid(df: DataFrame, keys: Sequence[str], models: Sequence[str],
     return ap.groupBy("w").agg(F.avg("ap").alias("ap")).select(F.get(names, F.col("w")).alias("weights"), "ap")
 
 
-def hill_climb(df: DataFrame, models: Sequence[str], classes: Sequence[str], y: str, step: float = 0.05, rounds: int = 20) -> DataFrame:
+def hill_climb(df: DataFrame, models: Sequence[str], classes: Sequence[str], y: str, step: float = 0.05, rounds: int = 800) -> DataFrame:
     """Best single step of +-``step`` on one weight per round until balanced accuracy stops growing.
 
-    All moves of a round are scored by one aggregation.
+    All moves of a round are scored by one aggregation. ``converged`` tells whether the search stopped by itself.
     """
     w = [1.0 / len(models)] * len(models)
     df = df.select(y, *[f"{m}{c}" for m in models for c in classes]).persist()
     score = lambda ws: [r["balanced_accuracy"] for r in weight_grid_accuracy(df, models, classes, y, ws).orderBy("setting").collect()]
-    best = score([tuple(w)])[0]
+    best, converged = score([tuple(w)])[0], False
     for _ in range(rounds):
         moves = []
         for i in range(len(models)):
@@ -430,19 +430,23 @@ def hill_climb(df: DataFrame, models: Sequence[str], classes: Sequence[str], y:
         got = score(moves)
         top = max(range(len(moves)), key=lambda i: got[i])
         if got[top] <= best + 1e-6:
+            converged = True
             break
         best, w = got[top], list(moves[top])
     df.unpersist()
-    rows = [(m, float(x), float(best)) for m, x in zip(models, w)]
-    return df.sparkSession.createDataFrame(rows, "model string, weight double, balanced_accuracy double")
+    rows = [(m, float(x), float(best), converged) for m, x in zip(models, w)]
+    return df.sparkSession.createDataFrame(rows, "model string, weight double, balanced_accuracy double, converged boolean")
 
 
-def convex_logloss(df: DataFrame, models: Sequence[str], y: str, rounds: int = 30, rate: float = 2.0) -> DataFrame:
-    """Non-negative weights summing to one that minimise log loss, by exponentiated gradient steps (one pass each)."""
+def convex_logloss(df: DataFrame, models: Sequence[str], y: str, rounds: int = 2000, rate: float = 2.0) -> DataFrame:
+    """Non-negative weights summing to one that minimise log loss, by exponentiated gradient steps (one pass each).
+
+    ``converged`` tells whether the loss stopped falling before the rounds ran out.
+    """
     import math
 
     w = [1.0 / len(models)] * len(models)
-    loss = None
+    loss, converged = None, False
     df = df.select(y, *models).persist()
     for _ in range(rounds):
         p = F.least(F.greatest(add([F.lit(x) * F.col(m) for x, m in zip(w, models)]), F.lit(1e-7)), F.lit(1 - 1e-7))
@@ -451,7 +455,7 @@ def convex_logloss(df: DataFrame, models: Sequence[str], y: str, rounds: int = 3
             F.avg(-(F.col(y) * F.ln(p) + (1 - F.col(y)) * F.ln(1 - p))).alias("loss"), *[F.avg(F.col(m) * g).alias(f"g{i}") for i, m in enumerate(models)]
         ).first()
         if loss is not None and abs(loss - r["loss"]) < 1e-9:
-            loss = r["loss"]
+            loss, converged = r["loss"], True
             break
         loss = r["loss"]
         grads = [r[f"g{i}"] for i in range(len(models))]
@@ -459,7 +463,7 @@ def convex_logloss(df: DataFrame, models: Sequence[str], y: str, rounds: int = 3
         raw = [x * math.exp(-rate * (gr - min(grads)) / max(scale, 1.0)) for x, gr in zip(w, grads)]
         w = [x / sum(raw) for x in raw]
     df.unpersist()
-    return df.sparkSession.createDataFrame([(m, x, float(loss)) for m, x in zip(models, w)], "model string, weight double, log_loss double")
+    return df.sparkSession.createDataFrame([(m, x, float(loss), converged) for m, x in zip(models, w)], "model string, weight double, log_loss double, converged boolean")
 
 
 # fixed values: grid of class multipliers
@@ -487,10 +491,13 @@ def multiplier_grid(df: DataFrame, probs: dict[str, str], y: str, klass: str, mu
     return rec.groupBy("multiplier").agg(F.avg("r").alias("balanced_accuracy")).select(F.lit(klass).alias("class"), "multiplier", "balanced_accuracy")
 
 
-def multiplier_search(df: DataFrame, probs: dict[str, str], y: str, rounds: int = 3) -> DataFrame:
-    """Greedy class multipliers: each class in turn takes its best grid value until nothing improves."""
+def multiplier_search(df: DataFrame, probs: dict[str, str], y: str, rounds: int = 12) -> DataFrame:
+    """Greedy class multipliers: each class in turn takes its best grid value until nothing improves.
+
+    The result is divided by its mean. ``converged`` tells whether a whole round brought nothing.
+    """
     mult = {k: 1.0 for k in probs}
-    best = None
+    best, converged = None, False
     df = df.select(y, *probs.values()).persist()
     for _ in range(rounds):
         improved = False
@@ -499,10 +506,12 @@ def multiplier_search(df: DataFrame, probs: dict[str, str], y: str, rounds: int
             if best is None or got["balanced_accuracy"] > best + 1e-6:
                 best, mult[k], improved = got["balanced_accuracy"], got["multiplier"], True
         if not improved:
+            converged = True
             break
     df.unpersist()
-    rows = [(k, float(v), float(best)) for k, v in mult.items()]
-    return df.sparkSession.createDataFrame(rows, "class string, multiplier double, balanced_accuracy double")
+    mean = sum(mult.values()) / len(mult)
+    rows = [(k, float(v) / mean, float(best), converged) for k, v in mult.items()]
+    return df.sparkSession.createDataFrame(rows, "class string, multiplier double, balanced_accuracy double, converged boolean")
 
 
 def stack_features(df: DataFrame, models: Sequence[str], limit: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.ordered import join_keys, numbered, quantiles
 
-MAX_LEVELS = 1000  # one column per level: refuse anything wider
+MAX_LEVELS = 1000  # one column per level; one_hot_sparse takes any number
 
 
 def text_lead(x: Column) -> Column:
@@ -20,7 +20,7 @@ def text_lead(x: Column) -> Column:
 def known_levels(df: DataFrame, col: str) -> list[str]:
     rows = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(MAX_LEVELS + 1).collect()
     if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
+        raise ValueError(f"{col} has more than {MAX_LEVELS} levels: use one_hot_sparse")
     return [r[0] for r in rows]
 
 
@@ -29,6 +29,12 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{col}_{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0)) for v in levels})
 
 
+def one_hot_sparse(train: DataFrame, rows: DataFrame, id_col: str, col: str) -> DataFrame:
+    """One-hot coding in long form for any number of levels: (id, code, 1.0) where the training table knows the level."""
+    codes = _coded(train.where(F.col(col).isNotNull()).select(col).distinct(), col)
+    return rows.join(codes, col).select(id_col, "code", F.lit(1.0).alias("value"))
+
+
 def _coded(levels: DataFrame, col: str) -> DataFrame:
     codes = numbered(levels, [], text_lead(F.col(col)), [col], "code")
     return codes.withColumn("code", F.col("code") - 1)

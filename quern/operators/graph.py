@@ -5,8 +5,6 @@ Nodes: (ds, node_id, t, x, y); edges: (source_id, target_id, prob, distance).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,103 +21,41 @@ def mutual_best(pairs: DataFrame, cost: str) -> DataFrame:
     return p.join(a, "source_id").join(b, "target_id").where((F.col("_c") == F.col("_a")) & (F.col("_c") == F.col("_b"))).drop("_a", "_b", "_c")
 
 
-def link_greedy(pairs: DataFrame, cost: str, rounds: int = 50) -> DataFrame:
+def link_greedy(pairs: DataFrame, cost: str) -> DataFrame:
     """One-to-one links, cheapest first: mutual choices are taken and their ends removed until no pair is left.
 
-    The same result as sorting all pairs by cost, without sorting them in one place.
+    The same result as sorting all pairs by cost, without sorting them in one place. Every round takes at least the
+    cheapest pair left, so the loop ends.
     """
     left, out = pairs, None
-    for i in range(rounds):
-        got = mutual_best(left, cost)
-        if rounds > 1:
-            got = cut_lineage(got)
-            if got.isEmpty():
-                break
+    while True:
+        got = cut_lineage(mutual_best(left, cost))
         out = got if out is None else out.unionByName(got)
-        if rounds > 1:
-            left = left.join(got.select("source_id"), "source_id", "left_anti").join(got.select("target_id"), "target_id", "left_anti")
-            left = cut_lineage(left)
-    return out if out is not None else pairs.limit(0)
-
-
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a minimum-cost assignment, -1 where a row stays free (shortest augmenting paths)."""
-    flip = cost.shape[0] > cost.shape[1]
-    c = cost.T if flip else cost
-    n, m = c.shape
-    u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        low, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            i0 = match[j0]
-            free = ~used[1:]
-            cur = c[i0 - 1] - u[i0] - v[1:]
-            better = free & (cur < low[1:])
-            low[1:][better], way[1:][better] = cur[better], j0
-            j1 = int(np.argmin(np.where(free, low[1:], np.inf))) + 1
-            d = low[j1]
-            u[match[used]] += d
-            v[used] -= d
-            low[1:][free] -= d
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    out = np.full(cost.shape[0], -1)
-    for j in range(1, m + 1):
-        if match[j]:
-            a, b = (j - 1, match[j] - 1) if flip else (match[j] - 1, j - 1)
-            out[a] = b
-    return out
-
-
-def motion_link(nodes: DataFrame, tight: float, relaxed: float, velocity: float = 1.0, limit: int | None = None) -> DataFrame:
-    """Link each frame to the next by predicted position, a tight pass and then a relaxed one, one-to-one.
-
-    Cost: distance to the prediction + 0.05 x distance moved. Frames of a dataset follow each other because a
-    prediction needs the link before it; long datasets are cut into frame ranges that pass on their last frame.
+        if got.isEmpty():
+            return out
+        left = left.join(got.select("source_id"), "source_id", "left_anti").join(got.select("target_id"), "target_id", "left_anti")
+        left = cut_lineage(left)
+
+
+def motion_link(nodes: DataFrame, tight: float, relaxed: float, velocity: float = 1.0) -> DataFrame:
+    """One-to-one links of consecutive frames in two passes: near points first, then by predicted position.
+
+    The tight pass links by distance. Its links give points a velocity; points still open are then linked within the
+    relaxed radius by distance to the position predicted from the link before + 0.05 x distance moved (points without
+    a link before are predicted to stay). All frames are linked at once.
     """
-    from quern.operators.align import decode
-
-    def frames(state, pdf: pd.DataFrame):
-        prev = state  # frame number, ids, positions, positions of the predecessors (nan = none)
-        src = np.full(len(pdf), np.nan)
-        t = pdf["_p"].to_numpy()
-        ids, xy = pdf["_u"].to_numpy(), pdf[["x", "y"]].to_numpy(float)
-        for frame in np.unique(t):
-            at = np.flatnonzero(t == frame)
-            pos, before = xy[at], np.full((len(at), 2), np.nan)
-            if prev is not None and prev[0] == frame - 1:
-                _, pid, ppos, ppre = prev
-                guess = np.where(np.isnan(ppre), ppos, ppos + velocity * (ppos - ppre))
-                raw = np.linalg.norm(ppos[:, None] - pos[None], axis=2)
-                motion = np.linalg.norm(guess[:, None] - pos[None], axis=2)
-                free_s, free_t = np.ones(len(ppos), bool), np.ones(len(at), bool)
-                for radius in (tight, relaxed):
-                    si, ti = np.flatnonzero(free_s), np.flatnonzero(free_t)
-                    if not len(si) or not len(ti):
-                        continue
-                    big = radius * 1000.0 + 1.0
-                    ok = raw[np.ix_(si, ti)] <= radius
-                    cost = np.where(ok, motion[np.ix_(si, ti)] + 0.05 * raw[np.ix_(si, ti)], big)
-                    for r, c in enumerate(assignment(cost)):
-                        if c >= 0 and ok[r, c]:
-                            s, g = si[r], ti[c]
-                            free_s[s], free_t[g] = False, False
-                            src[at[g]], before[g] = pid[s], ppos[s]
-            prev = (frame, ids[at], pos, before)
-        return prev, src
-
-    payload = nodes.select("ds").distinct().withColumn("payload", F.lit(0))
-    got = decode(
-        nodes, "ds", "t", "node_id", ["x", "y"], payload, lambda p, s, d: frames(s, d)[0], lambda p, s, d, ch: (frames(s, d)[1], None), limit
-    )
-    got = got.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return got.select("ds", F.col("value").cast("long").alias("source_id"), F.col("node_id").alias("target_id"))
+    here = nodes.select("ds", "t", F.col("node_id").alias("source_id"), "x", "y", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    there = nodes.select("ds", (F.col("t") - 1).alias("t"), F.col("node_id").alias("target_id"), "x", "y", F.col("x").alias("gx"), F.col("y").alias("gy"))
+    near = cut_lineage(within(here, there, ["ds", "t"], "x", "y", relaxed).select("ds", "source_id", "target_id", "distance", "sx", "sy", "gx", "gy"))
+    first = link_greedy(near.where(F.col("distance") <= tight), "distance")
+    speed = first.select(F.col("target_id").alias("source_id"), (F.col("gx") - F.col("sx")).alias("vx"), (F.col("gy") - F.col("sy")).alias("vy"))
+    rest = near.join(first.select("source_id"), "source_id", "left_anti").join(first.select("target_id"), "target_id", "left_anti")
+    rest = rest.join(speed, "source_id", "left")
+    ahead = lambda at, v: F.col(at) + F.lit(velocity) * F.coalesce(F.col(v), F.lit(0.0))
+    off = F.sqrt(F.pow(F.col("gx") - ahead("sx", "vx"), 2) + F.pow(F.col("gy") - ahead("sy", "vy"), 2))
+    second = link_greedy(cut_lineage(rest.withColumn("cost", F.round(off + 0.05 * F.col("distance"), 9)).drop("vx", "vy")), "cost")
+    keep = ["ds", "source_id", "target_id"]
+    return first.select(*keep).unionByName(second.select(*keep))
 
 
 def degree_filter(nodes: DataFrame, edges: DataFrame, longest: float) -> DataFrame:
@@ -140,7 +76,7 @@ def ends_starts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.unionByName(nodes.join(inc, "node_id", "left_anti").withColumn("kind", F.lit("start")))
 
 
-def components(nodes: DataFrame, edges: DataFrame, a: str = "source_id", b: str = "target_id", rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, a: str = "source_id", b: str = "target_id") -> DataFrame:
     """(node_id, component): smallest node id of each connected component.
 
     Alternating star steps: every node hands its larger neighbours, then its smaller ones, to the smallest node it
@@ -149,7 +85,7 @@ def components(nodes: DataFrame, edges: DataFrame, a: str = "source_id", b: str
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
-    for _ in range(rounds):
+    while True:  # ends when a round changes nothing: the edges are then stars around the smallest nodes
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -235,31 +171,11 @@ def gap_bridge(nodes: DataFrame, edges: DataFrame, skip: int = 3, max_total: flo
 
 
 def node_match(pred: DataFrame, true: DataFrame, radius: float = 7.0) -> DataFrame:
-    """One-to-one match of predicted to true nodes per frame: most matches first, then least total distance.
-
-    Only pairs within the radius can match, so the assignment splits into the connected clusters of those pairs and
-    each cluster is solved on its own.
-    """
+    """One-to-one match of predicted to true nodes per frame within the radius, nearest pairs first."""
     a = pred.select("ds", "t", F.col("node_id").alias("source_id"), "x", "y")
     b = true.select("ds", "t", F.col("node_id").alias("target_id"), "x", "y")
-    pairs = cut_lineage(within(a, b, ["ds", "t"], "x", "y", radius).select("source_id", "target_id", "distance"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, g = pd.Index(sorted(pdf["source_id"].unique())), pd.Index(sorted(pdf["target_id"].unique()))
-        cost = np.full((len(s), len(g)), 1e6)
-        cost[s.get_indexer(pdf["source_id"]), g.get_indexer(pdf["target_id"])] = pdf["distance"]
-        got = [(s[i], g[j], cost[i, j]) for i, j in enumerate(assignment(cost)) if j >= 0 and cost[i, j] < 1e6]
-        return pd.DataFrame(got, columns=["source_id", "target_id", "distance"])
-
-    # a pair that shares no end with another one needs no solving
-    many = lambda key: pairs.groupBy(key).agg(F.count(F.lit(1)).alias(f"_{key}"))
-    marked = cut_lineage(pairs.join(many("source_id"), "source_id").join(many("target_id"), "target_id"))
-    alone = (F.col("_source_id") == 1) & (F.col("_target_id") == 1)
-    single = marked.where(alone).select("source_id", "target_id", "distance")
-    pairs = marked.where(~alone).select("source_id", "target_id", "distance")
-    tagged = pairs.select((F.col("source_id") * 2).alias("source_id"), (F.col("target_id") * 2 + 1).alias("target_id"))
-    comp = components(tagged.select(F.col("source_id").alias("node_id")).distinct(), tagged).select((F.col("node_id") / 2).cast("long").alias("source_id"), "component")
-    out = pairs.join(comp, "source_id").groupBy("component").applyInPandas(solve, "source_id long, target_id long, distance double").unionByName(single)
+    pairs = within(a, b, ["ds", "t"], "x", "y", radius).select("source_id", "target_id", "distance")
+    out = link_greedy(cut_lineage(pairs), "distance")
     return out.select(F.col("source_id").alias("pred_id"), F.col("target_id").alias("true_id"), "distance")
 
 
@@ -285,14 +201,14 @@ def forks(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("source_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children")).where("children >= 2")
 
 
-def fork_confusion(pred_edges: DataFrame, true_edges: DataFrame, match: DataFrame, pred_comp: DataFrame, rounds: int = 60) -> DataFrame:
+def fork_confusion(pred_edges: DataFrame, true_edges: DataFrame, match: DataFrame, pred_comp: DataFrame) -> DataFrame:
     """TP, FP, FN divisions: the two child lineages of a true division and its anchor must meet in one forked component."""
     tf = forks(true_edges).select(F.col("node_id").alias("src"))
     kids = true_edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("kid")).join(tf, "src")
     two = kids.groupBy("src").agg(F.slice(F.array_sort(F.collect_set("kid")), 1, 2).alias("k")).select("src", F.posexplode("k").alias("side", "node"))
     nxt = true_edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("_n"))
     reach = front = cut_lineage(two)
-    for _ in range(rounds):  # descendants, one frame per round
+    while True:  # descendants, one frame per round, to the last frame of the longest lineage
         front = front.join(nxt, "node").select("src", "side", F.col("_n").alias("node")).distinct()
         front = cut_lineage(front.join(reach, ["src", "side", "node"], "left_anti"))
         if front.isEmpty():

@@ -52,9 +52,12 @@ def session_positions(hits: DataFrame, visit: str, t: str, uid: str, limit: int
     return numbered(hits, [visit], F.col(t), [t, uid], "position", limit)
 
 
-def session_sequence(hits: DataFrame, visit: str, t: str, uid: str, item: str, piece: int = 10_000, limit: int | None = None) -> DataFrame:
-    """Ordered item list per visit and its length. Visits longer than ``piece`` come as numbered pieces in order."""
-    rows = session_positions(hits, visit, t, uid, limit).withColumn("piece", F.floor((F.col("position") - 1) / piece))
+def session_sequence(hits: DataFrame, visit: str, t: str, uid: str, item: str, piece: int | None = None, limit: int | None = None) -> DataFrame:
+    """Ordered item list per visit and its length, one row per visit.
+
+    With ``piece`` every visit comes as numbered pieces of so many items, for sinks with bounded rows.
+    """
+    rows = session_positions(hits, visit, t, uid, limit).withColumn("piece", F.floor((F.col("position") - 1) / piece) if piece else F.lit(0).cast("long"))
     n = hits.groupBy(visit).agg(F.count(F.lit(1)).alias("session_len"))
     seq = rows.groupBy(visit, "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", item))), lambda x: x[item]).alias("items"))
     return join_keys(seq, n, [visit])
@@ -203,7 +206,7 @@ def similar_pairs(weights: DataFrame, id_col: str, threshold: float) -> DataFram
     return dots.where(F.col("cosine") >= threshold)
 
 
-def similar_groups(df: DataFrame, id_col: str, col: str, threshold: float = 0.6, cap: int = 18, max_df: float = 0.05, rounds: int = 40) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str, col: str, threshold: float = 0.6, cap: int = 18, max_df: float = 0.05) -> DataFrame:
     """Groups of similar texts with at most ``cap`` members.
 
     Exact copies are dealt into groups of ``cap`` first, so a mass of copies never meets in a pair join. What is
@@ -225,7 +228,7 @@ def similar_groups(df: DataFrame, id_col: str, col: str, threshold: float = 0.6,
     label = open_.select(F.col("g"), F.col("g").alias("root"), "size")
     pairs = sims.join(open_.select(F.col("g").alias("a"), F.col("size").alias("sa")), "a").join(open_.select(F.col("g").alias("b"), F.col("size").alias("sb")), "b")
     pairs = pairs.select("a", "b", (F.col("cosine") * F.col("sa") * F.col("sb")).alias("mass"), "sa", "sb")
-    for _ in range(rounds):
+    while True:  # a round merges two groups at least
         fit = pairs.where((F.col("sa") + F.col("sb") <= cap) & (F.col("mass") / (F.col("sa") * F.col("sb")) >= threshold))
         ends = F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("p")), F.struct(F.col("b").alias("g"), F.col("a").alias("p"))))
         both = fit.select(F.round(F.col("mass") / (F.col("sa") * F.col("sb")), 9).alias("s"), "a", "b", ends.alias("e")).select("s", "a", "b", "e.*")

@@ -29,17 +29,6 @@ def _start(t):
     return p.groupBy("user_id").agg((F.max("last_pos") / 24).alias("start"), F.lit(1.0).alias("direction"))
 
 
-@query("ts_align_dtw")
-def _(t):
-    l = lc(t)
-    curve = l.groupBy(F.lit(0).alias("c"), F.floor("t").alias("x")).agg(F.avg("flux").alias("y"))
-    ref = A.feature_bank(curve, "c", "x", "x", "y")  # one shared curve, a row per day
-    rows = A.feature_bank(_sequence(t), "user_id", "day", "event_id", "value").withColumn("ridge", F.col("day"))
-    shared = ref.agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "f_raw", "f_smooth", "f_slope"))).alias("grid")).scalar()
-    payload = _start(t).select("user_id", F.struct(shared.alias("grid"), "start", "direction").alias("payload"))
-    return A.dtw(rows, payload, "user_id", "day", "event_id", ["f_raw", "f_smooth", "f_slope"], "ridge", 1.0)
-
-
 @query("ts_align_beam")
 def _(t):
     curve = lc(t).groupBy(F.floor("t").alias("x")).agg(F.avg("flux").alias("y"))
@@ -53,11 +42,6 @@ def _(t):
     return A.match_ncc(prefix(t), "user_id", "md", "event_id", "tvt_input", "value", halves=(2, 4), stride=1)
 
 
-@query("ts_notch_denoise")
-def _(t):
-    return A.notch(lc(t), "user_id", "t", "event_id", "flux", need=64)
-
-
 @query(
     "ts_feature_bank",
     """WITH m AS (SELECT user_id, quantile_cont(value, 0.5) AS med FROM events GROUP BY 1), d AS (SELECT e.*, med FROM events e JOIN m USING (user_id)),

@@ -265,7 +265,7 @@ def _(t):
 @query("sinkhorn_balance")
 def _(t):
     p = P.prob(t)
-    return N.sinkhorn(p, {c: f"a{c}" for c in P.CLS}, {"F": 0.2, "O": 0.3, "P": 0.5}, rounds=20, tol=1e-6).select("id", "q_F", "q_O", "q_P", "decision")
+    return N.sinkhorn(p, {c: f"a{c}" for c in P.CLS}, {"F": 0.2, "O": 0.3, "P": 0.5}).select("id", "q_F", "q_O", "q_P", "decision")
 
 
 @query(
@@ -305,12 +305,12 @@ def _(t):
 
 @query("weight_hill_climb")
 def _(t):
-    return N.hill_climb(P.prob(t), ["a", "b"], P.CLS, "target", rounds=8)
+    return N.hill_climb(P.prob(t), ["a", "b"], P.CLS, "target")
 
 
 @query("weight_convex_logloss")
 def _(t):
-    return N.convex_logloss(P.pred(t), list(M), "y", rounds=12)
+    return N.convex_logloss(P.pred(t), list(M), "y")
 
 
 @query(
@@ -324,7 +324,7 @@ def _(t):
 
 @query("class_multiplier_greedy")
 def _(t):
-    return N.multiplier_search(P.prob(t), {c: f"a{c}" for c in P.CLS}, "target", rounds=2)
+    return N.multiplier_search(P.prob(t), {c: f"a{c}" for c in P.CLS}, "target")
 
 
 @query(

@@ -77,8 +77,9 @@ def _(t):
 def _(t):
     path = S.work_folder(t.spark, "cache")
     build = lambda: t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
-    S.stage_cache(t.spark, path, build)
-    return S.stage_cache(t.spark, path, build)
+    key = S.fingerprint([t.orders], "orders per customer")
+    S.stage_cache(t.spark, path, build, key)
+    return S.stage_cache(t.spark, path, build, key)
 
 
 @query("load_optional_external", "SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment AS seg, 0 AS is_external FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, 1 FROM supplier WHERE s_acctbal >= 0")

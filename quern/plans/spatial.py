@@ -38,17 +38,41 @@ def _(t):
     return pairs(t)
 
 
-@query("graph_link_greedy", f"{BASE}, {MUT} SELECT source_id, target_id, distance FROM mut", f="distance")
+def greedy(source: str, name: str, cost: str = "distance") -> str:
+    """Sorted greedy links of a table (ds, t, source_id, target_id, cost): one pair per step, all frames side by side."""
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY ds, t ORDER BY {cost}, source_id, target_id) AS i FROM {source}),
+{name}_r(ds, t, i, s, g, us, ut) AS (
+  SELECT ds, t, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT ds, t FROM {source})
+  UNION ALL
+  SELECT r.ds, r.t, o.i, CASE WHEN ok THEN source_id END, CASE WHEN ok THEN target_id END, CASE WHEN ok THEN list_append(us, source_id) ELSE us END, CASE WHEN ok THEN list_append(ut, target_id) ELSE ut END
+  FROM (SELECT r.*, o.source_id, o.target_id, o.i AS oi, NOT list_contains(us, source_id) AND NOT list_contains(ut, target_id) AS ok FROM {name}_r r JOIN {name}_o o ON r.ds = o.ds AND r.t = o.t AND o.i = r.i + 1) r JOIN {name}_o o ON r.ds = o.ds AND r.t = o.t AND o.i = r.oi),
+{name} AS (SELECT o.* FROM {name}_r r JOIN {name}_o o ON r.ds = o.ds AND r.t = o.t AND r.i = o.i WHERE r.s IS NOT NULL)"""
+
+
+@query("graph_mutual_best", f"{BASE}, {MUT} SELECT source_id, target_id, distance FROM mut", f="distance")
 def _(t):
     return G.mutual_best(pairs(t), "distance").select("source_id", "target_id", "distance")
 
 
-@query("graph_link_rounds")
+@query("graph_link_greedy", f"{BASE}, {greedy('pairs', 'gl')} SELECT source_id, target_id, distance FROM gl", f="distance")
 def _(t):
     return G.link_greedy(cut_lineage(pairs(t)), "distance").select("source_id", "target_id", "distance")
 
 
-@query("graph_motion_link")
+@query("graph_link_rounds", f"{BASE}, {greedy('pairs', 'gl')} SELECT ds, count(*) AS links, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets, sum(distance) AS total FROM gl GROUP BY 1", f="total")
+def _(t):
+    """The one-to-one links per dataset: each source and target occurs once."""
+    got = G.link_greedy(cut_lineage(pairs(t)), "distance").groupBy("ds")
+    return got.agg(F.count("*").alias("links"), F.countDistinct("source_id").alias("sources"), F.countDistinct("target_id").alias("targets"), F.sum("distance").alias("total"))
+
+
+NEAR4 = f"near AS (SELECT a.ds, a.t, a.node_id AS source_id, b.node_id AS target_id, {DIST} AS distance, a.x AS sx, a.y AS sy, b.x AS gx, b.y AS gy FROM nodes a JOIN nodes b ON a.ds = b.ds AND b.t = a.t + 1 AND {DIST} <= 4), tight AS (SELECT * FROM near WHERE distance <= 2)"
+OPEN = """speed AS (SELECT target_id AS source_id, gx - sx AS vx, gy - sy AS vy FROM first),
+rest AS (SELECT near.*, round(sqrt(pow(gx - (sx + coalesce(vx, 0)), 2) + pow(gy - (sy + coalesce(vy, 0)), 2)) + 0.05e0 * distance, 9) AS cost FROM near LEFT JOIN speed USING (source_id)
+  WHERE source_id NOT IN (SELECT source_id FROM first) AND target_id NOT IN (SELECT target_id FROM first))"""
+
+
+@query("graph_motion_link", f"WITH RECURSIVE {NODES}, {NEAR4}, {greedy('tight', 'first')}, {OPEN}, {greedy('rest', 'second', 'cost')} SELECT ds, source_id, target_id FROM first UNION ALL SELECT ds, source_id, target_id FROM second")
 def _(t):
     return G.motion_link(nodes(t), 2.0, 4.0)
 
@@ -122,7 +146,10 @@ def match(t):
     return G.node_match(nodes(t), truth(t), 1.0)
 
 
-@query("graph_node_match")
+HIT = "m1 AS (SELECT a.ds, a.t, a.node_id AS source_id, b.node_id AS target_id, sqrt(pow(a.x - (b.x + 0.1e0), 2) + pow(a.y - (b.y - 0.05e0), 2)) AS distance FROM nodes a JOIN nodes b ON a.ds = b.ds AND a.t = b.t AND b.node_id % 10 > 0 WHERE sqrt(pow(a.x - (b.x + 0.1e0), 2) + pow(a.y - (b.y - 0.05e0), 2)) <= 1)"
+
+
+@query("graph_node_match", f"WITH RECURSIVE {NODES}, {HIT}, {greedy('m1', 'mm')} SELECT source_id AS pred_id, target_id AS true_id, distance FROM mm", f="distance")
 def _(t):
     return match(t)
 

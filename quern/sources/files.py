@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -10,11 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.session import shared_folder
+
+
+_made: list[tuple[SparkSession, str]] = []
+
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder (a local one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    """A new folder name under the shared folder; :func:`clear_work` removes what was made there."""
+    path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def clear_work() -> None:
+    """Remove the work folders handed out so far, through the file system that holds them."""
+    while _made:
+        spark, path = _made.pop()
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def scan_csv(
@@ -77,13 +91,17 @@ def pool_listing(spark: SparkSession, root: str, lowest: float = 0.0, highest: f
 
 
 def scan_pool(spark: SparkSession, root: str, lowest: float = 0.0, highest: float = 1.0) -> DataFrame:
-    """Accepted prediction files as long rows (group, model, score, id, value)."""
-    listing = pool_listing(spark, root, lowest, highest).where("reason = 'ok'")
-    rows = (
-        spark.read.schema("id long, value double").option("header", True).option("recursiveFileLookup", "true").csv(root).withColumn("path", F.input_file_name())
-    )
+    """Accepted prediction files as long rows (group, model, score, id, value).
+
+    The listing (one row per file) comes to the driver as a listing of any scan does; rejected files are not opened.
+    """
+    listing = pool_listing(spark, root, lowest, highest).where("reason = 'ok'").drop("reason")
+    paths = [r["path"] for r in listing.select("path").collect()]
+    if not paths:
+        return listing.select("group", "model", "score", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("value")).limit(0)
+    rows = spark.read.schema("id long, value double").option("header", True).csv(paths).withColumn("path", F.input_file_name())
     clean = lambda p: F.regexp_replace(p, "^file:/+", "/")
-    return rows.withColumn("path", clean("path")).join(listing.withColumn("path", clean("path")).drop("reason"), "path").drop("path")
+    return rows.withColumn("path", clean("path")).join(listing.withColumn("path", clean("path")), "path").select("group", "model", "score", "id", "value")
 
 
 def sink_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -111,12 +129,25 @@ def sink_submission(df: DataFrame, sample: DataFrame, id_col: str, value: str, p
     return df.sparkSession.read.schema(out.schema).option("header", True).csv(path)
 
 
-def stage_cache(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the stage if it is complete, else build and write it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+def fingerprint(sources: Sequence[DataFrame], parameters: object = None) -> str:
+    """Key of a stage: schemas, input files with size and time, and the parameters it was built with."""
+    parts = [repr(parameters)]
+    for df in sources:
+        parts.append(df.schema.json())
+        for f in sorted(df.inputFiles()):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            st = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(p)
+            parts.append(f"{f} {st.getLen()} {st.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]
+
+
+def stage_cache(spark: SparkSession, path: str, build: Callable[[], DataFrame], key: str = "") -> DataFrame:
+    """Read the stage if it is complete and was built under the same key, else build and write it."""
+    full = f"{path}/{key}" if key else path
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{full}/_SUCCESS")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        build().write.mode("overwrite").parquet(full)
+    return spark.read.parquet(full)
 
 
 def load_optional_external(main: DataFrame, external: DataFrame | None, sentinel: Column | None = None) -> DataFrame:

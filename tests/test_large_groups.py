@@ -1,5 +1,7 @@
 """Groups above the row limit must give exactly what the plain path gives."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -79,18 +81,52 @@ def test_sequential_decoding(spark, rows):
     pay = rows.groupBy("ent").agg(F.lit(0.0).alias("start")).select("ent", F.struct(g.alias("grid"), "start", F.lit(1.0).alias("direction")).alias("payload"))
     b = lambda lim: align.beam(rows, pay, "ent", "t", "u", "v", limit=lim)
     same(b(None), b(90), ["u"], ["value"])
-    r = rows.withColumn("ridge", F.lit(10.0)).withColumnRenamed("y", "lab").withColumn("y", F.col("v"))
-    d = lambda lim: align.dtw(r, pay, "ent", "t", "u", ["y"], "ridge", 1.0, limit=lim)
-    same(d(None), d(90), ["u"], ["value"])
-
-
-def test_dtw_recovers_a_rising_path(spark):
-    rng = np.random.default_rng(0)
-    ref = rng.normal(size=40) * 3
-    path = np.minimum(np.arange(20) * 2, 39)
-    rows = spark.createDataFrame(pd.DataFrame({"e": 1, "u": range(20), "p": np.arange(20.0), "y": ref[path], "ridge": path.astype(float)}))
-    grid = spark.createDataFrame(pd.DataFrame({"e": 1, "x": np.arange(40.0), "y": ref}))
-    extra = spark.createDataFrame([(1, 0.0, 1.0)], "e long, start double, direction double")
-    pay = align.grid_payload(grid, "e", "x", ["y"], extra)
-    got = align.dtw(rows, pay, "e", "p", "u", ["y"], "ridge", 1.0).orderBy("u").toPandas()
-    assert got["value"].tolist() == path.tolist()
+
+
+@pytest.mark.parametrize("by", ["ties", "nulls"])
+def test_tied_and_null_leads_are_cut_by_the_rest_of_the_order(spark, by):
+    lead = F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(F.lit(1.0 if by == "ties" else None).cast("double"))
+    df = spark.range(3000).withColumn("v", lead)
+    cut = O.chunked(df, [], F.col("v"), 100, ["v", "id"])
+    sizes = [r["count"] for r in cut.groupBy(O.CHUNK).count().collect()]
+    assert max(sizes) < 400
+    f = lambda lim: O.numbered(df, [], F.col("v"), ["v", "id"], "rn", lim)
+    same(f(None), f(100), ["id"], ["rn"])
+
+
+def test_names_with_dots_and_clashes(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(200)], "id long, `_r_id` double")
+    got = O.average_rank(df, [], "_r_id", "_r__r_id", limit=20)
+    same(O.average_rank(df, [], "_r_id", "_r__r_id"), got, ["id"], ["_r__r_id"])
+    q = {"a|0.25": ("_r_id", 0.25), "b.c": ("_r_id", 0.5)}
+    assert O.quantiles(df, [], q, 20).first() == O.quantiles(df, [], q).first()
+
+
+LOWERED = (
+    "spearman_matrix blend_rank_pct iqr_outliers blend_selective label_encode_union fold_stratified_group metric_ap_at_20pct "
+    "agg_moments impute_interpolate robust_zscore blend_rank_remap kruskal_h"
+).split()
+
+
+@pytest.fixture
+def small_limit(monkeypatch):
+    import quern.operators.align as a
+    import quern.operators.scalar as b
+    import quern.operators.series as c
+
+    for m in (O, a, b, c):
+        monkeypatch.setattr(m, "ROWS_PER_TASK", 60)
+
+
+@pytest.mark.parametrize("name", sorted(__import__("test_oracle").ORACLES) if os.environ.get("QUERN_ALL") else LOWERED)
+def test_registered_queries_on_the_large_path(spark, small_limit, name):
+    """The chunked path of a query gives what its SQL gives."""
+    import duckdb
+    from test_oracle import DIR, ORACLES, QUERIES, TABLES, canon
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    got, want = QUERIES[name](spark, DIR).toPandas(), con.execute(ORACLES[name]).df()
+    pd.testing.assert_frame_equal(canon(got), canon(want), check_dtype=False, rtol=1e-6, atol=1e-6)
