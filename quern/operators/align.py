@@ -173,16 +173,17 @@ BREAKS = (-0.6745, 0.0, 0.6745)  # fixed values: quartiles of the normal distrib
 
 def shaped(window: Column) -> Column:
     """Struct (z, shape): the window with mean 0 and deviation 1, and a number for the levels of its part means."""
-    n = F.size(window)
+    n = F.greatest(F.size(window), F.lit(1))
     mean = F.aggregate(window, F.lit(0.0), lambda a, x: a + x) / n
     sd = F.sqrt(F.aggregate(window, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n) + 1e-6
     z = F.transform(window, lambda x: (x - mean) / sd)
     at = lambda i: F.floor(i * n / SEGMENTS).cast("int")
-    part = lambda i: F.slice(window, at(i) + 1, at(i + 1) - at(i))
+    long = lambda i: F.greatest(at(i + 1) - at(i), F.lit(1))
+    part = lambda i: F.slice(window, at(i) + 1, long(i))
     shape = F.lit(0)
     for i in range(SEGMENTS):
         level = F.lit(0)
-        value = (F.aggregate(part(i), F.lit(0.0), lambda a, x: a + x) / (at(i + 1) - at(i)) - mean) / sd
+        value = (F.aggregate(part(i), F.lit(0.0), lambda a, x: a + x) / long(i) - mean) / sd
         for b in BREAKS:
             level = level + (value > b).cast("int")
         shape = shape * (len(BREAKS) + 1) + level

@@ -438,7 +438,7 @@ def hill_climb(df: DataFrame, models: Sequence[str], classes: Sequence[str], y:
     return df.sparkSession.createDataFrame(rows, "model string, weight double, balanced_accuracy double, converged boolean")
 
 
-def convex_logloss(df: DataFrame, models: Sequence[str], y: str, rounds: int = 2000, rate: float = 2.0) -> DataFrame:
+def convex_logloss(df: DataFrame, models: Sequence[str], y: str, rounds: int = 500, rate: float = 2.0, tol: float = 1e-6) -> DataFrame:
     """Non-negative weights summing to one that minimise log loss, by exponentiated gradient steps (one pass each).
 
     ``converged`` tells whether the loss stopped falling before the rounds ran out.
@@ -454,7 +454,7 @@ def convex_logloss(df: DataFrame, models: Sequence[str], y: str, rounds: int = 2
         r = df.agg(
             F.avg(-(F.col(y) * F.ln(p) + (1 - F.col(y)) * F.ln(1 - p))).alias("loss"), *[F.avg(F.col(m) * g).alias(f"g{i}") for i, m in enumerate(models)]
         ).first()
-        if loss is not None and abs(loss - r["loss"]) < 1e-9:
+        if loss is not None and abs(loss - r["loss"]) < tol:
             loss, converged = r["loss"], True
             break
         loss = r["loss"]

@@ -39,7 +39,7 @@ def _(t):
 
 @query("ts_match_ncc")
 def _(t):
-    return A.match_ncc(prefix(t), "user_id", "md", "event_id", "tvt_input", "value", halves=(2, 4), stride=1)
+    return A.match_ncc(prefix(t), "user_id", "md", "event_id", "tvt_input", "value")
 
 
 @query(

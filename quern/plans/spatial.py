@@ -44,8 +44,8 @@ def greedy(source: str, name: str, cost: str = "distance") -> str:
 {name}_r(ds, t, i, s, g, us, ut) AS (
   SELECT ds, t, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT ds, t FROM {source})
   UNION ALL
-  SELECT r.ds, r.t, o.i, CASE WHEN ok THEN source_id END, CASE WHEN ok THEN target_id END, CASE WHEN ok THEN list_append(us, source_id) ELSE us END, CASE WHEN ok THEN list_append(ut, target_id) ELSE ut END
-  FROM (SELECT r.*, o.source_id, o.target_id, o.i AS oi, NOT list_contains(us, source_id) AND NOT list_contains(ut, target_id) AS ok FROM {name}_r r JOIN {name}_o o ON r.ds = o.ds AND r.t = o.t AND o.i = r.i + 1) r JOIN {name}_o o ON r.ds = o.ds AND r.t = o.t AND o.i = r.oi),
+  SELECT ds, t, oi, CASE WHEN ok THEN source_id END, CASE WHEN ok THEN target_id END, CASE WHEN ok THEN list_append(us, source_id) ELSE us END, CASE WHEN ok THEN list_append(ut, target_id) ELSE ut END
+  FROM (SELECT r.*, o.source_id, o.target_id, o.i AS oi, NOT list_contains(us, source_id) AND NOT list_contains(ut, target_id) AS ok FROM {name}_r r JOIN {name}_o o ON r.ds = o.ds AND r.t = o.t AND o.i = r.i + 1) x),
 {name} AS (SELECT o.* FROM {name}_r r JOIN {name}_o o ON r.ds = o.ds AND r.t = o.t AND r.i = o.i WHERE r.s IS NOT NULL)"""
 
 
