@@ -210,10 +210,11 @@ def poisson_one(u: Column) -> Column:
     return out.otherwise(9)
 
 
-def paired_bootstrap(df: DataFrame, unit: str, y: str, a: str, b: str, replicates: int = 50, seed: int = 0, limit: int | None = None) -> DataFrame:
-    """AUC difference a - b over Poisson(1) resamples of units: mean, percentiles and P(a better).
+def paired_bootstrap(df: DataFrame, unit: str, y: str, a: str, b: str, replicates: int = 50, seed: int = 0, limit: int | None = None, tail: float = 0.05) -> DataFrame:
+    """AUC difference a - b over Poisson(1) resamples of units: mean, median, the ``tail`` percentiles and P(a better).
 
-    A row is repeated only for replicates where its weight is positive.
+    A row is repeated only for replicates where its weight is positive. Resampling is stratified by class by nature:
+    a weight never moves a row to the other class, and the AUC is a mean over both classes.
     """
     reps = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("rep"), poisson_one(uniform(F.col(unit), r, F.lit(seed))).alias("w"))),
@@ -223,7 +224,7 @@ def paired_bootstrap(df: DataFrame, unit: str, y: str, a: str, b: str, replicate
     aa = auc(rows, ["rep"], y, a, F.col("w"), limit).select("rep", F.col("auc").alias("_a"))
     bb = auc(rows, ["rep"], y, b, F.col("w"), limit).select("rep", F.col("auc").alias("_b"))
     d = aa.join(bb, "rep").select((F.col("_a") - F.col("_b")).alias("d"))  # one row per replicate
-    q = F.percentile("d", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    q = F.percentile("d", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))
     return d.agg(F.count("d").alias("replicates"), F.avg("d").alias("mean"), q.alias("q"), F.avg((F.col("d") > 0).cast("int")).alias("p_better")).select(
         "replicates", "mean", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"), "p_better"
     )
@@ -241,9 +242,9 @@ def noise_curve(df: DataFrame, unit: str, y: str, score: str, shares: Sequence[f
     )
 
 
-def worst_decile_share(per_entity: DataFrame, sse: str, share: float = 0.1, limit: int | None = None) -> DataFrame:
-    """Share of the total squared error held by the worst tenth of entities."""
-    rows = numbered(per_entity.withColumn("_neg", -F.col(sse)), [], F.col("_neg"), ["_neg"], "_rn", limit)
+def worst_decile_share(per_entity: DataFrame, sse: str, tie: str, share: float = 0.1, limit: int | None = None) -> DataFrame:
+    """Share of the total squared error held by the worst tenth of entities, equal errors ordered by ``tie``."""
+    rows = numbered(per_entity.withColumn("_neg", -F.col(sse)), [], F.col("_neg"), ["_neg", tie], "_rn", limit)
     n = per_entity.agg(F.greatest(F.ceil(F.count(F.lit(1)) * F.lit(share)), F.lit(1))).scalar()
     return rows.agg(F.sum(F.when(F.col("_rn") <= n, F.col(sse))).alias("worst_sse"), F.sum(sse).alias("total_sse")).withColumn(
         "share", F.col("worst_sse") / F.greatest("total_sse", F.lit(1e-12))

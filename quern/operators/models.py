@@ -31,48 +31,81 @@ def _numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
-def oof(df: DataFrame, cols: Sequence[str], label: str, fold: str, folds: int, model: Callable[[str], object], scale: bool = True, regression: bool = False, external: str | None = None, test: DataFrame | None = None) -> DataFrame:
-    """Out-of-fold ``score`` for every row; with ``test``, its rows get the mean score over the fold models.
-
-    Rows flagged by ``external`` only train.
+def _fit(train: DataFrame, cols: Sequence[str], label: str, model: Callable[[str], object], scale: bool) -> list:
+    """Preparation and one or several models (their scores are averaged) on the training rows."""
+    train = train.withColumn(label, F.col(label).cast("double"))
+    prep = Pipeline(stages=prepared(cols, scale)).fit(train)
+    made = model("_x" if scale else "_v")
+    ready = prep.transform(train)
+    return [prep, *[m.fit(ready) for m in (made if isinstance(made, list) else [made])]]
+
+
+def _score(df: DataFrame, fitted: list, out: str, regression: bool) -> DataFrame:
+    prep, *models = fitted
+    value = F.col("prediction") if regression else vector_to_array("probability")[1]
+    names = [f"_m{i}" for i in range(len(models))]
+    t = prep.transform(df)
+    for i, m in enumerate(models):
+        t = m.transform(t).withColumn(names[i], value).drop("rawPrediction", "probability", "prediction")
+    return t.select(*df.columns, (sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).alias(out))
+
+
+def oof(
+    df: DataFrame, cols: Sequence[str], label: str, fold: str, folds: int, model: Callable[[str], object], scale: bool = True, regression: bool = False,
+    external: str | None = None, test: DataFrame | None = None, refit: bool = False,
+) -> DataFrame:
+    """Out-of-fold ``score`` for every row; several models (``model`` gives a list) are averaged in the row.
+
+    With ``test``, its rows get the mean score over the fold models, or with ``refit`` that of a model of all rows.
+    Rows flagged by ``external`` only train. The table is cached while models are fitted and released then.
     """
     df = _numeric(df, cols).persist()
     own = df if external is None else df.where(F.col(external) == 0)
-    score = F.col("prediction") if regression else vector_to_array("probability")[1]
     fitted = []
     for i in range(folds):
         train = df.where(F.col(fold) != i) if external is None else df.where((F.col(fold) != i) | (F.col(external) == 1))
-        fitted.append(Pipeline(stages=[*prepared(cols, scale), model("_x" if scale else "_v")]).fit(train.withColumn(label, F.col(label).cast("double"))))
+        fitted.append(_fit(train, cols, label, model, scale))
+    last = [_fit(df, cols, label, model, scale)] if refit and test is not None else fitted
+    df.unpersist()
     out = None
     for i, m in enumerate(fitted):
-        part = m.transform(own.where(F.col(fold) == i)).select(*df.columns, score.alias("score"))
+        part = _score(own.where(F.col(fold) == i), m, "score", regression)
         out = part if out is None else out.unionByName(part)
     if test is not None:
         t = _numeric(test, cols)
-        for i, m in enumerate(fitted):
-            t = m.transform(t).withColumn(f"_s{i}", score).select(*test.columns, *[f"_s{j}" for j in range(i + 1)])
-        t = t.withColumn("score", sum((F.col(f"_s{j}") for j in range(1, folds)), F.col("_s0")) / folds).drop(*[f"_s{j}" for j in range(folds)])
+        for j, m in enumerate(last):
+            t = _score(t, m, f"_s{j}", regression)
+        names = [f"_s{j}" for j in range(len(last))]
+        t = t.withColumn("score", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).drop(*names)
         out = out.unionByName(t.withColumns({fold: F.lit(-1)}), allowMissingColumns=True)
     return out
 
 
-def oof_logistic(df: DataFrame, cols: Sequence[str], label: str, fold: str, folds: int, reg: float = 0.0, test: DataFrame | None = None) -> DataFrame:
-    return oof(df, cols, label, fold, folds, lambda x: LogisticRegression(featuresCol=x, labelCol=label, regParam=reg, maxIter=50), test=test)
+def oof_logistic(df: DataFrame, cols: Sequence[str], label: str, fold: str, folds: int, reg: float = 0.0, test: DataFrame | None = None, refit: bool = True) -> DataFrame:
+    """Logistic regression out of fold; test rows are scored by a final fit on all rows."""
+    return oof(df, cols, label, fold, folds, lambda x: LogisticRegression(featuresCol=x, labelCol=label, regParam=reg, maxIter=50), test=test, refit=refit)
 
 
 def oof_gbt(df: DataFrame, cols: Sequence[str], label: str, fold: str, folds: int, trees: int = 10, depth: int = 3, seeds: Sequence[int] = (0,), test: DataFrame | None = None) -> DataFrame:
     """Boosted trees, averaged over seeds."""
-    out = None
-    for s in seeds:
-        one = oof(df, cols, label, fold, folds, lambda x, s=s: GBTClassifier(featuresCol=x, labelCol=label, maxIter=trees, maxDepth=depth, subsamplingRate=0.8, seed=s), scale=False, test=test)
-        out = one.withColumn("_seed", F.lit(s)) if out is None else out.unionByName(one.withColumn("_seed", F.lit(s)))
-    keep = [c for c in out.columns if c not in ("score", "_seed")]
-    return out.groupBy(*keep).agg(F.avg("score").alias("score"))
+    make = lambda x: [GBTClassifier(featuresCol=x, labelCol=label, maxIter=trees, maxDepth=depth, subsamplingRate=0.8, seed=s) for s in seeds]
+    return oof(df, cols, label, fold, folds, make, scale=False, test=test)
+
+
+def oof_one_vs_rest(df: DataFrame, cols: Sequence[str], label: str, classes: Sequence, fold: str, folds: int, trees: int = 10, depth: int = 3, seeds: Sequence[int] = (0,)) -> DataFrame:
+    """Boosted trees per class against the rest, out of fold; ``score_<class>`` sum to one in each row."""
+    out = df
+    for c in classes:
+        one = oof_gbt(out.withColumn("_one", (F.col(label) == c).cast("int")), cols, "_one", fold, folds, trees, depth, seeds)
+        out = one.withColumnRenamed("score", f"score_{c}").drop("_one")
+    total = F.greatest(sum((F.col(f"score_{c}") for c in classes[1:]), F.col(f"score_{classes[0]}")), F.lit(1e-12))
+    return out.withColumns({f"score_{c}": F.col(f"score_{c}") / total for c in classes})
 
 
 def oof_by_segment(df: DataFrame, cols: Sequence[str], label: str, fold: str, folds: int, segment: str, values: Sequence, reg: float = 0.0) -> DataFrame:
-    """A separate model per segment."""
-    out = None
+    """A separate model per listed segment and one for all other rows."""
+    rest = df.where(~F.coalesce(F.col(segment).isin(*values), F.lit(False)))
+    out = None if rest.isEmpty() else oof_logistic(rest, cols, label, fold, folds, reg)
     for v in values:
         one = oof_logistic(df.where(F.col(segment) == v), cols, label, fold, folds, reg)
         out = one if out is None else out.unionByName(one)
@@ -185,10 +218,14 @@ def baseline_ladder(df: DataFrame, cols: Sequence[str], single: str, label: str,
     """Balanced accuracy of the majority class, a one-feature tree and the reference model, out of fold."""
     hard = lambda d: d.withColumn("_p", (F.col("score") >= 0.5).cast("int"))
     recall = lambda d: d.groupBy(label).agg(F.avg((F.col("_p") == F.col(label)).cast("int")).alias("r")).agg(F.avg("r")).first()[0]
-    top = df.groupBy(label).count().orderBy(F.desc("count"), label).first()[0]
+    # the most frequent class of the other folds, from one row per fold and class
+    counts = {(r[fold], r[label]): r["count"] for r in df.groupBy(fold, label).count().collect()}
+    classes = sorted({y for _, y in counts})
+    other = lambda f: max(classes, key=lambda y: sum(n for (g, z), n in counts.items() if g != f and z == y))
+    top = F.create_map(*[F.lit(x) for f in sorted({g for g, _ in counts}) for x in (f, other(f))])[F.col(fold)]
     tree = oof(df, [single], label, fold, folds, lambda x: DecisionTreeClassifier(featuresCol=x, labelCol=label, maxDepth=3, seed=0), scale=False)
     full = oof_gbt(df, cols, label, fold, folds)
-    rows = [("majority", recall(df.withColumn("_p", F.lit(top)))), ("one_feature", recall(hard(tree))), ("reference", recall(hard(full)))]
+    rows = [("majority", recall(df.withColumn("_p", top))), ("one_feature", recall(hard(tree))), ("reference", recall(hard(full)))]
     return df.sparkSession.createDataFrame([(n, float(v)) for n, v in rows], "model string, balanced_accuracy double")
 
 

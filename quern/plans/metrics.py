@@ -159,7 +159,7 @@ def _(t):
 )
 def _(t):
     per = t.events.groupBy("user_id").agg(F.sum(F.pow(F.col("value") - 50, 2)).alias("sse"))
-    return M.worst_decile_share(per, "sse")
+    return M.worst_decile_share(per, "sse", "user_id")
 
 
 @query(

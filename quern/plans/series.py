@@ -295,9 +295,19 @@ def _(t):
     return T.fraction(prefix(t), "md").select("event_id", T.warmup_shrink(F.col("value"), F.col("since"), 85.0, 0.9).alias("shrunk"))
 
 
-@query("ts_savgol")
+SMOOTH = ", ".join(f"({w}, {i}, {k}, {x!r}::DOUBLE)" for w in range(17, 4, -2) for i, r in enumerate(T.savgol_weights(w, 3)) for k, x in enumerate(r))
+
+
+@query(
+    "ts_savgol",
+    f"""WITH {SEQ}, w(wl, place, k, weight) AS (VALUES {SMOOTH}),
+a AS (SELECT user_id, event_id, rn, value, count(*) OVER (PARTITION BY user_id) AS nr FROM pf),
+b AS (SELECT *, least(nr, 17) - CASE WHEN least(nr, 17) % 2 = 0 THEN 1 ELSE 0 END AS wl FROM a), c AS (SELECT *, greatest(least(rn - wl // 2, nr - wl + 1), 1) AS st FROM b)
+SELECT c.event_id, round(coalesce(sum(q.value * w.weight), any_value(c.value)), 5) AS smooth FROM c LEFT JOIN w ON w.wl = c.wl AND w.place = c.rn - c.st LEFT JOIN a q ON q.user_id = c.user_id AND q.rn = c.st + w.k GROUP BY c.event_id""",
+    f="smooth",
+)
 def _(t):
-    return T.savgol(prefix(t), "user_id", "md", "event_id", "value").select("event_id", "smooth")
+    return rounded(T.savgol(prefix(t), "user_id", "md", "event_id", "value").select("event_id", "smooth"), ["smooth"], 5)
 
 
 GRID = f"""grid AS (SELECT band, floor(t) AS x, avg(flux) AS y FROM lc GROUP BY 1, 2),
