@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows: numbers, names and units become typed placeholders.
 
-A text becomes template words: letters and digits, lower-cased; a word with a digit is a number, a word of ``UNITS``
+A text becomes template words: runs of letters and digits, lower-cased; a word with a digit is a number, a word of ``UNITS``
 right after a number is a unit, a capitalised word inside a sentence may be a name. Every text is read in two forms,
 with names kept and with names as placeholders. Windows of ``SPAN`` template words are hashed; a window with fewer
 than ``LITERAL`` ordinary words keeps its values, else tables of numbers would all look alike.
@@ -18,8 +18,8 @@ identifiers are one item.
 
 from __future__ import annotations
 
+import functools
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,65 +33,113 @@ SPAN = 5  # template words of a window
 SHARE = 0.8  # of the windows of an item, and of its slot values
 LITERAL = 3  # ordinary words that a window needs to stand with placeholders
 FILTER_BITS = 24  # the filter has 2 ** 24 bits (2 MB) however large the benchmark is
-CACHE = 400_000  # distinct words whose hashes a task keeps
+PIECE = 1 << 18  # characters read at once; longer words count as several
 UNITS = frozenset("mm cm m km mg g kg t ml l s sec min h hours days weeks months years percent usd eur gbp dollars euros cents miles feet inches pounds ounces degrees mph kmh watts volts joules newtons".split())
-NUMBER, NAME, UNIT = (zlib.crc32(x) << 32 | zlib.crc32(x, 1) for x in (b"\0number", b"\0name", b"\0unit"))
-TOKEN = re.compile(r"[^\W_]+|[.!?:\n]")
-RATE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of window hashes
-
-
-class Words:
-    """Hash and kind of tokens; keeps those it has seen, up to ``CACHE``."""
-
-    def __init__(self) -> None:
-        self.row: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.row.clear()
-        self.table = np.zeros((1 << 12, 2), "u8")  # doubles when full
-
-    def look(self, tokens: list[str]) -> np.ndarray:
-        """(hash, kind) rows; kinds: 0 word, 1 number, 2 unit, 3 capitalised, 4 sentence mark."""
-        if len(self.row) > CACHE:
-            self.clear()
-        new = list(set(tokens).difference(self.row))
-        if new:
-            at = len(self.row)
-            while at + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            for i, t in enumerate(new, at):
-                self.row[t] = i
-            self.table[at : at + len(new)] = [measured(t) for t in new]
-        return self.table[np.fromiter(map(self.row.__getitem__, tokens), "i8", len(tokens))]
-
-
-def measured(token: str) -> tuple[int, int]:
-    """Hash and kind of a token."""
-    low = token.lower()
-    b = low.encode()
-    if token.isalpha():
-        kind = 2 if low in UNITS else 3 if token[0].isupper() else 0
-    else:
-        kind = 4 if token in ".!?:\n" else 1 if any(c.isdigit() for c in token) else 0
-    return zlib.crc32(b) << 32 | zlib.crc32(b, 7), kind
-
-
-def template(words: Words, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+RATE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of hashes, with its inverse modulo 2 ** 64
+BACK = np.uint64(pow(int(RATE), -1, 1 << 64))
+SEPARATOR, LETTER, DIGIT, MARK = range(4)
+CLASS = np.full(256, SEPARATOR, "u1")  # bytes of characters beyond ASCII are letters
+CLASS[128:] = CLASS[ord("a") : ord("z") + 1] = CLASS[ord("A") : ord("Z") + 1] = LETTER
+CLASS[ord("0") : ord("9") + 1] = DIGIT
+CLASS[[ord(c) for c in ".!?:\n"]] = MARK
+ODD = re.compile(r"[^\x00-\x7f\w]")  # punctuation and blanks beyond ASCII
+
+
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse for every byte of a piece (a character has at most four)."""
+    n = np.full(4 * PIECE, RATE, "u8"), np.full(4 * PIECE, BACK, "u8")
+    for x in n:
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return n
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint64(29))) * RATE
+
+
+def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word; equal words have equal hashes wherever they stand."""
+    up, down = powers()
+    sums = np.zeros(len(text) + 1, "u8")
+    np.cumsum((np.frombuffer(text, "u1").astype("u8") + np.uint64(1)) * up[: len(text)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hash(word: str) -> int:
+    b = word.encode()
+    return int(word_hashes(b, np.array([0]), np.array([len(b)]))[0])
+
+
+@functools.cache
+def marks() -> tuple[np.uint64, np.uint64, np.uint64, np.ndarray]:
+    """Hashes of the placeholders for numbers, names and units, and those of all unit words."""
+    return (*(np.uint64(word_hash(x)) for x in ("\0number", "\0name", "\0unit")), np.array(sorted(word_hash(u) for u in UNITS), "u8"))
+
+
+def words_of(piece: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Hashes, kinds (0 word, 1 number, 2 unit, 3 capitalised) and whether a sentence mark stands before, per word.
+
+    The last value tells whether a mark follows the last word.
+    """
+    if not piece.isascii():
+        piece = ODD.sub(" ", piece)
+    low, raw = piece.lower().encode(), piece.encode()
+    if len(low) != len(raw):
+        raw = low  # a lower case of another length: no capitals are seen
+    b, r = np.frombuffer(low, "u1"), np.frombuffer(raw, "u1")
+    kinds = CLASS[b]
+    inside = np.zeros(len(b) + 2, "i1")
+    inside[1:-1] = (kinds == LETTER) | (kinds == DIGIT)
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    stops = np.flatnonzero(kinds == MARK)
+    if not len(starts):
+        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, bool), bool(len(stops))
+    value = word_hashes(low, starts, ends)
+    seen = np.searchsorted(stops, starts)
+    after = np.diff(seen, prepend=0) > 0
+    second = np.minimum(starts + 1, len(b) - 1)
+    capital = (r[starts] != b[starts]) | ((b[starts] >= 0xC3) & (r[second] != b[second]))
+    kind = np.where(capital, 3, 0)
+    number = np.flatnonzero(np.logical_or.reduceat(kinds == DIGIT, starts))
+    kind[number] = 1
+    unit = number[number + 1 < len(kind)] + 1
+    if len(unit):
+        known = marks()[3]
+        place = np.minimum(np.searchsorted(known, value[unit]), len(known) - 1)
+        kind[unit[(kind[unit] != 1) & (known[place] == value[unit])]] = 2
+    return value, kind, after, bool(seen[-1] < len(stops))
+
+
+def pieces_of(text: str) -> Iterator[str]:
+    """The text cut at blanks into pieces of at most ``PIECE`` characters."""
+    lo = 0
+    while len(text) - lo > PIECE:
+        cut = max(text.rfind(" ", lo, lo + PIECE), text.rfind("\n", lo, lo + PIECE))
+        hi = cut + 1 if cut > lo else lo + PIECE
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:] if lo else text
+
+
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values (hashes of the words), template hashes in the two forms (2, n), and slot kinds of the second form."""
-    tokens = TOKEN.findall(text or "")
-    if not tokens:
-        return np.zeros(0, "u8"), np.zeros((2, 0), "u8"), np.zeros(0, "i8")
-    look = words.look(tokens)
-    kind = look[:, 1].astype("i8")
-    before = np.concatenate([[4], kind[:-1]])
-    real = kind != 4
-    value, kind, before = look[real, 0], kind[real], before[real]
-    kind = np.where((kind == 2) & (before != 1), 0, kind)
-    kind = np.where((kind == 3) & (before == 4), 0, kind)
-    plain = np.where(kind == 1, np.uint64(NUMBER), np.where(kind == 2, np.uint64(UNIT), value))
-    named = np.where(kind == 3, np.uint64(NAME), plain)
-    return value, np.stack([plain, named]), kind
+    values, kinds, befores, open_ = [], [], [], True
+    for piece in pieces_of(text or ""):
+        v, k, after, last = words_of(piece)
+        if len(v):
+            after[0] |= open_
+        open_ = last if len(v) else open_ or last
+        values.append(v)
+        kinds.append(k)
+        befores.append(after)
+    value, kind, before = (x[0] if len(x) == 1 else np.concatenate(x) for x in (values, kinds, befores))
+    kind = np.where((kind == 3) & before, 0, kind)  # a capital at the start of a sentence says nothing
+    number, name, unit, _ = marks()
+    plain = np.where(kind == 1, number, np.where(kind == 2, unit, value)) if kind.any() else value
+    return value, np.stack([plain, np.where(kind == 3, name, plain)]), kind
 
 
 def window_hashes(value: np.ndarray, forms: np.ndarray, kind: np.ndarray, span: int) -> np.ndarray:
@@ -104,10 +152,11 @@ def window_hashes(value: np.ndarray, forms: np.ndarray, kind: np.ndarray, span:
     def rolled(x: np.ndarray) -> np.ndarray:
         h = np.zeros(n - width + 1, "u8")
         for k in range(width):
-            h = (h ^ (h >> np.uint64(29))) * RATE + x[k : n - width + 1 + k]
-        h = (h ^ (h >> np.uint64(32))) * RATE
-        return h ^ np.uint64(width if n < span else 0)
+            h = mixed(h) + x[k : n - width + 1 + k]
+        return mixed(h) ^ np.uint64(width if n < span else 0)
 
+    if not kind.any():
+        return np.broadcast_to(rolled(value), (2, n - width + 1))
     exact = rolled(value)
     out = []
     for form, slots in ((forms[0], (kind == 1) | (kind == 2)), (forms[1], kind > 0)):
@@ -116,24 +165,22 @@ def window_hashes(value: np.ndarray, forms: np.ndarray, kind: np.ndarray, span:
     return np.stack(out)
 
 
-def rows_of(words: Words, text: str | None, span: int, keep=None) -> tuple[np.ndarray, np.ndarray, list]:
-    """Window hashes (distinct forms), their positions, and slot values at each as (slot offset, value) lists."""
-    value, forms, kind = template(words, text)
+def rows_of(text: str | None, span: int, keep=None) -> tuple[np.ndarray, np.ndarray, list]:
+    """Window hashes (distinct forms), their positions, and the values of the slots of each."""
+    value, forms, kind = template(text)
     h = window_hashes(value, forms, kind, span)
-    pos = np.broadcast_to(np.arange(h.shape[1]), h.shape)
-    use = np.ones(h.shape, bool)
-    use[1] = h[1] != h[0]
-    if keep is not None and h.size:
-        use &= keep(h)
-    f, p = np.nonzero(use)
+    use = [np.ones(h.shape[1], bool) if keep is None else keep(h[0])]
+    # the second form counts where it differs
+    differs = np.flatnonzero(h[1] != h[0]) if kind.any() else np.zeros(0, "i8")
+    second = differs if keep is None else differs[keep(h[1, differs])]
+    first = np.flatnonzero(use[0])
     slots = []
     width = min(span, len(value))
-    for form, at in zip(f, p):
+    for form, at in [(0, p) for p in first] + [(1, p) for p in second]:
         k = kind[at : at + width]
-        # values of slots that are placeholders in this form
-        s = np.flatnonzero((k == 1) | (k == 2) if form == 0 else k > 0)
-        slots.append([int(v) for v in value[at + s].view("i8")])
-    return h[f, p].view("i8"), pos[f, p], slots
+        s = np.flatnonzero((k == 1) | (k == 2) if form == 0 else k > 0)  # placeholders of this form
+        slots.append(value[at + s].view("i8").tolist())
+    return np.concatenate([h[0, first], h[1, second]]).view("i8"), np.concatenate([first, second]), slots
 
 
 def windows(rows: DataFrame, text: str, key: str, span: int, bits=None) -> DataFrame:
@@ -141,12 +188,11 @@ def windows(rows: DataFrame, text: str, key: str, span: int, bits=None) -> DataF
     base = rows.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         keep = None if bits is None else (lambda h: passes(bits.value, h))
         for batch in batches:
             ids, hs, ps, ss = [], [], [], []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("t")):
-                h, p, s = rows_of(words, t.as_py(), span, keep)
+                h, p, s = rows_of(t.as_py(), span, keep)
                 ids += [i] * len(h)
                 hs.append(h)
                 ps.append(p)

@@ -157,14 +157,26 @@ def test_items_and_their_variants_are_found(spark):
 
 
 def test_slots_must_agree():
-    words = decontam.Words()
-    a = decontam.template(words, "pay 5 dollars now")
+    a = decontam.template("pay 5 dollars now")
     assert a[2].tolist() == [0, 1, 2, 0]
-    h1 = decontam.window_hashes(*decontam.template(words, "He gave 5 coins to John and 5 coins to him"), 5)
-    h2 = decontam.window_hashes(*decontam.template(words, "He gave 8 coins to Mary and 8 coins to him"), 5)
+    h1 = decontam.window_hashes(*decontam.template("He gave 5 coins to John and 5 coins to him"), 5)
+    h2 = decontam.window_hashes(*decontam.template("He gave 8 coins to Mary and 8 coins to him"), 5)
     assert (h1[1] == h2[1]).all() and not (h1[0] == h2[0]).all()
 
 
+def test_words_by_definition(monkeypatch):
+    text = "\u00c9t\u00e9 in Paris: 3km and \u201cx\u201d\u00a0y_z. \u00c9va saw \u00c9va, 7 kg! STRASSE stra\u00dfe" + " w1 end" * 50
+    words = [w for w in "\u00e9t\u00e9 in paris 3km and x y z \u00e9va saw \u00e9va 7 kg strasse stra\u00dfe".split() + ["w1", "end"] * 50]
+    for piece in (decontam.PIECE, 40):
+        monkeypatch.setattr(decontam, "PIECE", piece)
+        value, _, kind = decontam.template(text)
+        assert value.tolist() == [decontam.word_hash(w) for w in words]
+        assert kind[:15].tolist() == [0, 0, 3, 1, 0, 0, 0, 0, 0, 0, 3, 1, 2, 0, 0]
+        decontam.powers.cache_clear()
+    monkeypatch.undo()
+    decontam.powers.cache_clear()
+
+
 def test_inconsistent_slots_are_let_go(spark):
     item = "when x then 5 follows and when y then 5 follows and when z then 5 follows so in all cases 5 follows"
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
