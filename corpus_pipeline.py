@@ -12,7 +12,7 @@ from quern.llm import decontam, langid, packing, simhash, toxicity
 from quern.llm.queries import tokenizer_path
 from quern.llm.shared import saved
 
-ABOVE_CHANCE = 1.2  # a language is recognised if its pooled probability is so many times that of a blind guess
+ABOVE_CHANCE = 0.05  # a language is recognised if its pooled probability is so far from a blind guess towards certainty
 
 
 def _but(docs: DataFrame, *names: str) -> list:
@@ -28,7 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     named = langid.predict(docs, model, "text", "__pred", "__score")
-    return named.where((F.col("__pred") != langid.UNKNOWN) & (F.col("__score") >= ABOVE_CHANCE / len(model["names"]))).drop("__pred", "__score")
+    chance = 1 / len(model["names"])
+    least = 0.0 if chance == 1 else chance + ABOVE_CHANCE * (1 - chance)
+    return named.where((F.col("__pred") != langid.UNKNOWN) & (F.col("__score") >= least)).drop("__pred", "__score")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

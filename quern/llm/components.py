@@ -35,8 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             now = saved(old.join(step, "component", "left").select("vertex", F.coalesce("next", "component").alias("component")), "labels")
         pa = up.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         pb = up.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        half = saved(e.join(pa, "a").select("b", "pa"), "half")
-        e = half.join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        e = e.join(pa, "a").select("b", "pa").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         e = saved(e, "edges")
     if now is None:
         return edges.sparkSession.createDataFrame([], "vertex long, component long")

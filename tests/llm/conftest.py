@@ -8,6 +8,15 @@ def prose(rng, lang, words):
     return " ".join("".join(rng.choice(list(LETTERS[lang]), rng.integers(2, 7))) for _ in range(words))
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Fixtures are small: two shuffle partitions keep the many little jobs short."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 @pytest.fixture(scope="session")
 def corpus(spark):
     """Documents with a clashing extra column, nulls, empty, blank and very long texts, and repeated rows."""
