@@ -192,3 +192,27 @@ def test_motion_link_prefers_the_predicted_place(spark):
 def test_weights_on_the_simplex():
     g = blend.simplex_grid(3, 10)
     assert len(g) == 66 and all(abs(sum(w) - 1) < 1e-9 for w in g)
+
+
+def test_a_long_visit_is_one_row(spark):
+    hits = spark.range(25_000).select(F.lit("v").alias("visit"), "id", (F.col("id") * 7 % 25_000).alias("t"), F.col("id").cast("int").alias("item"))
+    r = textops.session_sequence(hits, "visit", "t", "id", "item").collect()
+    assert len(r) == 1 and r[0]["session_len"] == len(r[0]["items"]) == 25_000
+    assert textops.session_sequence(hits, "visit", "t", "id", "item", piece=10_000).count() == 3
+
+
+def test_any_number_of_levels(spark):
+    df = spark.range(1500).select("id", F.concat(F.lit("a long common prefix "), F.lpad(F.col("id").cast("string"), 4, "0")).alias("c"))
+    got = encode.one_hot_sparse(df, df.where("id < 1400"), "id", "c").toPandas().sort_values("id")
+    assert got["code"].tolist() == list(range(1400))
+
+
+def test_stage_cache_follows_its_sources(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.range(3).write.parquet(src)
+    build = lambda: spark.read.parquet(src)
+    key = lambda p=1: files.fingerprint([spark.read.parquet(src)], p)
+    assert files.stage_cache(spark, out, build, key()).count() == 3
+    spark.range(5).write.mode("overwrite").parquet(src)
+    assert files.stage_cache(spark, out, build, key()).count() == 5
+    assert key() != key(2)
