@@ -30,7 +30,7 @@ SIZE = 2048  # tokens of a sequence
 END = 0  # id after each document
 GROUP = 20_000  # pieces packed by one task on average
 LOOSE = 4  # bins with a larger gap are packed again
-CACHE = 800_000  # distinct words whose ids a task keeps
+CACHE = 300_000  # distinct words whose ids a task keeps
 # fixed values: the word split of byte-level tokenizers over the characters of Latin-1, and over all of Unicode
 LETTER, DIGIT, BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 WIDE_BLANK = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
