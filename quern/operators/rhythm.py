@@ -439,6 +439,11 @@ def hit_rate_grid(est: DataFrame, seg: DataFrame, min_rows: int = 80) -> DataFra
     )
 
 
+def best_rule(rules: DataFrame, seg: str = "4+") -> DataFrame:
+    """The rule of a segment with the highest precision x log(1 + n); ties by name. A grid has a few hundred rows."""
+    return rules.where(F.col("seg") == seg).orderBy(F.desc(F.round("rule_score", 9)), "period", "cycle", "branch").limit(1)
+
+
 def rule_boost(scored: DataFrame) -> DataFrame:
     """Add 1 to the score of customers with 2-3 orders whose mean-gap estimate lands in (35, 85], and of the
     4+ segment's chosen rule (longest yearly gap ends inside the window).

@@ -318,16 +318,19 @@ BASE = f"""base AS (SELECT f.*, n_orders / (recency + 30) AS score, slice, targe
 SEG = "SELECT *, '4+' AS seg FROM base WHERE n_orders >= 4 UNION ALL SELECT *, '4-8' FROM base WHERE n_orders BETWEEN 4 AND 8 UNION ALL SELECT *, '9+' FROM base WHERE n_orders >= 9"
 
 
-@query(
-    "agg_hit_rate_grid",
-    f"""WITH {LONG}, {B.TARGET}, {BASE}, sg AS ({SEG}), x AS (
+GRID_SQL = f"""WITH {LONG}, {B.TARGET}, {BASE}, sg AS ({SEG}), x AS (
   SELECT sg.*, est, cycle, period AS p, cycle * period - recency > lo AND cycle * period - recency <= hi AS inn, recency > period AS ov
   FROM sg JOIN ew USING (customer_id), (VALUES (1), (2), (3)) c(cycle)
   WHERE hist = 'year' AND period IS NOT NULL AND est IN ('mean', 'median', 'max', 'trim', 'q75', 'last', 'ewm')),
 r AS (SELECT seg, est AS period, cycle, branch, target FROM x, (VALUES ('all'), ('in_window'), ('overdue'), ('not_overdue'), ('in_and_overdue'), ('in_and_fresh')) b(branch)
   WHERE CASE branch WHEN 'all' THEN TRUE WHEN 'in_window' THEN inn WHEN 'overdue' THEN ov WHEN 'not_overdue' THEN NOT ov WHEN 'in_and_overdue' THEN inn AND ov ELSE inn AND NOT ov END),
 g AS (SELECT seg, period, cycle, branch, count(*) AS n, avg(target) AS precision FROM r GROUP BY 1, 2, 3, 4 HAVING count(*) >= 20)
-SELECT g.*, precision / greatest(b, 1e-9) AS lift, precision * ln(1 + n) AS rule_score FROM g JOIN (SELECT seg, avg(target) AS b FROM sg GROUP BY 1) USING (seg)""",
+SELECT g.*, precision / greatest(b, 1e-9) AS lift, precision * ln(1 + n) AS rule_score FROM g JOIN (SELECT seg, avg(target) AS b FROM sg GROUP BY 1) USING (seg)"""
+
+
+@query(
+    "agg_hit_rate_grid",
+    GRID_SQL,
     f="precision lift rule_score",
 )
 def _(t):
@@ -335,6 +338,15 @@ def _(t):
     return R.hit_rate_grid(est, _base(t), min_rows=20)
 
 
+@query(
+    "agg_best_rule",
+    f"SELECT * FROM ({GRID_SQL}) AS rules WHERE seg = '4+' QUALIFY row_number() OVER (ORDER BY round(rule_score, 9) DESC, period, cycle, branch) = 1",
+    f="precision lift rule_score",
+)
+def _(t):
+    return R.best_rule(R.hit_rate_grid(_est(t).where("hist = 'year'"), _base(t), min_rows=20))
+
+
 @query(
     "segment_rule_boost",
     f"""WITH {LONG}, {B.TARGET}, {BASE}, tt AS (SELECT customer_id, any_value(lo) AS lo, any_value(hi) AS hi, max(period - r) FILTER (hist = 'all' AND est = 'mean') AS tm,

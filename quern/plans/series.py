@@ -48,7 +48,7 @@ def _(t):
     return rounded(T.moments(lc(t).withColumn("x", T.snr("flux", "err")), ["user_id"], "x"))
 
 
-BAND = ("click", "error", "view")
+BAND = ("click", "error", "purchase", "signup", "view")  # fixed values: all event types
 
 
 @query(
