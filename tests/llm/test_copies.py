@@ -26,8 +26,8 @@ def smallest(n, pairs):
 @pytest.mark.parametrize("kind", ["path", "star", "random"])
 def test_components(spark, kind):
     rng = np.random.default_rng(3)
-    n = 300
-    edges = {"path": [(i, i + 1) for i in rng.permutation(n - 1)], "star": [(n - 1, i) for i in range(n - 1)], "random": rng.integers(0, n, (220, 2)).tolist()}[kind]
+    n = 120
+    edges = {"path": [(i, i + 1) for i in rng.permutation(n - 1)], "star": [(n - 1, i) for i in range(n - 1)], "random": rng.integers(0, n, (90, 2)).tolist()}[kind]
     edges = [(int(a), int(b)) for a, b in edges]
     got = {r["vertex"]: r["component"] for r in components(spark.createDataFrame(edges + edges[:5] + [(None, 3)], "a long, b long")).collect()}
     want = smallest(n, [e for e in edges if e[0] != e[1]])
