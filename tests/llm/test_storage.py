@@ -286,20 +286,70 @@ def test_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def brute_stage(name, spark, before, rows):
+    """Identifiers that a stage keeps, computed over a plain list of rows; models are trained by the same functions."""
+    import corpus_pipeline as P
+    from quern.llm import decontam, langid, simhash, toxicity
+
+    texts = [r["text"] for r in rows]
+    if name == "language ID":
+        model = langid.train(langid.sample(before.where(~langid.held_out()), "text", "lang"))
+        n = len(model["names"])
+        best = [langid.probabilities(model, [(t or "").encode()]).max() for t in texts]
+        letters = [any(c.isalpha() for c in t or "") for t in texts]
+        return [r["doc_id"] for r, q, a in zip(rows, best, letters) if a and q >= 1 / n + P.ABOVE_CHANCE * (1 - 1 / n)]
+    if name == "toxicity":
+        labels = spark.read.parquet(f"{TABLES}/labels.parquet")
+        scorer = toxicity.Scorer(toxicity.train(toxicity.sample(before, labels, "text", "doc_id", "toxic")))
+        return [r["doc_id"] for r in rows if scorer.scores([r["text"]])[0] < 0.5]
+    if name == "near dedup":
+        fps = [simhash.fingerprint(t) for t in texts]
+        group = list(range(len(rows)))
+        for _ in rows:
+            new = [min(group[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= simhash.MOST) for i in range(len(rows))]
+            if new == group:
+                break
+            group = new
+        first = {}
+        for r, g in zip(rows, group):
+            if r["doc_id"] is not None:
+                first[g] = min(first.get(g, r["doc_id"]), r["doc_id"])
+        return sorted(set(first.values())) + [None for r in rows if r["doc_id"] is None]
+    windows = lambda t: {tuple(w[i : i + 5]) for w in [("".join(c if c.isalnum() else " " for c in t or "")).lower().split()] for i in range(len(w) - 4)}
+    items = [w for r in spark.read.parquet(f"{TABLES}/benchmark.parquet").collect() if (w := windows(r["text"]))]
+    assert decontam.SPAN == 5
+    return [r["doc_id"] for r in rows if not any(len(w & windows(r["text"])) >= 0.8 * len(w) for w in items)]
+
+
 def test_pipeline(spark):
+    """Each stage against a brute-force version over its own input, the last one by its tokens."""
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{TABLES}/documents.parquet").withColumn("__extra", F.lit(1)).withColumn("score", F.lit("mine"))
     docs = docs.unionByName(docs.limit(1)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = P.saved(docs, "test")
     assert [n for n, _ in P.STAGES] == ["language ID", "toxicity", "near dedup", "decontamination", "packing"]
     columns = docs.columns
+    order = lambda ids: sorted(ids, key=lambda x: (x is None, x or 0))
     for name, stage in P.STAGES:
-        before = docs.count()
+        before, rows = docs, docs.collect()
         docs = P.saved(stage(spark, docs, TABLES), "test")
         if name != "packing":
-            assert docs.columns == columns and 0 < docs.count() <= before
-            assert docs.where("score <> 'mine'").count() == 0
-    assert docs.count() > 0
+            got = docs.collect()
+            assert docs.columns == columns and {r["score"] for r in got} == {"mine"}
+            assert order(r["doc_id"] for r in got) == order(brute_stage(name, spark, before, rows))
+    enc = packing.Encoder(tokenizer_path())
+    want = Counter()
+    for r in rows:
+        ids = enc.whole(r["text"] or "") + b"\0\0\0\0"
+        for k, (at, n) in enumerate(packing.cuts(len(ids) // 4)):
+            want[r["doc_id"], k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])] += 1
+    got = docs.collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    ends = Counter()
+    for r in got:
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= packing.SIZE and all(r["offset"] + r["length"] <= ends[r["sequence_id"]] for r in got)
 
 
 def test_stages_take_empty_tables(spark, nothing):
