@@ -255,7 +255,7 @@ class Scorer:
             out.append(attend(self.p, h, b != 0)[0])
         return np.concatenate(out)
 
-    def scores(self, texts: list[str | None], piece: int = 200_000) -> np.ndarray:
+    def scores(self, texts: list[str | None], piece: int = 50_000) -> np.ndarray:
         """Highest window of each text; texts go through in groups of about ``piece`` words."""
         best = np.full(len(texts), -np.inf)
         group: list[tuple[int, list[str]]] = []
