@@ -5,10 +5,11 @@ window of half-width ``REACH`` standard deviations centred on the other, the dev
 the wanted cosine. Pairs whose number of collisions reaches a count calibrated for recall are verified by the exact
 cosine in double precision.
 
-Where to look: the projections form ``TABLES`` compound tables; each table sorts the vectors of a label into cells of
-its projections, and pairs are counted where they share a cell. The number of projections per table grows with the
-logarithm of the largest label, so the load of a cell stays level. A pair that shares cells in several tables is
-counted in the first. Cells with more than ``TILE`` vectors are dealt into blocks and compared block against block.
+Where to look: the projections form compound tables; each table sorts the vectors of a label into cells of its
+projections, and pairs are counted where they share a cell. The number of projections per table grows with the
+logarithm of the label's own size, so the load of a cell stays level, and the number of tables grows with it, so that a
+pair at the wanted cosine shares a cell with probability ``FOUND`` in a label of any size. A pair that shares cells in
+several tables is counted in the first. Cells with more than ``TILE`` vectors are dealt into blocks and compared block against block.
 Tiles return link counts per vector and a spanning forest, never their pairs.
 
 Equal vectors of a label are one class with a size. Vectors that are null, zero, or hold null or non-finite
@@ -18,8 +19,9 @@ rows count as other vectors.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from math import comb, erf, log, sqrt
+from math import ceil, comb, erf, log, log1p, sqrt
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,10 @@ from quern.llm.components import components
 from quern.llm.shared import saved
 
 COSINE = 0.93
-TABLES = 8
+TABLES = 8  # at least
+MOST_PER = 24  # projections of a table
+FOUND = 0.99  # of pairs at the wanted cosine, by a shared cell in some table
+COUNTED = 192  # projections whose collisions are counted, at most
 REACH = 2.0  # half-width of the window in deviations of a pair at the wanted cosine
 CELL = 4.0  # width of a cell in the same deviations
 LOAD = 128  # vectors wanted in a cell
@@ -45,11 +50,25 @@ def deviation(cosine: float) -> float:
     return sqrt(2 - 2 * cosine)
 
 
+def same_cell(c: float) -> float:
+    """Probability that a pair shares the cell of one projection, whose width is c deviations of the pair."""
+    return erf(c / sqrt(2)) - 2 / (sqrt(2 * np.pi) * c) * (1 - np.exp(-c * c / 2))
+
+
 def per_table(n: int, cosine: float = COSINE) -> int:
     """Projections per table for labels of at most n vectors."""
-    c = CELL * deviation(cosine) / sqrt(2)  # a random pair's deviation is sqrt(2)
-    same = erf(c / sqrt(2)) - 2 / (sqrt(2 * np.pi) * c) * (1 - np.exp(-c * c / 2))
-    return max(2, min(24, round(log(max(n, 1) / LOAD) / -log(same)))) if n > LOAD else 2
+    same = same_cell(CELL * deviation(cosine) / sqrt(2))  # a random pair's deviation is sqrt(2)
+    return max(2, min(MOST_PER, round(log(max(n, 1) / LOAD) / -log(same)))) if n > LOAD else 2
+
+
+def tables_for(per: int) -> int:
+    """Tables of so many projections in which a pair at the wanted cosine shares a cell with probability ``FOUND``."""
+    return max(TABLES, ceil(log(1 - FOUND) / log1p(-same_cell(CELL) ** per)))
+
+
+def sizes_of_per(cosine: float) -> list[int]:
+    """Smallest label that takes 3, 4, ... ``MOST_PER`` projections per table."""
+    return [bisect_left(range(1 << 62), per, key=lambda n: per_table(n, cosine)) for per in range(3, MOST_PER + 1)]
 
 
 def least_count(total: int, reach: float = REACH, recall: float = RECALL) -> int:
@@ -75,7 +94,7 @@ def unit(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
 
 def cells_of(p: np.ndarray, per: int, cosine: float) -> np.ndarray:
     """Cell number (hashed) of each vector in each table."""
-    grid = np.floor(p / (CELL * deviation(cosine))).astype("i8").reshape(len(p), TABLES, per)
+    grid = np.floor(p / (CELL * deviation(cosine))).astype("i8").reshape(len(p), -1, per)
     h = np.full(grid.shape[:2], 1469598103934665603, "i8").view("u8")
     for k in range(per):
         h = (h ^ (grid[:, :, k].view("u8") + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(1099511628211)
@@ -83,36 +102,39 @@ def cells_of(p: np.ndarray, per: int, cosine: float) -> np.ndarray:
     return h.view("i8")
 
 
-def spread(classes: DataFrame, per: int, cosine: float) -> DataFrame:
+def spread(classes: DataFrame, cosine: float) -> DataFrame:
     """One row per class and table: where it is looked for."""
     kind = classes.schema["embedding"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = np.array(batch.column("dim"))
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
+            sort = np.array([batch.column("dim"), batch.column("per")]).T
+            for dim, per in np.unique(sort, axis=0).tolist():
+                at = np.flatnonzero((sort == (dim, per)).all(1))
                 part = batch.take(pa.array(at))
-                cells = cells_of(projected(unit(part.column("embedding").to_pylist(), int(dim)), TABLES * per), per, cosine)
-                for t in range(TABLES):
+                tables = tables_for(per)
+                cells = cells_of(projected(unit(part.column("embedding").to_pylist(), dim), tables * per), per, cosine)
+                for t in range(tables):
                     extra = [pa.array(np.full(len(at), t, "i4")), pa.array(cells[:, t])]
                     yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "t", "cell"])
 
-    return classes.mapInArrow(run, f"label string, embedding {kind}, dim int, rep long, m long, t int, cell long")
+    return classes.mapInArrow(run, f"label string, embedding {kind}, dim int, rep long, m long, per int, t int, cell long")
 
 
-def tile(per: int, cosine: float):
+def tile(cosine: float):
     """Compares the vectors of one tile; rows (rep, n, other): linked vectors, and an edge of the spanning forest."""
-    total = TABLES * per
-    least, reach = least_count(total), REACH * deviation(cosine)
+    reach = REACH * deviation(cosine)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, i, j = int(pdf["t"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         pdf = pdf.sort_values("rep", ignore_index=True)
         x = unit(pdf["embedding"], int(pdf["dim"].iloc[0]))
-        p = projected(x, total)
+        per = int(pdf["per"].iloc[0])
+        p = projected(x, tables_for(per) * per)
         cells = cells_of(p, per, cosine)
-        p = np.ascontiguousarray(p.T, "f4")
+        total = min(p.shape[1], COUNTED)
+        least = least_count(total)
+        p = np.ascontiguousarray(p[:, :total].T, "f4")
         rep, m, block = pdf["rep"].to_numpy(), pdf["m"].to_numpy(), pdf["block"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links = np.zeros(len(pdf), "i8")
@@ -159,15 +181,18 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     v = v.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & good, F.lit(False)))
     usable = v.where("ok").withColumn("dim", F.size("embedding"))
     classes = saved(usable.groupBy("label", "embedding", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes")
-    largest = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    per = per_table(largest, cosine)
-    placed = saved(spread(classes, per, cosine), "placed")
+    # only labels that take more than two projections are looked up: each has more than LOAD vectors
+    steps = sizes_of_per(cosine)
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") >= steps[0])
+    pers = saved(sizes.select("label", "dim", sum(((F.col("n") >= n).cast("int") for n in steps), F.lit(2)).alias("per")), "pers")
+    sized = classes.join(F.broadcast(pers), ["label", "dim"], "left").withColumn("per", F.coalesce("per", F.lit(2)))
+    placed = saved(spread(sized.select(*classes.columns, "per"), cosine), "placed")
     key = ["label", "dim", "t", "cell"]
     full = saved(placed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).drop("n"), "cells")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     near = placed.join(full, key).withColumn("block", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     near = near.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "blocks")
-    found = saved(near.groupBy(*key, "i", "j").applyInPandas(tile(per, cosine), "rep long, n long, other long"), "found")
+    found = saved(near.groupBy(*key, "i", "j").applyInPandas(tile(cosine), "rep long, n long, other long"), "found")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     groups = components(found, "rep", "other").withColumnRenamed("vertex", "rep")
     named = classes.join(counts, "rep", "left").join(groups, "rep", "left")

@@ -114,6 +114,25 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, tile):
         assert all(links[r[0]][0][1] == all_rows[w][0] for r, w in zip(all_rows, want))
 
 
+def test_recall_holds_in_large_labels(spark, monkeypatch):
+    """Pairs just above the bound, placed as in a label of a million vectors beside a small label."""
+    rng = np.random.default_rng(8)
+    dim, pairs = 32, 300
+    x = rng.normal(size=(pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(pairs, dim))
+    off -= (off * x).sum(1, keepdims=True) * x
+    y = 0.932 * x + np.sqrt(1 - 0.932**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    rows = [(2 * i + k, v[i].tolist(), int(i < 20)) for i in range(pairs) for k, v in enumerate((x, y))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    per = embdup.per_table(10**6)
+    monkeypatch.setattr(embdup, "per_table", lambda n, cosine=0.93: per if n > 100 else 2)
+    found = {r["vec_id"] for r in embdup.near_vectors(df).where("n_links > 0").collect()}
+    assert per == 9
+    assert sum(2 * i in found for i in range(20, pairs)) >= 0.96 * (pairs - 20)
+    assert sum(2 * i in found for i in range(20)) >= 19
+
+
 def test_no_embeddings(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embdup.near_vectors(none).count() == 0
