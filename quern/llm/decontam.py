@@ -6,10 +6,13 @@ with names kept and with names as placeholders. Windows of ``SPAN`` template wor
 than ``LITERAL`` ordinary words keeps its values, else tables of numbers would all look alike.
 
 Windows of documents pass a bit filter of fixed size that holds all benchmark windows (no window of the benchmark is
-lost) and are then hash-joined with the benchmark's windows. An item is found in a document when at least ``SHARE`` of
-its distinct windows occur there and its slots are filled consistently: of the matched slot occurrences, at least
+lost) and are then hash-joined with the benchmark's windows. Pairs of a document and an item with at least ``SHARE`` of
+the item's windows are judged occurrence by occurrence: a band of diagonals (document position less item position)
+around one of them, in which each item window takes its match nearest to that diagonal. An occurrence counts when it
+holds at least ``SHARE`` of the item's windows and its slots are filled consistently: of the matched slots, at least
 ``SHARE`` agree with the most frequent document value of their item value, and the other way round. That catches
-exact passages as well as questions with other numbers or names.
+exact passages as well as questions with other numbers or names, however many versions a document holds. The document
+as a whole is judged too, which finds items whose parts are scattered.
 
 Items of fewer than ``SPAN`` template words are found only in documents that consist of exactly those words. Null and
 empty texts of either table match nothing. Repeated rows of documents each keep their row; items with equal
@@ -23,6 +26,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,29 +227,94 @@ def bit_filter(items: DataFrame) -> np.ndarray:
     return out.view("u1")
 
 
+def agreement(i: np.ndarray, d: np.ndarray) -> float:
+    """Share of slots that agree with the most frequent partner of their value, on the side where it is smaller."""
+    if not len(i):
+        return 1.0
+    pair, c = np.unique(np.stack([i, d]), axis=1, return_counts=True)
+    best = 1.0
+    for side in pair:
+        _, at = np.unique(side, return_inverse=True)
+        top = np.zeros(at.max() + 1, "i8")
+        np.maximum.at(top, at, c)
+        best = min(best, float(top.sum() / len(i)))
+    return best
+
+
+def judged(n: int, at: np.ndarray, off: np.ndarray, same: np.ndarray, owner: np.ndarray, ivalue: np.ndarray, dvalue: np.ndarray, share: float) -> tuple[float, float] | None:
+    """(coverage, consistency) of an item of n windows in a document, None if it is not found.
+
+    Per match: item position, diagonal and equality of all slots; per pair of slots: its match and both values.
+    """
+
+    def voted(use: np.ndarray) -> float:
+        some = use[owner]
+        return agreement(ivalue[some], dvalue[some])
+
+    # the document as a whole: each of its windows stands at the item position with equal slots, else at the first one
+    order = np.lexsort((at, ~same, at + off))
+    whole = np.zeros(len(at), bool)
+    whole[order[np.diff((at + off)[order], prepend=-1) != 0]] = True
+    consistency = voted(whole)
+    if consistency >= share:
+        return len(np.unique(at)) / n, consistency
+    diagonals, count = np.unique(off, return_counts=True)
+    slack = max(SPAN, n // 4)  # words put in or left out within an occurrence
+    order = np.argsort(off, kind="stable")
+    lo, hi = np.searchsorted(off[order], diagonals - slack), np.searchsorted(off[order], diagonals + slack, "right")
+    for k in np.argsort(-count, kind="stable"):
+        if hi[k] - lo[k] < share * n:
+            continue
+        band = order[lo[k] : hi[k]]
+        band = band[np.lexsort((np.abs(off[band] - diagonals[k]), at[band]))]
+        first = np.diff(at[band], prepend=-1) != 0
+        if first.sum() < share * n:
+            continue
+        nearest = off[band][first][np.cumsum(first) - 1]
+        use = np.zeros(len(at), bool)
+        use[band[off[band] == nearest]] = True  # in all forms
+        consistency = voted(use)
+        if consistency >= share:
+            return float(first.sum() / n), consistency
+    return None
+
+
+def judge(share: float):
+    """Judges the matches of one document and item."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.sort_values(["at", "pos"], ignore_index=True)
+        owner, left, right, same = [], [], [], []
+        for k, (i, d) in enumerate(zip(m["islots"], m["slots"])):
+            i, d = list(i), list(d)
+            fit = len(i) == len(d)
+            same.append(not fit or i == d)
+            if fit:
+                owner += [k] * len(i)
+                left += i
+                right += d
+        at = m["at"].to_numpy("i8")
+        got = judged(int(m["n"].iloc[0]), at, m["pos"].to_numpy("i8") - at, np.array(same), np.array(owner, "i8"), np.array(left, "i8"), np.array(right, "i8"), share)
+        rows = [] if got is None else [(int(m["doc"].iloc[0]), int(m["item"].iloc[0]), *got)]
+        return pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "consistency"])
+
+    return run
+
+
 def findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, coverage, consistency) of every item found in a document."""
     spark = docs.sparkSession
-    items = saved(windows(benchmark, item_text, item_id, span).where("id IS NOT NULL"), "items")
-    sizes = items.groupBy("id").agg(F.countDistinct("pos").alias("n"))
+    items = saved(windows(benchmark, item_text, item_id, span).where("id IS NOT NULL").distinct(), "items")
+    sizes = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("n"))
     bits = spark.sparkContext.broadcast(bit_filter(items))
-    hits = windows(docs, text, doc_id, span, bits).where("id IS NOT NULL")
-    known = items.groupBy("h", F.col("id").alias("item")).agg(F.collect_set("pos").alias("at"), F.min_by("slots", "pos").alias("islots"))
-    hits = saved(hits.join(known, "h").select(F.col("id").alias("doc"), "item", "at", "slots", "islots"), "hits")
-    covered = hits.select("doc", "item", F.explode("at").alias("p")).groupBy("doc", "item").agg(F.countDistinct("p").alias("m"))
-    # slots: occurrences of (item value, document value)
-    pair = F.explode(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")))
-    pairs = hits.where("size(slots) > 0 AND size(slots) = size(islots)").select("doc", "item", pair.alias("x"))
-    counts = pairs.groupBy("doc", "item", F.col("x.i").alias("i"), F.col("x.d").alias("d")).agg(F.count("*").alias("c"))
-    best = lambda side: counts.groupBy("doc", "item", side).agg(F.max("c").alias("b"), F.sum("c").alias("c")).groupBy("doc", "item").agg((F.sum("b") / F.sum("c")).alias("agree_" + side))
-    found = covered.join(sizes.withColumnRenamed("id", "item"), "item").join(best("i"), ["doc", "item"], "left").join(best("d"), ["doc", "item"], "left")
-    out = found.select(
-        F.col("doc").alias("doc_id"),
-        F.col("item").alias("item_id"),
-        (F.col("m") / F.col("n")).alias("coverage"),
-        F.least(F.coalesce("agree_i", F.lit(1.0)), F.coalesce("agree_d", F.lit(1.0))).alias("consistency"),
-    )
-    return out.where((F.col("coverage") >= share) & (F.col("consistency") >= share))
+    hits = windows(docs, text, doc_id, span, bits).where("id IS NOT NULL").withColumnRenamed("id", "doc")
+    known = items.groupBy("h", F.col("id").alias("item")).agg(F.collect_list(F.struct(F.col("pos").alias("at"), F.col("slots").alias("islots"))).alias("known"))
+    hits = saved(hits.join(known, "h").select("doc", "item", "pos", "slots", "known"), "hits")
+    covered = hits.select("doc", "item", F.explode("known.at").alias("p")).groupBy("doc", "item").agg(F.countDistinct("p").alias("m"))
+    likely = covered.join(sizes, "item").where(F.col("m") >= share * F.col("n")).select("doc", "item", "n")
+    likely = saved(likely, "likely")
+    matches = hits.join(likely, ["doc", "item"]).select("doc", "item", "n", "pos", "slots", F.explode("known").alias("k")).select("doc", "item", "n", "pos", "slots", "k.*")
+    return matches.groupBy("doc", "item").applyInPandas(judge(share), "doc_id long, item_id long, coverage double, consistency double")
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **more) -> DataFrame:

@@ -206,6 +206,17 @@ def test_inconsistent_slots_are_let_go(spark):
     assert [r["doc_id"] for r in decontam.flagged(d, b).collect()] == [1]
 
 
+def test_each_occurrence_is_judged(spark):
+    item = "A farmer sells 12 baskets of ripe plums for 30 coins and keeps 7 of the baskets for the long winter"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    pad = " other words stand between the versions here "
+    version = lambda x, y, z: item.replace("12", x).replace("30", y).replace("7 ", z + " ")
+    versions = [version("41", "52", "63"), version("84", "95", "16"), version("27", "38", "49")]
+    docs = [(1, item + pad + versions[0]), (2, pad.join(versions)), (3, versions[0] + " " + item), (4, " ".join(versions)), (5, pad * 40 + item + pad * 40 + pad.join(versions)), (6, pad)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.flagged(d, b).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_empty_tables(spark, nothing):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontam.flagged(nothing, b).count() == 0
