@@ -12,7 +12,8 @@ around one of them, in which each item window takes its match nearest to that di
 holds at least ``SHARE`` of the item's windows and its slots are filled consistently: of the matched slots, at least
 ``SHARE`` agree with the most frequent document value of their item value, and the other way round. That catches
 exact passages as well as questions with other numbers or names, however many versions a document holds. The document
-as a whole is judged too, which finds items whose parts are scattered.
+as a whole is judged too, which finds items whose parts are scattered; one with at least ``SHARE`` of the windows word
+for word, values included, needs no vote. Windows that an item repeats keep the slots of each of their positions.
 
 Items of fewer than ``SPAN`` template words are found only in documents that consist of exactly those words. Null and
 empty texts of either table match nothing. Repeated rows of documents each keep their row; items with equal
@@ -251,6 +252,9 @@ def judged(n: int, at: np.ndarray, off: np.ndarray, same: np.ndarray, owner: np.
         some = use[owner]
         return agreement(ivalue[some], dvalue[some])
 
+    verbatim = len(np.unique(at[same]))
+    if verbatim >= share * n:  # no vote on a copy word for word
+        return len(np.unique(at)) / n, 1.0
     # the document as a whole: each of its windows stands at the item position with equal slots, else at the first one
     order = np.lexsort((at, ~same, at + off))
     whole = np.zeros(len(at), bool)

@@ -217,6 +217,16 @@ def test_each_occurrence_is_judged(spark):
     assert sorted(r["doc_id"] for r in decontam.flagged(d, b).collect()) == [1, 2, 3, 4, 5]
 
 
+def test_items_that_repeat_a_template(spark):
+    tom = "Tom bought 3 red apples at the shop. Tom bought 5 red apples at the shop. Tom bought 8 red apples at the shop."
+    long = " ".join(f"word{chr(97 + k)}{chr(98 + k)}" for k in range(24)) + " pay 5 now or 5 then"
+    b = spark.createDataFrame([(1, tom), (2, long)], "item_id long, text string")
+    other = tom.replace("3", "14").replace("5", "26").replace("8", "37")
+    docs = [(1, tom), (2, "before it " + tom + " after it " + other), (3, other), (4, long.replace("pay 5", "pay 6")), (5, "Tom bought 3 red apples at the shop")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: list(r["item_ids"]) for r in decontam.flagged(d, b).collect()} == {1: [1], 2: [1], 3: [1], 4: [2]}
+
+
 def test_empty_tables(spark, nothing):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontam.flagged(nothing, b).count() == 0
