@@ -1,9 +1,11 @@
 """Benchmark decontamination by template windows: numbers, names and units become typed placeholders.
 
 A text becomes template words: runs of letters and digits, lower-cased; a word with a digit is a number, a word of ``UNITS``
-right after a number is a unit, a capitalised word inside a sentence may be a name. Every text is read in two forms,
-with names kept and with names as placeholders. Windows of ``SPAN`` template words are hashed; a window with fewer
-than ``LITERAL`` ordinary words keeps its values, else tables of numbers would all look alike.
+right after a number is a unit, a capitalised word inside a sentence may be a name. Every text is read in three forms:
+with names kept, with names as placeholders, and with every capitalised word as one, as names also begin sentences; the
+slots tell later whether it was a name. Windows of ``SPAN`` template words are hashed; a window with fewer than
+``LITERAL`` ordinary words (two in the third form, whose windows hold more placeholders) keeps its values, else tables
+of numbers would all look alike.
 
 Windows of documents pass a bit filter of fixed size that holds all benchmark windows (no window of the benchmark is
 lost) and are then hash-joined with the benchmark's windows. Pairs of a document and an item with at least ``SHARE`` of
@@ -36,7 +38,7 @@ from quern.llm.shared import saved
 
 SPAN = 5  # template words of a window
 SHARE = 0.8  # of the windows of an item, and of its slot values
-LITERAL = 3  # ordinary words that a window needs to stand with placeholders
+LITERAL = (3, 3, 2)  # ordinary words that a window needs to stand with placeholders, by form
 FILTER_BITS = 24  # the filter has 2 ** 24 bits (2 MB) however large the benchmark is
 PIECE = 1 << 18  # characters read at once; longer words count as several
 UNITS = frozenset("mm cm m km mg g kg t ml l s sec min h hours days weeks months years percent usd eur gbp dollars euros cents miles feet inches pounds ounces degrees mph kmh watts volts joules newtons".split())
@@ -130,7 +132,7 @@ def pieces_of(text: str) -> Iterator[str]:
 
 
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values (hashes of the words), template hashes in the two forms (2, n), and slot kinds of the second form."""
+    """Values (hashes of the words), template hashes in the three forms (3, n), and slot kinds of the second form."""
     values, kinds, befores, open_ = [], [], [], True
     for piece in pieces_of(text or ""):
         v, k, after, last = words_of(piece)
@@ -141,51 +143,53 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kinds.append(k)
         befores.append(after)
     value, kind, before = (x[0] if len(x) == 1 else np.concatenate(x) for x in (values, kinds, befores))
-    kind = np.where((kind == 3) & before, 0, kind)  # a capital at the start of a sentence says nothing
     number, name, unit, _ = marks()
     plain = np.where(kind == 1, number, np.where(kind == 2, unit, value)) if kind.any() else value
-    return value, np.stack([plain, np.where(kind == 3, name, plain)]), kind
+    capital = kind == 3
+    kind = np.where(capital & before, 0, kind)  # a capital at the start of a sentence counts in the third form only
+    return value, np.stack([plain, np.where(kind == 3, name, plain), np.where(capital, name, plain)]), kind
 
 
 def window_hashes(value: np.ndarray, forms: np.ndarray, kind: np.ndarray, span: int) -> np.ndarray:
-    """Hashes of all windows in both forms (2, n - span + 1); texts shorter than a window have one of their own length."""
+    """Hashes of all windows in the forms (3, n - span + 1); texts shorter than a window have one of their own length."""
     n = len(value)
     width = min(span, n)
     if n == 0:
-        return np.zeros((2, 0), "u8")
+        return np.zeros((3, 0), "u8")
+    count = n - width + 1
 
-    def rolled(x: np.ndarray) -> np.ndarray:
-        h = np.zeros(n - width + 1, "u8")
+    def rolled(x: np.ndarray, at=slice(0, None)) -> np.ndarray:
+        h = np.zeros(count, "u8")[at]
         for k in range(width):
-            h = mixed(h) + x[k : n - width + 1 + k]
+            h = mixed(h) + x[k : count + k][at]
         return mixed(h) ^ np.uint64(width if n < span else 0)
 
-    if not kind.any():
-        return np.broadcast_to(rolled(value), (2, n - width + 1))
     exact = rolled(value)
-    out = []
-    for form, slots in ((forms[0], (kind == 1) | (kind == 2)), (forms[1], kind > 0)):
-        literal = np.convolve(~slots, np.ones(width, "i8"), "valid")
-        out.append(np.where(literal >= min(LITERAL, width), rolled(form), exact))
-    return np.stack(out)
+    out = np.broadcast_to(exact, (3, count)).copy()
+    for f, form in enumerate(forms):
+        sums = np.concatenate([[0], np.cumsum(form == value)])
+        literal = sums[width:] - sums[:-width]
+        at = np.flatnonzero((literal < width) & (literal >= min(LITERAL[f], width)))
+        out[f, at] = rolled(form, at)
+    return out
 
 
 def rows_of(text: str | None, span: int, keep=None) -> tuple[np.ndarray, np.ndarray, list]:
     """Window hashes (distinct forms), their positions, and the values of the slots of each."""
     value, forms, kind = template(text)
     h = window_hashes(value, forms, kind, span)
-    use = [np.ones(h.shape[1], bool) if keep is None else keep(h[0])]
-    # the second form counts where it differs
-    differs = np.flatnonzero(h[1] != h[0]) if kind.any() else np.zeros(0, "i8")
-    second = differs if keep is None else differs[keep(h[1, differs])]
-    first = np.flatnonzero(use[0])
-    slots = []
     width = min(span, len(value))
-    for form, at in [(0, p) for p in first] + [(1, p) for p in second]:
-        k = kind[at : at + width]
-        s = np.flatnonzero((k == 1) | (k == 2) if form == 0 else k > 0)  # placeholders of this form
-        slots.append(value[at + s].view("i8").tolist())
-    return np.concatenate([h[0, first], h[1, second]]).view("i8"), np.concatenate([first, second]), slots
+    hs, ps, slots = [], [], []
+    for f in range(len(h)):
+        # a later form counts where it differs
+        at = np.arange(h.shape[1]) if f == 0 else np.flatnonzero((h[f] != h[:f]).all(0))
+        if keep is not None:
+            at = at[keep(h[f, at])]
+        slot = forms[f] != value  # placeholders of this form
+        slots += [value[p : p + width][slot[p : p + width]].view("i8").tolist() for p in at]
+        hs.append(h[f, at])
+        ps.append(at)
+    return np.concatenate(hs).view("i8"), np.concatenate(ps), slots
 
 
 def windows(rows: DataFrame, text: str, key: str, span: int, bits=None) -> DataFrame:

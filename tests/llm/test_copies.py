@@ -227,6 +227,20 @@ def test_items_that_repeat_a_template(spark):
     assert {r["doc_id"]: list(r["item_ids"]) for r in decontam.flagged(d, b).collect()} == {1: [1], 2: [1], 3: [1], 4: [2]}
 
 
+def test_renamed_questions_are_found(spark):
+    """Names begin sentences, stand inside them, or do both."""
+    items = [
+        "Sarah has 12 apples. Tom gives Sarah 3 apples. How many apples does Sarah have",
+        "Nora walks to the market every morning. Nora carries 4 heavy bags home. Later Nora gives 2 bags to Peter. How many bags are left",
+    ]
+    b = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    new = [t.replace("Sarah", "Maria").replace("Tom", "John").replace("Nora", "Emil").replace("Peter", "Clara") for t in items]
+    pad = "Some words stand before it. "
+    docs = [(1, pad + new[0] + " and so on"), (2, pad + new[1].replace("4", "9")), (3, items[0]), (4, pad * 9), (5, "Emil walks to the station. Clara has 5 pears. How many pears does Otto eat")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: list(r["item_ids"]) for r in decontam.flagged(d, b).collect()} == {1: [1], 2: [2], 3: [1]}
+
+
 def test_empty_tables(spark, nothing):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontam.flagged(nothing, b).count() == 0
