@@ -5,8 +5,8 @@ the first piece taking the rest. A piece goes to the open bin whose choice makes
 squared number of open bins with that gap smallest; opening a new bin is one of the choices.
 
 Pieces are dealt by hash into groups of bounded size, each packed by one task from long to short. Bins that are not
-full enough are dissolved and their pieces packed again in fewer groups, until one group remains, so the loss of
-dealing does not grow with the data. Groups depend on rows only: a lost task gives the same bins again.
+full enough are dissolved and their pieces packed again in fewer groups of the same size, until one group remains or a
+level saves less than ``GAIN`` of the bins it unpacked, as when most pieces fit with no other. Groups depend on rows only: a lost task gives the same bins again.
 
 Null texts are empty: one piece of one token. Repeated rows are packed as often as they occur.
 """
@@ -30,6 +30,8 @@ SIZE = 2048  # tokens of a sequence
 END = 0  # id after each document
 GROUP = 20_000  # pieces packed by one task on average
 LOOSE = 4  # bins with a larger gap are packed again
+GAIN = 0.02  # of the bins unpacked that a further level must save
+LEVELS = 128  # the level has seven bits in a sequence's identifier
 CACHE = 300_000  # distinct words whose ids a task keeps
 # fixed values: the word split of byte-level tokenizers over the characters of Latin-1, and over all of Unicode
 LETTER, DIGIT, BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -177,9 +179,12 @@ def packer(level: int, size: int, loose: int | None):
 
 
 def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP, loose: int = LOOSE) -> DataFrame:
-    """Adds sequence_id and offset to pieces (columns of :func:`pieces`)."""
+    """Adds sequence_id and offset to pieces (columns of :func:`pieces`).
+
+    Groups keep their size on every level. A level that saves less than ``GAIN`` of the bins it unpacked is the last.
+    """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, again boolean"
-    todo, done, level = rows, None, 0
+    todo, done, before, level = rows, None, None, 0
     n = rows.count()
     while True:
         groups = max(1, -(-n // group))
@@ -187,13 +192,18 @@ def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP, loose: int = LOO
 
         dealt = todo.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)))
         out = saved(dealt.groupBy("g").applyInPandas(packer(level, size, None if last else loose), schema), "packed")
-        final = out.where(~F.col("again")).drop("again")
+        if before is not None:
+            bins, unpacked = out.select("sequence_id").distinct().count(), before.select("sequence_id").distinct().count()
+            if bins >= unpacked:
+                return done.unionByName(before.drop("again"))
+            last = last or bins > (1 - GAIN) * unpacked or level == LEVELS - 1
+        final = (out if last else out.where(~F.col("again"))).drop("again")
         done = final if done is None else done.unionByName(final)
         if last:
             return done
-        todo = out.where("again").select(*rows.columns)
-        left = todo.count()
-        n, level = min(left, n // 2), level + 1
+        before = out.where("again")
+        todo = before.select(*rows.columns)
+        n, level = todo.count(), level + 1
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end: int = END) -> DataFrame:

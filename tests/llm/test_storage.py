@@ -71,6 +71,14 @@ def test_packing_is_gapless_and_whole(spark, corpus, group):
         assert len(ids) == r["length"] and zlib.crc32(ids.tobytes()) == r["ids_crc32"]
 
 
+def test_groups_stay_bounded_when_nothing_fits_together(spark):
+    lengths = [70 + i % 50 for i in range(400)]
+    rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(rows, 128, 40).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(400)) and len({r["sequence_id"] for r in got}) == 400
+    assert max(Counter(r["sequence_id"] >> 24 for r in got).values()) <= 80
+
+
 def test_packing_nothing(spark, nothing):
     assert packing.pack_documents(nothing, tokenizer_path()).count() == 0
 
