@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, embdup, langid, packing, sharding, simhash, toolcalls, toxicity, urlfilter, warc
+from quern.llm import decontam, embdup, langid, packing, search, sharding, simhash, toolcalls, toxicity, urlfilter, variants, warc
 from quern.registry import Tables, query
 
 
@@ -119,3 +119,26 @@ FROM k""",
 def _(t: Tables) -> DataFrame:
     """The conversations have plain turns only: they become tool messages, which are then linked, ordered and validated."""
     return toolcalls.link(toolcalls.from_turns(t.conversations), toolcalls.TURN_SCHEMAS)
+
+
+@query("op11_spelling_variants")
+def _(t: Tables) -> DataFrame:
+    return variants.variants(t.documents).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query(
+    "op13_lexical_search",
+    r"""WITH folded AS (SELECT doc_id, row_number() OVER () AS r, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT r, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM folded),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+m AS (SELECT r, 100 - 50 + ((50 * n * docs) // total) AS m FROM n, c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
+)
+def _(t: Tables) -> DataFrame:
+    return search.search(t.documents, t.benchmark)
