@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, embdup, langid, packing, search, sharding, simhash, toolcalls, toxicity, urlfilter, variants, warc
+from quern.llm import ctw, decontam, embdup, langid, packing, search, sharding, simhash, toolcalls, toxicity, urlfilter, variants, warc
 from quern.registry import Tables, query
 
 
@@ -126,6 +126,11 @@ def _(t: Tables) -> DataFrame:
     return variants.variants(t.documents).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+@query("op12_lm_scoring")
+def _(t: Tables) -> DataFrame:
+    return ctw.score(t.documents)
+
+
 @query(
     "op13_lexical_search",
     r"""WITH folded AS (SELECT doc_id, row_number() OVER () AS r, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
