@@ -41,7 +41,8 @@ ROOT = 3  # bytes of context that the windows of one subtree share
 END = b"\n"  # occurs in no word
 FOLDS, LEFT_OUT = 7, 2  # documents with this remainder are not learnt from
 BATCH = 64 << 20  # bytes of text after which a batch ends
-PIECE = 1 << 21  # bytes whose windows are cut at once
+PIECE = 1 << 19  # bytes whose windows are cut at once
+PENDING = 1 << 22  # keys that wait to be added up
 BLOCK = 1_000_000  # windows of a block of subtrees
 PACKED = "batch long, text binary, size binary, doc binary, named binary, held binary"
 TREE = "ctx int, node int, zeros long, ones long, below double, gram binary, count binary"
@@ -146,19 +147,21 @@ def counted(batches: DataFrame) -> DataFrame:
                 keys, counts, words = [], [], Counter()
                 for lo, gram, texts in unpacked(text, size):
                     mine = train[lo : lo + len(texts)]
-                    each, at = np.unique(gram, return_inverse=True)
-                    keys.append(each)
-                    counts.append(np.bincount(at, weights=np.repeat(mine, list(map(len, texts))), minlength=len(each)))
+                    learnt = np.repeat(mine, list(map(len, texts)))
+                    each, n = np.unique(gram[learnt], return_counts=True)
+                    other = np.unique(gram[~learnt])
+                    keys += [each, other]
+                    counts += [n, np.zeros(len(other))]
                     for t, learn in zip(texts, mine):
                         tokens = [*t.split(), END]
                         words.update(tokens if learn else dict.fromkeys(tokens, 0))
-                    if sum(map(len, keys[1:])) > len(keys[0]) + PIECE:
+                    if sum(map(len, keys[1:])) > PENDING:
                         keys, counts = ([x] for x in summed(keys, counts))
                 key, count = summed(keys, counts)
                 key = np.append(key, np.array([word_key(w) for w in words], "i8"))
                 count = np.append(count, np.array(list(words.values()))).astype("i8")
-                for lo in range(0, len(key), PIECE >> 3):
-                    k = key[lo : lo + (PIECE >> 3)]
+                for lo in range(0, len(key), PIECE):
+                    k = key[lo : lo + PIECE]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), number)), pa.array(k), pa.array(count[lo : lo + len(k)])], names=["batch", "key", "count"])
 
     return batches.select("batch", "text", "size", "held").mapInArrow(run, "batch long, key long, count long")
@@ -302,14 +305,13 @@ def applied(text: pa.Table, values: pa.Table) -> pa.Table:
     out = []
     for row in range(text.num_rows):
         doc, named, held = (np.frombuffer(text.column(c)[row].as_buffer(), t) for c, t in (("doc", "i8"), ("named", "u1"), ("held", "u1")))
-        seen: dict[bytes, int] = {}
         for lo, gram, texts in unpacked(text.column("text")[row].as_py(), text.column("size")[row].as_py()):
             size = np.array(list(map(len, texts)))
             score = np.add.reduceat(value[np.searchsorted(key, gram)], np.cumsum(size) - size)
             tokens = [[*t.split(), END] for t in texts]
+            seen: dict[bytes, int] = {}
             at = np.array([seen.setdefault(w, len(seen)) for t in tokens for w in t])
-            own = np.array([word_key(w) for w in seen], "i8") if lo == 0 or len(seen) > len(own) else own
-            count = value[np.searchsorted(key, own)][at]
+            count = value[np.searchsorted(key, np.array(list(map(word_key, seen)), "i8"))][at]
             n = np.array(list(map(len, tokens)))
             first = np.cumsum(n) - n
             part = slice(lo, lo + len(texts))
