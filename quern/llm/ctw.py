@@ -12,8 +12,8 @@ training counts; aggregation adds them up over the corpus. Windows that share th
 subtrees, several of which make a block that one task folds up, level by level; what it holds grows with distinct
 windows, not with text. The levels above have at most 256 ** (ROOT - 1) contexts and are folded on the driver. Each
 batch then gets the code lengths of its own windows and the counts of its own words back in a join, and scores its
-texts. All training text is counted, nothing is pruned or hashed into tables of fixed size; words are told apart by 63
-bits of XXH64.
+texts. All training text is counted, nothing is pruned or hashed into tables of fixed size; words are told apart by a
+tabulation hash of 63 bits.
 
 Defined results: null, empty and blank texts hold the end mark only. Rows without identifier are learnt from. Repeated
 rows are learnt from and scored as often as they occur. An empty table gives an empty result. Without training text
@@ -22,13 +22,12 @@ every decision has probability one half and the base score is zero. Extra column
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from io import BufferedReader
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,7 +41,10 @@ END = b"\n"  # occurs in no word
 FOLDS, LEFT_OUT = 7, 2  # documents with this remainder are not learnt from
 BATCH = 64 << 20  # bytes of text after which a batch ends
 PIECE = 1 << 19  # bytes whose windows are cut at once
-PENDING = 1 << 22  # keys that wait to be added up
+PENDING = 1 << 21  # keys that wait to be added up
+TEXT_BITS = 15  # a piece has fewer texts than that gives numbers; with a gram they fit a signed long
+SCATTER = np.random.default_rng(1).integers(0, 1 << 64, (256, 256), "u8", endpoint=False)  # random numbers of the hash of words, by place and byte
+END_KEY = -1
 BLOCK = 1_000_000  # windows of a block of subtrees
 PACKED = "batch long, text binary, size binary, doc binary, named binary, held binary"
 TREE = "ctx int, node int, zeros long, ones long, below double, gram binary, count binary"
@@ -76,25 +78,28 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     base = docs.select(i.cast("long").alias("i"), F.coalesce(i.cast("string"), F.lit("")).alias("s"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held_bytes = TaskContext.get().partitionId() << 24, 0
-        texts, ids, held = [], [], []
+        number, total = TaskContext.get().partitionId() << 24, 0
+        squeeze, parts, sizes, ids, held = zstandard.ZstdCompressor(1).compressobj(), [], [], [], []
 
         def out() -> pa.RecordBatch:
-            size, named = np.array(list(map(len, texts)), "i8"), np.array([d is not None for d in ids], "u1")
-            row = [pa.array([number]), pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary()), *blobs(size, np.array([d or 0 for d in ids], "i8"), named, np.array(held, "u1"))]
+            named = np.array([d is not None for d in ids], "u1")
+            row = [pa.array([number]), pa.array([b"".join([*parts, squeeze.flush()])], pa.binary())]
+            row += blobs(np.array(sizes, "i8"), np.array([d or 0 for d in ids], "i8"), named, np.array(held, "u1"))
             return pa.RecordBatch.from_arrays(row, names=names(PACKED))
 
         for batch in batches:
             for i, s, t in zip(batch.column("i"), batch.column("s"), batch.column("t")):
-                texts.append(b" ".join(t.as_py().lower().split()) + END)
+                plain = b" ".join(t.as_py().lower().split()) + END
+                parts.append(squeeze.compress(plain))
+                sizes.append(len(plain))
                 ids.append(i.as_py())
                 held.append(i.is_valid and crc32(s.as_py().encode()) % FOLDS == LEFT_OUT)
-                held_bytes += len(texts[-1])
-                if held_bytes >= BATCH:
+                total += len(plain)
+                if total >= BATCH:
                     yield out()
-                    number, held_bytes = number + 1, 0
-                    texts, ids, held = [], [], []
-        if texts:
+                    number, total = number + 1, 0
+                    squeeze, parts, sizes, ids, held = zstandard.ZstdCompressor(1).compressobj(), [], [], [], []
+        if sizes:
             yield out()
 
     # fewer, larger batches repeat fewer windows
@@ -103,12 +108,12 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 def unpacked(text: bytes, size: bytes, order: int = ORDER) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
     """(number of the first text, grams, texts) of pieces of a batch; a gram is the context, latest byte first, then the byte."""
-    text, size = zstandard.decompress(text), np.frombuffer(size, "i8")
-    end = np.cumsum(size)
+    size = np.frombuffer(size, "i8")
+    line, end = BufferedReader(zstandard.ZstdDecompressor().stream_reader(text)), np.cumsum(size)
     lo = 0
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + PIECE)))
-        texts = [text[e - n : e] for e, n in zip(end[lo:hi].tolist(), size[lo:hi].tolist())]
+        hi = min(lo + (1 << TEXT_BITS), max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + PIECE))))
+        texts = [line.read(n) for n in size[lo:hi].tolist()]
         yield lo, windows(texts, order), texts
         lo = hi
 
@@ -125,15 +130,28 @@ def windows(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     return gram[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
 
 
-def word_key(word: bytes) -> int:
-    """A negative number for a word; grams are not negative."""
-    return (xxhash.xxh64_intdigest(word) >> 1) - (1 << 63)
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text number) of every token; keys of words are negative, grams are not."""
+    line = np.frombuffer(b"".join(texts), "u1")
+    size = np.fromiter(map(len, texts), "i8", len(texts))
+    inside = (line != 0x20) & (line != END[0])
+    at = np.flatnonzero(inside)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)[: len(at)])
+    place = at - np.repeat(at[first], np.diff(np.append(first, len(at))))
+    mixed_in = SCATTER[place & 255, line[at]] * (2 * (place >> 8) + 1).astype("u8")
+    key = np.add.reduceat(mixed_in, first) if len(first) else mixed_in
+    key = (key | np.uint64(1 << 63)).view("i8")
+    text = np.searchsorted(np.cumsum(size), at[first], "right")
+    return np.append(key, np.full(len(texts), END_KEY)), np.append(text, np.arange(len(texts)))
 
 
 def summed(key: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    every, at = np.unique(np.concatenate(key), return_inverse=True)
-    return every, np.bincount(at, weights=np.concatenate(count), minlength=len(every))
+    """Distinct keys in order and the sums of their counts; the given keys are in order each."""
+    every = np.concatenate(key)
+    order = np.argsort(every, kind="stable")  # merges what is in order already
+    every = every[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[first], np.add.reduceat(np.concatenate(count)[order], first)
 
 
 def counted(batches: DataFrame) -> DataFrame:
@@ -144,22 +162,19 @@ def counted(batches: DataFrame) -> DataFrame:
             for row in range(b.num_rows):
                 text, size, number = (b.column(c)[row].as_py() for c in ("text", "size", "batch"))
                 train = np.frombuffer(b.column("held")[row].as_buffer(), "u1") == 0
-                keys, counts, words = [], [], Counter()
+                keys, counts = [], []
                 for lo, gram, texts in unpacked(text, size):
                     mine = train[lo : lo + len(texts)]
-                    learnt = np.repeat(mine, list(map(len, texts)))
-                    each, n = np.unique(gram[learnt], return_counts=True)
-                    other = np.unique(gram[~learnt])
+                    key, of = words(texts)
+                    every = np.append(key, gram)
+                    learnt = np.append(mine[of], np.repeat(mine, list(map(len, texts))))
+                    each, n = np.unique(every[learnt], return_counts=True)
+                    other = np.unique(every[~learnt])
                     keys += [each, other]
-                    counts += [n, np.zeros(len(other))]
-                    for t, learn in zip(texts, mine):
-                        tokens = [*t.split(), END]
-                        words.update(tokens if learn else dict.fromkeys(tokens, 0))
+                    counts += [n, np.zeros(len(other), "i8")]
                     if sum(map(len, keys[1:])) > PENDING:
                         keys, counts = ([x] for x in summed(keys, counts))
                 key, count = summed(keys, counts)
-                key = np.append(key, np.array([word_key(w) for w in words], "i8"))
-                count = np.append(count, np.array(list(words.values()))).astype("i8")
                 for lo in range(0, len(key), PIECE):
                     k = key[lo : lo + PIECE]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), number)), pa.array(k), pa.array(count[lo : lo + len(k)])], names=["batch", "key", "count"])
@@ -307,17 +322,19 @@ def applied(text: pa.Table, values: pa.Table) -> pa.Table:
         doc, named, held = (np.frombuffer(text.column(c)[row].as_buffer(), t) for c, t in (("doc", "i8"), ("named", "u1"), ("held", "u1")))
         for lo, gram, texts in unpacked(text.column("text")[row].as_py(), text.column("size")[row].as_py()):
             size = np.array(list(map(len, texts)))
-            score = np.add.reduceat(value[np.searchsorted(key, gram)], np.cumsum(size) - size)
-            tokens = [[*t.split(), END] for t in texts]
-            seen: dict[bytes, int] = {}
-            at = np.array([seen.setdefault(w, len(seen)) for t in tokens for w in t])
-            count = value[np.searchsorted(key, np.array(list(map(word_key, seen)), "i8"))][at]
-            n = np.array(list(map(len, tokens)))
-            first = np.cumsum(n) - n
+            # in order of the grams, the search runs through the keys once
+            both = np.sort((gram << TEXT_BITS) | np.repeat(np.arange(len(texts)), size))
+            gram = both >> TEXT_BITS
+            new = np.append(True, gram[1:] != gram[:-1])
+            score = value[np.searchsorted(key, gram[new])][np.cumsum(new) - 1]
+            score = np.bincount(both & ((1 << TEXT_BITS) - 1), weights=score, minlength=len(texts))
+            token, of = words(texts)
+            count = value[np.searchsorted(key, token)]
+            total = lambda x: np.bincount(of, weights=x, minlength=len(texts))
             part = slice(lo, lo + len(texts))
             out.append(pa.table([
-                pa.array(doc[part], mask=named[part] == 0), pa.array(held[part] > 0), pa.array(n), pa.array(np.add.reduceat((count > 0).astype("i8"), first)),
-                pa.array(np.add.reduceat(np.log10(count + 1), first)), pa.array(score), pa.array(size),
+                pa.array(doc[part], mask=named[part] == 0), pa.array(held[part] > 0), pa.array(np.bincount(of)),
+                pa.array(total(count > 0).astype("i8")), pa.array(total(np.log10(count + 1))), pa.array(score), pa.array(size),
             ], names=names(SCORES)))
     empty = [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
     return pa.concat_tables(out) if out else pa.table(empty, names=names(SCORES))
@@ -332,9 +349,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     batches = saved(packed(docs, text, doc_id), "batches")
     pairs = saved(counted(batches), "counts")
     totals = saved(pairs.groupBy("key").agg(F.sum("count").alias("count")), "totals")
-    words = totals.where("key < 0")
-    size = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
-    values = gram_values(totals).unionByName(words.select("key", F.col("count").cast("double").alias("value")))
+    tokens = totals.where("key < 0")
+    size = tokens.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
+    values = gram_values(totals).unionByName(tokens.select("key", F.col("count").cast("double").alias("value")))
     back = pairs.select("batch", "key").join(values, "key").select("batch", "key", "value")
     out = batches.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(applied, SCORES)
     train = F.lit(size["n"]).cast("long")
