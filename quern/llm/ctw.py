@@ -41,11 +41,11 @@ END = b"\n"  # occurs in no word
 FOLDS, LEFT_OUT = 7, 2  # documents with this remainder are not learnt from
 BATCH = 64 << 20  # bytes of text after which a batch ends
 PIECE = 1 << 19  # bytes whose windows are cut at once
-PENDING = 1 << 21  # keys that wait to be added up
+PENDING = 1 << 20  # keys that wait to be added up
 TEXT_BITS = 15  # a piece has fewer texts than that gives numbers; with a gram they fit a signed long
 SCATTER = np.random.default_rng(1).integers(0, 1 << 64, (256, 256), "u8", endpoint=False)  # random numbers of the hash of words, by place and byte
 END_KEY = -1
-BLOCK = 1_000_000  # windows of a block of subtrees
+BLOCK = 200_000  # windows of a block of subtrees
 PACKED = "batch long, text binary, size binary, doc binary, named binary, held binary"
 TREE = "ctx int, node int, zeros long, ones long, below double, gram binary, count binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
