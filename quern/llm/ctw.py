@@ -39,7 +39,7 @@ ORDER = 5  # bytes of context at most
 ROOT = 3  # bytes of context that the windows of one subtree share
 END = b"\n"  # occurs in no word
 FOLDS, LEFT_OUT = 7, 2  # documents with this remainder are not learnt from
-BATCH = 64 << 20  # bytes of text after which a batch ends
+BATCH = 32 << 20  # bytes of text after which a batch ends
 PIECE = 1 << 19  # bytes whose windows are cut at once
 PENDING = 1 << 20  # keys that wait to be added up
 TEXT_BITS = 15  # a piece has fewer texts than that gives numbers; with a gram they fit a signed long
@@ -102,8 +102,7 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
         if sizes:
             yield out()
 
-    # fewer, larger batches repeat fewer windows
-    return base.coalesce(max(1, -(-base.rdd.getNumPartitions() // 2))).mapInArrow(run, PACKED)
+    return base.mapInArrow(run, PACKED)
 
 
 def unpacked(text: bytes, size: bytes, order: int = ORDER) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
