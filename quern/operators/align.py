@@ -167,35 +167,110 @@ def beam(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, c
     return decode(rows, entity, pos, uid, [col], payload, lambda p, s, d: sweep(p, s, d)[1], backward, limit)
 
 
-SEGMENTS = 4  # parts of a window whose means make its shape
+COARSE, FINE = 4, 8  # parts of a window whose means make its words
 BREAKS = (-0.6745, 0.0, 0.6745)  # fixed values: quartiles of the normal distribution
+SLACK = 1e-8  # scores are rounded to nine digits; bounds this close below one are still looked at
 
 
-def shaped(window: Column) -> Column:
-    """Struct (z, shape): the window with mean 0 and deviation 1, and a number for the levels of its part means."""
-    n = F.greatest(F.size(window), F.lit(1))
-    mean = F.aggregate(window, F.lit(0.0), lambda a, x: a + x) / n
-    sd = F.sqrt(F.aggregate(window, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n) + 1e-6
-    z = F.transform(window, lambda x: (x - mean) / sd)
-    at = lambda i: F.floor(i * n / SEGMENTS).cast("int")
-    long = lambda i: F.greatest(at(i + 1) - at(i), F.lit(1))
-    part = lambda i: F.slice(window, at(i) + 1, long(i))
-    shape = F.lit(0)
-    for i in range(SEGMENTS):
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+
+
+def _let(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` of a value that is computed once, also where it is used inside a lambda."""
+    return F.transform(F.array(value), build)[0]
+
+
+def _parts(size: int, parts: int) -> list[tuple[int, int]]:
+    """First place and length of each part of a window."""
+    cut = [i * size // parts for i in range(parts + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(cut, cut[1:])]
+
+
+def _means(z: Column, size: int, parts: int) -> Column:
+    return F.array(*[_total(F.slice(z, lo + 1, n)) / n for lo, n in _parts(size, parts)])
+
+
+def _word(means: Column, parts: int) -> Column:
+    """A number for the levels of the part means."""
+    out = F.lit(0).cast("long")
+    for i in range(parts):
         level = F.lit(0)
-        value = (F.aggregate(part(i), F.lit(0.0), lambda a, x: a + x) / long(i) - mean) / sd
         for b in BREAKS:
-            level = level + (value > b).cast("int")
-        shape = shape * (len(BREAKS) + 1) + level
-    return F.struct(z.alias("z"), shape.alias("shape"))
+            level = level + (means[i] > b).cast("int")
+        out = out * (len(BREAKS) + 1) + level
+    return out
+
+
+def _described(rows: DataFrame, window: Column, size: int) -> DataFrame:
+    """Adds ``_z`` (the window with mean 0 and deviation 1), its square sum, part means and words."""
+    flat = lambda w, mean: F.transform(w, lambda x: x - mean)
+    over = lambda c: F.sqrt(_total(F.transform(c, lambda x: x * x)) / size) + 1e-6
+    scaled = lambda c: _let(over(c), lambda sd: F.transform(c, lambda x: x / sd))
+    rows = rows.withColumn("_z", _let(window, lambda w: _let(_total(w) / size, lambda mean: _let(flat(w, mean), scaled))))
+    rows = rows.withColumns({"_ss": _total(F.transform("_z", lambda x: x * x)), "_m4": _means(F.col("_z"), size, COARSE), "_m8": _means(F.col("_z"), size, FINE)})
+    return rows.withColumns({"_c": _word(F.col("_m4"), COARSE), "_f": _word(F.col("_m8"), FINE)})
+
+
+def _boxes(cand: DataFrame, keys: Sequence[str], means: str, parts: int, *more: Column) -> DataFrame:
+    """Per word: the range of each part mean and the largest square sum of its windows."""
+    low, high = ([f(F.col(means)[i]) for i in range(parts)] for f in (F.min, F.max))
+    return cand.groupBy(*keys).agg(F.array(*low).alias("lo"), F.array(*high).alias("hi"), F.max("_b").alias("b"), *more)
+
+
+def _bound(own: Column, ss: Column, box: Column, size: int, parts: int) -> Column:
+    """The largest correlation a window can have with one in the box.
+
+    The squared distance of two windows is at least that of their part means, weighted by length, and the product of
+    the windows is half of their square sums less that distance.
+    """
+    away = F.lit(0.0)
+    for i, (_, n) in enumerate(_parts(size, parts)):
+        gap = F.greatest(box["lo"][i] - own[i], own[i] - box["hi"][i], F.lit(0.0))
+        away = away + n * gap * gap
+    return (ss + box["b"] - away) / (2 * size)
+
+
+def _product(a: Column, b: Column, size: int) -> Column:
+    return _total(F.zip_with(a, b, lambda x, y: x * y)) / size
+
+
+def best_windows(suffix: DataFrame, cand: DataFrame, entity: str, uid: str, size: int) -> DataFrame:
+    """(entity, uid, score, value): the candidate window of the same entity with the highest correlation, the first of equals.
+
+    ``suffix``: entity, uid and the columns of ``_described``; ``cand``: entity, ``_at``, ``_v`` and those columns.
+    Candidates have words at two resolutions with boxes around them. A window first meets one candidate of the coarse
+    word with the highest bound; then coarse words, fine words and at last candidates are looked at only if their bound
+    reaches that score. The result is that of comparing all pairs.
+    """
+    # windows that repeat exactly stand for their first place
+    cand = cand.groupBy(entity, "_c", "_f", F.col("_z").alias("_y")).agg(F.min(F.struct("_at", "_v")).alias("_first"), F.first("_ss").alias("_b"), F.first("_m4").alias("_m4"), F.first("_m8").alias("_m8"))
+    seen = F.min_by("_y", "_first").alias("seen")
+    coarse = _boxes(cand, [entity, "_c"], "_m4", COARSE, seen)
+    fine = _boxes(cand, [entity, "_c", "_f"], "_m8", FINE)
+    # at most 256 coarse words per entity
+    listed = coarse.groupBy(entity).agg(F.collect_list(F.struct("_c", "lo", "hi", "b", "seen")).alias("_boxes"))
+    s = suffix.select(entity, F.col(uid).alias("_u"), "_z", "_ss", "_m4", "_m8").join(listed, entity)
+    bounded = F.transform("_boxes", lambda x: F.struct(_bound(F.col("_m4"), F.col("_ss"), x, size, COARSE).alias("bound"), x["_c"].alias("_c"), x["seen"].alias("seen")))
+    reach = lambda boxes: _product(F.col("_z"), F.array_max(boxes)["seen"], size) - SLACK
+    words = lambda boxes, t: F.transform(F.filter(boxes, lambda x: x["bound"] >= t), lambda x: x["_c"])
+    s = s.withColumn("_hit", _let(bounded, lambda boxes: _let(reach(boxes), lambda t: F.struct(t.alias("least"), words(boxes, t).alias("words")))))
+    s = s.select(entity, "_u", "_z", "_ss", "_m8", F.col("_hit.least").alias("_least"), F.explode("_hit.words").alias("_c"))
+    near = s.join(fine, [entity, "_c"]).where(_bound(F.col("_m8"), F.col("_ss"), F.struct("lo", "hi", "b"), size, FINE) >= F.col("_least"))
+    near = near.select(entity, "_u", "_z", "_c", "_f")
+    met = near.join(cand.select(entity, "_c", "_f", "_y", "_first"), [entity, "_c", "_f"])
+    score = F.round(_product(F.col("_z"), F.col("_y"), size), 9)
+    best = met.groupBy(entity, "_u").agg(F.max(F.struct(score.alias("score"), (-F.col("_first._at")).alias("at"), F.col("_first._v").alias("v"))).alias("m"))
+    return best.select(entity, F.col("_u").alias(uid), F.col("m.score").alias("score"), F.col("m.v").alias("value"))
 
 
 def match_ncc(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: str, halves: Sequence[int] = (8, 15, 25), stride: int = 3, sharpness: float = 3.0, limit: int | None = None) -> DataFrame:
-    """Position of the best-correlated known window of the same shape for each suffix row, per window size and mixed.
+    """Position of the best-correlated known window for each suffix row, per window size and mixed.
 
-    A window's shape is the sequence of its part means in four levels. Suffix windows meet the known windows of their
-    series that have the same shape in a plain equi-join; the correlation of the joined windows decides. The mixed
-    position weighs the sizes by exp(sharpness x correlation). Input: ``prefix_frame`` columns.
+    The series is smoothed over five rows. Windows of the known part are whole and start at every ``stride``-th row;
+    those of the suffix are one per row, with the edge values repeated beyond the ends. Where the known part has no more
+    rows than a window, its last value is given with score 0. The mixed position weighs the sizes by
+    exp(sharpness x correlation). Input: ``prefix_frame`` columns; rows without a value of ``col`` take no part.
     """
     part = F.when(F.col("rn") <= F.col("n_known"), "known").otherwise("suffix")
     rows = p.withColumn("_part", part).where(F.col(col).isNotNull())
@@ -205,18 +280,18 @@ def match_ncc(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: st
     top = max(halves)
     around = lambda w: {f"_w{h}": F.collect_list("_g").over(w.rowsBetween(-h, h)) for h in halves}
     rows = framed(rows, keys, F.col(pos), [pos, uid], top, top, around, limit)
+    length = rows.where("_part = 'known'").groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
     out = p.where(F.col("rn") > F.col("n_known")).select(entity, uid, "last_known")
     for h in halves:
-        whole = rows.where(F.size(f"_w{h}") == 2 * h + 1).withColumn("_s", shaped(F.col(f"_w{h}")))
-        suffix = whole.where("_part = 'suffix'").select(entity, F.col(uid).alias("_u"), F.col("_s.shape").alias("_shape"), F.col("_s.z").alias("_a"))
-        cand = whole.where((F.col("_part") == "known") & (F.col("_i") % stride == 0))
-        cand = cand.select(entity, F.col("_s.shape").alias("_shape"), F.col("_s.z").alias("_b"), F.col("_i").alias("_at"), F.col(known).alias("_v"))
-        product = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / (2 * h + 1)
-        met = suffix.join(cand, [entity, "_shape"]).select(entity, "_u", F.struct(F.round(product, 9).alias("score"), (-F.col("_at")).alias("first"), F.col("_v").alias("value")).alias("m"))
-        best = met.groupBy(entity, "_u").agg(F.max("m").alias("m"))
-        best = best.select(entity, F.col("_u").alias(uid), F.col("m.value").alias(f"pos_{h}"), F.col("m.score").alias(f"score_{h}"))
+        size, w = 2 * h + 1, F.col(f"_w{h}")
+        before = F.greatest(h + 1 - F.col("_i"), F.lit(0)).cast("int")
+        padded = F.concat(F.array_repeat(w[0], before), w, F.array_repeat(F.element_at(w, -1), F.lit(size) - F.size(w) - before))
+        suffix = _described(rows.where("_part = 'suffix'").select(entity, uid, padded.alias("_p")), F.col("_p"), size)
+        whole = rows.where((F.col("_part") == "known") & (F.size(w) == size) & ((F.col("_i") - 1 - h) % stride == 0))
+        whole = whole.join(length.where(F.col("_n") > size).select(entity), entity, "left_semi")
+        cand = _described(whole.select(entity, F.col("_i").alias("_at"), F.col(known).alias("_v"), w.alias("_p")), F.col("_p"), size)
+        best = best_windows(suffix, cand, entity, uid, size).withColumnsRenamed({"score": f"score_{h}", "value": f"pos_{h}"})
         out = out.join(best, [entity, uid], "left")
-        # a row without a window of its shape stays at the last known value with score 0
         out = out.withColumns({f"pos_{h}": F.coalesce(f"pos_{h}", "last_known"), f"score_{h}": F.coalesce(f"score_{h}", F.lit(0.0))})
     weights = [F.exp(F.lit(sharpness) * F.col(f"score_{h}")) for h in halves]
     moved = [F.col(f"pos_{h}") * w for h, w in zip(halves, weights)]

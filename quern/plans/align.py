@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import align as A
-from quern.plans.series import lc, prefix
+from quern.plans.series import SEQ, lc, prefix
 from quern.registry import query
 
 
@@ -37,7 +37,22 @@ def _(t):
     return A.beam(_sequence(t), payload, "user_id", "day", "event_id", "value")
 
 
-@query("ts_match_ncc")
+@query(
+    "ts_match_ncc",
+    f"""WITH {SEQ}, s AS (SELECT user_id, event_id, md, value, tvt_input, last_known, rn <= n_known AS k FROM pf),
+g AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id, k) AS n, avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS g FROM s WINDOW w AS (PARTITION BY user_id, k ORDER BY md, event_id)),
+a AS (SELECT user_id, k, list(g ORDER BY i) AS all_g FROM g GROUP BY ALL),
+h AS (SELECT unnest([8, 15, 25]) AS h),
+w AS (SELECT user_id, event_id, k, i, n, h, tvt_input, last_known, list_transform(range(i - h, i + h + 1), lambda j: all_g[greatest(1, least(n, j))]) AS w FROM g JOIN a USING (user_id, k), h
+      WHERE NOT k OR (i > h AND i <= n - h AND (i - 1 - h) % 3 = 0 AND n > 2 * h + 1)),
+z AS (SELECT * EXCLUDE (w), list_transform(w, lambda x: (x - list_avg(w)) / (list_stddev_pop(w) + 1e-6)) AS z FROM w),
+m AS (SELECT s.event_id, s.h, round(list_dot_product(s.z, c.z) / (2 * s.h + 1), 9) AS score, c.i, c.tvt_input FROM z AS s JOIN z AS c ON s.user_id = c.user_id AND s.h = c.h AND c.k AND NOT s.k),
+b AS (SELECT event_id, h, max(score) AS score, arg_max(tvt_input, (score, -i)) AS pos FROM m GROUP BY ALL),
+o AS (SELECT s.user_id, s.event_id, s.h, coalesce(b.pos, s.last_known) AS pos, coalesce(b.score, 0) AS score FROM z AS s LEFT JOIN b USING (event_id, h) WHERE NOT s.k),
+r AS (SELECT user_id, event_id, {", ".join(f"max(pos) FILTER (h = {h}) AS pos_{h}, max(score) FILTER (h = {h}) AS score_{h}" for h in (8, 15, 25))} FROM o GROUP BY ALL)
+SELECT *, (exp(3 * score_8) * pos_8 + exp(3 * score_15) * pos_15 + exp(3 * score_25) * pos_25) / (exp(3 * score_8) + exp(3 * score_15) + exp(3 * score_25)) AS matched FROM r""",
+    f="pos_8 score_8 pos_15 score_15 pos_25 score_25 matched",
+)
 def _(t):
     return A.match_ncc(prefix(t), "user_id", "md", "event_id", "tvt_input", "value")
 
