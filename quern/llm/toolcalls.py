@@ -3,14 +3,15 @@
 A message whose text is ``{"tool_calls": [{"id", "name", "arguments", "after": [ids]}]}`` makes calls; one whose text is
 ``{"tool_call_id", "content"}`` is a result. Calls and results of a conversation are hash-joined by identifier. A
 call comes after the calls it names in ``after``; the order follows the turns wherever they allow it: a call's place
-is the larger of its turn and one more than the largest place of the calls it waits for. Turns that are in order
-already need no further round; others are raised round by round until nothing moves.
+is the larger of its turn and one more than the largest place of the calls it waits for. Conversations whose turns are
+in that order already need no round; in the others, calls that wait for nothing open are settled round by round, in as
+many rounds as their longest chain. What is left then waits in a circle, or for one.
 
 Defined results: messages of neither form take no part. Repeated identifiers of a conversation are one call, the first
 by turn, position and text, with ``copies`` counting them; results alike. A call without a result is ``unanswered``,
 a result without a call is ``orphan``, a result at an earlier turn than its call is ``early``. Unknown tools,
 arguments that are no JSON object, and violations of the schema are listed in ``problems``. Calls that wait for each
-other in a circle, or for such calls, have ``circular`` among their problems. Null conversations or identifiers join
+other in a circle, or for such calls, have ``circular`` among their problems and stay at their turn. Null conversations or identifiers join
 nothing: such calls stay alone. Numbers keep the form they were given in.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.llm.shared import place as new_place
 from quern.llm.shared import saved
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
@@ -86,27 +88,34 @@ def canonical(value: Column) -> Column:
 
 def places(nodes: DataFrame) -> DataFrame:
     """(conv_id, call_id, place, circular) of calls given with turn and after."""
-    state = nodes.select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("place"))
-    edges = nodes.select("conv_id", "call_id", F.explode("after").alias("on")).distinct()
-    limit = nodes.groupBy("conv_id").agg((F.max(F.coalesce("turn", F.lit(0))) + F.count("*")).alias("limit"))
-    moved = False
+    keys = ["conv_id", "call_id"]
+    state = nodes.select(*keys, F.coalesce("turn", F.lit(0)).cast("long").alias("place"))
+    waits = nodes.select(*keys, F.explode("after").alias("on")).distinct()
+    on = state.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("floor"))
+    against = waits.join(on, ["conv_id", "on"]).join(state, keys).where("floor >= place").select("conv_id").distinct()
+    against = saved(against, "out-of-order")
+    if against.isEmpty():
+        return state.withColumn("circular", F.lit(False))
+    left = saved(state.join(against, "conv_id", "left_semi").where("call_id IS NOT NULL"), "unsettled")
+    known = left.select("conv_id", F.col("call_id").alias("on"))
+    waits = saved(waits.join(known, ["conv_id", "on"], "left_semi"), "waits")
+    spark, rounds = nodes.sparkSession, []
+    folder = new_place(spark, "settled")
     while True:
-        on = state.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("floor"))
-        least = edges.join(on, ["conv_id", "on"]).groupBy("conv_id", "call_id").agg((F.max("floor") + 1).alias("floor"))
-        up = state.join(least, ["conv_id", "call_id"]).where("floor > place").select("conv_id", "call_id", "floor")
-        if moved:  # a place beyond all turns and calls of its conversation only grows in a circle
-            up = up.join(limit, "conv_id").where("floor <= limit + 1").drop("limit")
-        up = saved(up, "raised")
-        if up.isEmpty():
+        rounds.append(f"{folder}/{len(rounds)}")
+        left.join(waits, keys, "left_anti").write.parquet(rounds[-1])
+        free = spark.read.schema(left.schema).parquet(rounds[-1])
+        if free.isEmpty():
             break
-        if not moved:
-            limit = saved(limit, "limits")
-            edges = saved(edges, "waits")
-            moved = True
-        state = saved(state.join(up, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("place", "floor").alias("place")), "places")
-    if not moved:
-        return state.withColumn("circular", F.lit(False))
-    return state.join(limit, "conv_id", "left").select("conv_id", "call_id", "place", F.coalesce(F.col("place") > F.col("limit"), F.lit(False)).alias("circular"))
+        on = free.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("floor"))
+        least = waits.join(on, ["conv_id", "on"]).groupBy(*keys).agg((F.max("floor") + 1).alias("floor"))
+        raised = left.join(free.select(*keys), keys, "left_anti").join(least, keys, "left")
+        left = saved(raised.select(*keys, F.greatest("place", "floor").alias("place")), "unsettled")
+        waits = saved(waits.join(on, ["conv_id", "on"], "left_anti"), "waits")
+    circles = left.select(*keys, F.lit(True).alias("circular"))
+    settled = spark.read.schema(left.schema).parquet(*rounds).select(*keys, F.col("place").alias("settled"))
+    state = state.join(settled, keys, "left").select(*keys, F.coalesce("settled", "place").alias("place"))
+    return state.join(circles, keys, "left").withColumn("circular", F.coalesce("circular", F.lit(False)))
 
 
 def numbered(rows: DataFrame) -> DataFrame:

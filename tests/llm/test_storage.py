@@ -165,6 +165,16 @@ def test_a_reversed_chain_is_put_in_order(spark):
     assert [r["call_id"] for r in got] == [f"c{i:02d}" for i in reversed(range(n))] and all(r["valid"] for r in got)
 
 
+def test_circles_at_different_turns(spark):
+    """Every member of a circle is marked, whatever the turns beside it; calls before it are not, calls behind it are."""
+    call = lambda conv, turn, i, after: message(conv, turn, "assistant", {"tool_calls": [{"id": i, "name": "add", "arguments": {"a": 1}, "after": after}]})
+    rows = [call(1, 0, "a", ["b"]), call(1, 1, "b", ["a", "d"]), call(1, 10, "c", []), call(1, 2, "d", []), call(1, 1_000_000, "e", ["c"]), call(1, 3, "f", ["b"])]
+    rows += [call(2, 5, "a", ["a"]), call(2, 7, "b", []), call(3, 9, "a", ["b"]), call(3, 9, "b", []), call(None, 0, "a", ["b"]), call(None, 1, "b", ["a"])]
+    got = {(r["conv_id"], r["call_id"]): r for r in linked(spark, rows) if r["conv_id"] is not None}
+    assert {k for k, r in got.items() if "circular" in r["problems"]} == {(1, "a"), (1, "b"), (1, "f"), (2, "a")}
+    assert got[3, "b"]["step"] < got[3, "a"]["step"] and got[1, "c"]["step"] < got[1, "e"]["step"]
+
+
 def test_no_messages(spark):
     assert linked(spark, []) == []
 
