@@ -40,23 +40,29 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, "text", "__score").where("__score < 0.5").drop("__score")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own, by identifier and text: identifiers may be null or shared by different texts."""
+    return docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest identifier of each group of near copies.
+    """Keeps one row of each group of near copies, that with the smallest identifier (then the smallest key).
 
-    Of rows with one identifier the one with the smallest text stays; rows without an identifier stay.
+    Different texts that share an identifier are documents of their own. Rows without an identifier stay.
     """
-    near = simhash.near_copies(docs)
-    kept = near.where("doc_id = component_id").select("doc_id").distinct()
-    rest = F.struct(*_but(docs, "doc_id"))
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(rest, F.coalesce("text", F.lit(""))).alias("__row"))
-    one = one.select("doc_id", "__row.*").select(*_but(docs))
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    rows = _keyed(docs)
+    near = simhash.near_copies(rows, doc_id="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    named = rows.where("doc_id IS NOT NULL").select("__key", F.col("doc_id").alias("__id")).join(near, "__key")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("first")).select("first.__key")
+    one = rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"])
+    return one.unionByName(rows.where("doc_id IS NULL")).select(*_but(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item."""
-    found = decontam.flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*_but(docs))
+    """Rejects rows that hold a benchmark item, each judged by its own text."""
+    rows = _keyed(docs)
+    found = decontam.flagged(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="__key")
+    return rows.join(found.select(F.col("doc_id").alias("__key")), "__key", "left_anti").select(*_but(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
