@@ -185,7 +185,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     steps = sizes_of_per(cosine)
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") >= steps[0])
     pers = saved(sizes.select("label", "dim", sum(((F.col("n") >= n).cast("int") for n in steps), F.lit(2)).alias("per")), "pers")
-    sized = classes.join(F.broadcast(pers), ["label", "dim"], "left").withColumn("per", F.coalesce("per", F.lit(2)))
+    sized = classes.join(pers, ["label", "dim"], "left").withColumn("per", F.coalesce("per", F.lit(2)))
     placed = saved(spread(sized.select(*classes.columns, "per"), cosine), "placed")
     key = ["label", "dim", "t", "cell"]
     full = saved(placed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).drop("n"), "cells")

@@ -370,6 +370,24 @@ def test_pipeline(spark):
     assert max(ends.values()) <= packing.SIZE and all(r["offset"] + r["length"] <= ends[r["sequence_id"]] for r in got)
 
 
+def test_stages_tell_rows_apart_by_themselves(spark):
+    """Rows without identifier and different texts under one identifier are judged one by one."""
+    import corpus_pipeline as P
+
+    item = next(r["text"] for r in spark.read.parquet(f"{TABLES}/benchmark.parquet").orderBy("item_id").collect())
+    rows = [(1, prose(1)), (1, prose(2)), (1, prose(1)), (2, prose(2)), (3, prose(3)), (None, prose(3)), (None, f"{prose(4)} {item} {prose(5)}"), (7, f"{prose(6)} {item}"), (7, prose(7)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in P.near_copies(spark, docs, TABLES).collect()]
+    assert Counter(kept) == Counter([rows[0], rows[1], rows[4], *rows[5:]])
+    clean = [(r["doc_id"], r["text"]) for r in P.clean(spark, docs, TABLES).collect()]
+    assert Counter(clean) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
+def prose(seed):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40))
+
+
 def test_stages_take_empty_tables(spark, nothing):
     import corpus_pipeline as P
 
@@ -381,4 +399,4 @@ def test_registered_queries():
     import __spark_entry__ as E
 
     names = [q for q in E.queries() if q.startswith("op") or q == "pipeline"]
-    assert len(names) == 11 and os.path.basename(E.queries()["pipeline"].__code__.co_filename) == "corpus_pipeline.py"
+    assert len(names) == 14 and os.path.basename(E.queries()["pipeline"].__code__.co_filename) == "corpus_pipeline.py"
