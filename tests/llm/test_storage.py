@@ -307,7 +307,7 @@ def test_no_pages(spark):
 def brute_stage(name, spark, before, rows):
     """Identifiers that a stage keeps, computed over a plain list of rows; models are trained by the same functions."""
     import corpus_pipeline as P
-    from quern.llm import decontam, langid, simhash, toxicity
+    from quern.llm import decontam, langid, toxicity
 
     texts = [r["text"] for r in rows]
     if name == "language ID":
@@ -321,18 +321,18 @@ def brute_stage(name, spark, before, rows):
         scorer = toxicity.Scorer(toxicity.train(toxicity.sample(before, labels, "text", "doc_id", "toxic")))
         return [r["doc_id"] for r in rows if scorer.scores([r["text"]])[0] < 0.5]
     if name == "near dedup":
-        fps = [simhash.fingerprint(t) for t in texts]
+        sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for t in texts]
         group = list(range(len(rows)))
         for _ in rows:
-            new = [min(group[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= simhash.MOST) for i in range(len(rows))]
+            new = [min(group[j] for j in range(len(rows)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in range(len(rows))]
             if new == group:
                 break
             group = new
         first = {}
         for r, g in zip(rows, group):
-            if r["doc_id"] is not None:
-                first[g] = min(first.get(g, r["doc_id"]), r["doc_id"])
-        return sorted(set(first.values())) + [None for r in rows if r["doc_id"] is None]
+            here = (r["doc_id"] is None, r["doc_id"] or 0)
+            first[g] = min(first.get(g, here), here)
+        return [None if missing else i for missing, i in first.values()]
     windows = lambda t: {tuple(w[i : i + 5]) for w in [("".join(c if c.isalnum() else " " for c in t or "")).lower().split()] for i in range(len(w) - 4)}
     items = [w for r in spark.read.parquet(f"{TABLES}/benchmark.parquet").collect() if (w := windows(r["text"]))]
     assert decontam.SPAN == 5
