@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, langid, packing, simhash, toxicity
+from quern.llm import decontam, langid, packing, similar, toxicity
 from quern.llm.queries import tokenizer_path
 from quern.llm.shared import saved
 
@@ -46,16 +46,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies, that with the smallest identifier (then the smallest key).
+    """Keeps one row of each group of texts joined by a five-word similarity of 0.8 or more (see ``similar``).
 
-    Different texts that share an identifier are documents of their own. Rows without an identifier stay.
+    That with the smallest identifier stays, then the smallest key; a row without identifier stays only if its group has
+    none with one. Different texts that share an identifier are documents of their own.
     """
-    rows = _keyed(docs)
-    near = simhash.near_copies(rows, doc_id="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    named = rows.where("doc_id IS NOT NULL").select("__key", F.col("doc_id").alias("__id")).join(near, "__key")
-    kept = named.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("first")).select("first.__key")
-    one = rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"])
-    return one.unionByName(rows.where("doc_id IS NULL")).select(*_but(docs))
+    rows = docs.withColumn("__key", similar.row_key())
+    near = saved(similar.near_copies(docs).withColumnRenamed("key", "__key"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), "__key")).alias("first")
+    kept = saved(rows.select("doc_id", "__key").join(near, "__key").groupBy("component").agg(first).select("first.__key"), "kept")
+    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*_but(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
