@@ -12,8 +12,10 @@ at 0.8; derived for many shingles, texts of few shingles differ in somewhat more
    candidates, with which a pair at ``SIMILARITY`` meets in some partition with probability ``RECALL``. A bound on all
    bits together would need thresholds whose candidates grow with the square of the classes.
 3. Classes that share a cell and differ little in one further word are candidates; that bound is passed with 0.998.
-   Each class is first checked against its nearest cell minimum and the links found are contracted; then all
-   candidates between different groups are checked, so a dense group never emits all its pairs.
+   Each class is first checked against its nearest cell minimum, then against the minima of its other cells that are
+   in other groups; the links found are contracted each time. Only then are all candidates between different groups
+   checked: a group of close texts is one by then and does not emit its pairs. Whole fingerprints that differ in too
+   many bits end a check early.
    A check compares the shingle sets themselves: no pair below ``SIMILARITY`` is linked.
 
 Rows with equal identifier and text are one row; different texts of one identifier, and rows without one, are judged by
@@ -23,7 +25,7 @@ themselves. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, comb, log, log2, pi
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ SIMILARITY = 0.8
 RECALL = 0.92  # of pairs at exactly that similarity; more similar ones are found more surely
 CHECKED = 0.998  # share of such pairs that pass the bound on the further word
 NARROWEST, WIDEST = 16, 32  # bits of a partition
+MARGIN = 0.03  # added to the share of differing bits that a whole fingerprint may have, for texts of few shingles
 SPARE = 1.1  # partitions to choose from, relative to the number needed
 STEPS = 500  # of the dynamic programme
 ROWS = 255  # hashes whose bits are counted at once, in bytes
@@ -206,6 +209,16 @@ def sets(docs: DataFrame, rows: DataFrame, reps: DataFrame, text: str, doc_id: s
     return base.join(saved(keys.select("key"), "wanted"), "key", "left_semi").select("t").mapInArrow(run, "rep long, h binary").dropDuplicates(["rep"])
 
 
+def resembling(pairs: DataFrame, classes: DataFrame, count: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole fingerprints differ in few enough bits, three deviations and MARGIN allowed."""
+    share, bits = differing(similarity) + MARGIN, 64 * count
+    most = int(bits * share + 3 * sqrt(bits * share * (1 - share)))
+    wa = classes.select(F.col("rep").alias("a"), F.col("words").alias("wa"))
+    wb = classes.select(F.col("rep").alias("b"), F.col("words").alias("wb"))
+    bits_apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return saved(pairs.join(wa, "a").join(wb, "b").where(bits_apart <= most).select("a", "b"), "resembling")
+
+
 def checked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text: str, doc_id: str, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets are that similar."""
     reps = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
@@ -225,6 +238,13 @@ def checked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text: str, doc_i
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not yet in one group."""
+    ga = groups.select(F.col("vertex").alias("a"), F.col("component").alias("ga"))
+    gb = groups.select(F.col("vertex").alias("b"), F.col("component").alias("gb"))
+    return pairs.join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(key, component) for every row, once per ``row_key``; rows of one component are joined by links."""
     width, count = shape(docs.count(), similarity)
@@ -237,14 +257,16 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     shared = saved(index.join(hubs, "k"), "shared")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     most = bound(differing(similarity))
-    close = shared.where((F.col("rep") != F.col("a")) & (apart("c", "ac") <= most)).groupBy("rep")
-    first = close.agg(F.min(F.struct(apart("c", "ac").alias("d"), "a")).alias("n")).select("n.a", F.col("rep").alias("b"))
-    first = saved(checked(saved(first, "nearest"), docs, rows, text, doc_id, similarity), "links")
-    groups = components(first).withColumnRenamed("vertex", "rep")
+    close = shared.where((F.col("rep") != F.col("a")) & (apart("c", "ac") <= most)).withColumnRenamed("rep", "b")
+    close = saved(close.groupBy("a", "b").agg(F.min(apart("c", "ac")).alias("d")), "near")
+    nearest = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("n")).select("n.a", "b")
+    alike = lambda pairs: checked(resembling(pairs, classes, count, similarity), docs, rows, text, doc_id, similarity)
+    links = saved(alike(nearest), "links")
+    links = saved(links.unionByName(alike(across(close.select("a", "b"), components(links)))), "links")
+    groups = components(links).withColumnRenamed("vertex", "rep")
     spots = saved(shared.select("k", "rep", "c").join(groups, "rep", "left").select("k", "rep", "c", F.coalesce("component", "rep").alias("g")), "spots")
     other = spots.select("k", F.col("rep").alias("b"), F.col("c").alias("bc"), F.col("g").alias("bg"))
     rest = spots.withColumnRenamed("rep", "a").join(other, "k").where((F.col("a") < F.col("b")) & (F.col("g") != F.col("bg")) & (apart("c", "bc") <= most))
-    rest = saved(rest.select("a", "b").distinct(), "candidates")
-    links = first.unionByName(checked(rest, docs, rows, text, doc_id, similarity))
+    links = links.unionByName(alike(saved(rest.select("a", "b").distinct(), "candidates")))
     groups = components(saved(links, "links")).withColumnRenamed("vertex", "rep")
     return rows.select("key", "rep").distinct().join(groups, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
