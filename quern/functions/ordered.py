@@ -6,6 +6,10 @@ Groups above ``limit`` rows are cut into ordered chunks: windows run per (key, c
 cross a chunk border (prefix sums, last values, neighbour rows) travels in small per-chunk summaries.
 Cut points are picked by a hash of the rows' place, so both branches of a plan see the same chunks.
 
+A plan on the large path uses its input several times (sizes, cut points, summaries, rows). The input, the cut points and
+the summaries are therefore written once as an order index in the shared folder (``session.stored``) and read from
+there: what came before is computed twice at most (to count it, to write it), however long the chain of operators is.
+
 ``lead`` is a numeric column that never decreases along ``order``; ``order`` are column names,
 ascending, that together order the rows of a group completely.
 """
@@ -18,6 +22,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import stored
+
 ROWS_PER_TASK = 2_000_000
 CUTS = 4  # cut points per ROWS_PER_TASK rows of a large group
 UNKNOWN = object()  # group sizes not looked at yet; pass the result of hot_groups to look only once
@@ -68,13 +74,13 @@ def chunked(df: DataFrame, keys: Sequence[str], lead: Column, limit: int | None
 
     Cut points are rows of the group itself, picked by a hash of their place, ``CUTS`` per ``limit`` rows on average:
     a group has as many pieces as its size asks for, and rows that tie on ``lead`` are cut by the rest of ``order``.
-    Nulls come first, as in an ascending window.
+    Nulls come first, as in an ascending window. Rows and cut points are written once and read from there.
     """
     limit = limit or ROWS_PER_TASK
-    found = hot_groups(df, keys, limit)
-    if found is None:
+    if hot_groups(df, keys, limit) is None:
         return None
-    hot, limit, _ = found
+    df = stored(df)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     rows = df.withColumn("_place", F.struct(lead.cast("double").alias("l"), *[quoted(c).alias(f"o{i}") for i, c in enumerate(order)]))
     inside = join_keys(rows, hot.drop("_n"), keys, "left_semi") if keys else rows
     step = max(1, limit // CUTS)
@@ -91,7 +97,7 @@ def chunked(df: DataFrame, keys: Sequence[str], lead: Column, limit: int | None
         "_size",
     )
     # without keys there is one row of cut points; else the planner looks at their size
-    rows = join_keys(rows, bounds, keys, "left", small=not keys)
+    rows = join_keys(rows, stored(bounds), keys, "left", small=not keys)
     rows = rows.withColumn("_block", F.size(F.filter("_coarse", lambda b: b < F.col("_place"))))
     inner = F.size(F.filter(F.element_at("_fine", F.col("_block") + 1), lambda b: b < F.col("_place")))
     rows = rows.withColumn(CHUNK, F.when(F.col("_coarse").isNull(), 0).otherwise(F.col("_block") * F.col("_size") + inner))
@@ -121,7 +127,7 @@ def running(
         .withColumns({f"_b_{n}": F.sum(f"_b_{n}").over(before) for n in sums})
         .where(F.col(CHUNK) > 0)  # only chunks of hot groups
     )
-    out = join_keys(local, base, part, "left")
+    out = join_keys(local, stored(base), part, "left")
     return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in sums}).drop(
         CHUNK, *[f"_b_{n}" for n in sums]
     )
@@ -163,7 +169,7 @@ def carried(
     multi = edge.withColumns({f"_e_{n}": F.last(F.col(f"_e_{n}"), ignorenulls=True).over(outer) for n in cols})
     # a group with one chunk needs nothing from outside: keep rows of groups that have a chunk above 0
     multi = multi.withColumn("_hot", F.max(CHUNK).over(window(keys)) > 0).where("_hot").drop("_hot")
-    out = join_keys(local, multi, part, "left")
+    out = join_keys(local, stored(multi), part, "left")
     return out.withColumns({n: F.coalesce(F.col(n), F.col(f"_e_{n}")) for n in cols}).drop(
         CHUNK, *[f"_e_{n}" for n in cols]
     )
@@ -227,10 +233,11 @@ def quantiles(
         got = df.groupBy(*keys).agg(*arrays)
         picks = [F.col(f"_q{i}")[j].alias(out) for i, ps in enumerate(by_col.values()) for j, (out, _) in enumerate(ps)]
         return got.select(*keys, *picks)
+    df = stored(df.select(*[quoted(c) for c in dict.fromkeys([*keys, *by_col])]))
     result = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     for c, ps in by_col.items():
         vals = df.select(*keys, F.col(c).cast("double").alias("_v")).where("_v IS NOT NULL")
-        counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
+        counts = stored(vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k")))
         cum = running(counts, keys, F.col("_v"), ["_v"], {"_cum": F.col("_k")}, limit)
         size = counts.groupBy(*keys).agg(F.sum("_k").alias("_n"))
         cum = join_keys(cum, size, keys) if keys else cum.withColumn("_n", size.scalar())
@@ -246,7 +253,7 @@ def quantiles(
             pos = F.lit(float(p)) * (F.col("_n") - 1)
             values.append((F.col(f"_lo{i}") + (pos - F.floor(pos)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(out))
         result = join_keys(result, got.select(*keys, *values), keys)
-    return result.select(*keys, *[quoted(w) for w in wanted])
+    return stored(result.select(*keys, *[quoted(w) for w in wanted]))
 
 
 def average_rank(
@@ -260,7 +267,8 @@ def average_rank(
         r = F.rank().over(window(keys).orderBy(v.asc_nulls_last())) + (F.count(v).over(ties) - 1) / 2.0
         r = r / F.count(v).over(window(keys)) if pct else r
         return df.withColumn(out, F.when(v.isNotNull(), r))
-    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    df = stored(df)
+    counts = stored(df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k")))
     cum = running(counts, keys, v, [value], {"_cum": F.col("_k")}, limit)
     rank = F.col("_cum") - F.col("_k") + (F.col("_k") + 1) / 2.0
     if pct:

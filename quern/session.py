@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,3 +39,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A copy of ``df`` written as Parquet in the shared folder: later plans read the columns they need from it instead
+    of computing ``df`` anew. A frame is written once, however often it is asked for.
+
+    Column names go through the file as numbers, so that any name is allowed and names may clash.
+    """
+    copy = getattr(df, "_quern_copy", None)
+    if copy is not None:
+        return copy
+    kinds = [f.dataType.simpleString() for f in df.schema.fields]
+    if any("void" in k or k == "interval" for k in kinds):  # types that Parquet lacks
+        copy = cut_lineage(df)
+    else:
+        path = f"{shared_folder(df.sparkSession)}/quern-stored-{uuid.uuid4().hex[:12]}"
+        plain = df.toDF(*[f"c{i}" for i in range(len(kinds))])
+        plain.write.parquet(path)
+        copy = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    df._quern_copy = copy._quern_copy = copy
+    return copy

@@ -130,3 +130,31 @@ def test_registered_queries_on_the_large_path(spark, small_limit, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got, want = QUERIES[name](spark, DIR).toPandas(), con.execute(ORACLES[name]).df()
     pd.testing.assert_frame_equal(canon(got), canon(want), check_dtype=False, rtol=1e-6, atol=1e-6)
+
+
+CHAINS = (
+    "win_sequence_features ts_surface_offset impute_median_train group_profile_residual stack_meta_features ts_segment_medians "
+    "ts_median_slope_extrapolate rerank_within_mask blend_rank_remap robust_zscore"
+).split()
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_chains_read_their_source_a_few_times(spark, small_limit, name):
+    """On the large path the source is read by the written order index, not once per step of the chain."""
+    from test_oracle import DIR, QUERIES
+
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count(f"[file:{DIR}/") <= 4
+
+
+def test_stored_frames_keep_names_types_and_rows(spark, tmp_path):
+    from quern.session import stored
+
+    df = spark.sql("SELECT id, id AS `a.b`, CAST(id AS STRING) AS ID2, array(struct(id AS x)) AS s FROM range(5)")
+    clash = df.select("*", F.lit(1.5).alias("id"))
+    copy = stored(clash)
+    assert copy.columns == clash.columns and [t for _, t in copy.dtypes] == [t for _, t in clash.dtypes]
+    assert sorted(copy.collect()) == sorted(clash.collect())
+    assert stored(clash) is copy and stored(copy) is copy
+    assert stored(df.where("id < 0")).count() == 0
+    assert stored(spark.sql("SELECT 1 AS a, NULL AS b")).first()["b"] is None
