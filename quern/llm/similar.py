@@ -16,6 +16,10 @@ at 0.8; derived for many shingles, texts of few shingles differ in somewhat more
    in other groups; the links found are contracted each time. Only then are all candidates between different groups
    checked: a group of close texts is one by then and does not emit its pairs. Whole fingerprints that differ in too
    many bits end a check early.
+4. Texts that share long passages without reaching ``SIMILARITY`` still crowd cells. Cells of more than ``CROWD``
+   classes in different groups emit no pairs; all their classes are compared through their rarest shingles instead: two
+   similar sets share one of them, at places that leave room for the overlap needed. That search is exact, so it loses
+   no pair, and texts that differ in their rare shingles never meet.
    A check compares the shingle sets themselves: no pair below ``SIMILARITY`` is linked.
 
 Rows with equal identifier and text are one row; different texts of one identifier, and rows without one, are judged by
@@ -30,7 +34,7 @@ from math import acos, ceil, comb, log, log2, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import simhash
@@ -46,6 +50,7 @@ MARGIN = 0.03  # added to the share of differing bits that a whole fingerprint m
 SPARE = 1.1  # partitions to choose from, relative to the number needed
 STEPS = 500  # of the dynamic programme
 ROWS = 255  # hashes whose bits are counted at once, in bytes
+CROWD = 16  # classes of different groups in one cell, above which rare shingles are compared instead
 THRESHOLDS = {-1: None, 0: 0, 2: 1}  # bits apart: radius in which both sides write cells
 
 
@@ -245,6 +250,38 @@ def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
 
 
+def by_rare_shingles(shingled: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different groups that may be that similar, from (rep, g, h); no similar pair is missing.
+
+    Shingles are ordered by the number of sets that hold them, then by value. The shorter set of a pair has its first
+    common shingle among its first n - 2 s / (1 + s) n + 1, the longer one among its first n - s n + 1; what follows
+    that shingle in either set bounds the overlap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, g, h in zip(*(batch.column(c).to_pylist() for c in ("rep", "g", "h"))):
+                v = np.frombuffer(h, "i8")
+                for i in range(0, len(v), 1 << 16):
+                    part = v[i : i + (1 << 16)]
+                    columns = [pa.array(np.full(len(part), x, "i8")) for x in (rep, g, len(v))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(part)], names=["rep", "g", "n", "t"])
+
+    tokens = saved(shingled.select("rep", "g", "h").mapInArrow(run, "rep long, g long, n long, t long"), "tokens")
+    often = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    ranked = tokens.join(often, "t").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")))
+    places = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    probe = saved(ranked.where((F.col("r") <= places(similarity)) & (F.col("df") > 1)), "rare")
+    index = probe.where(F.col("r") <= places(2 * similarity / (1 + similarity)))
+    x = index.select("t", F.col("rep").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    y = probe.select("t", F.col("rep").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    room = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    need = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9
+    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    fits = shorter & (F.col("ga") != F.col("gb")) & (F.col("na") >= similarity * F.col("nb") - 1e-9) & (room >= need)
+    return x.join(y, "t").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(key, component) for every row, once per ``row_key``; rows of one component are joined by links."""
     width, count = shape(docs.count(), similarity)
@@ -265,8 +302,14 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     links = saved(links.unionByName(alike(across(close.select("a", "b"), components(links)))), "links")
     groups = components(links).withColumnRenamed("vertex", "rep")
     spots = saved(shared.select("k", "rep", "c").join(groups, "rep", "left").select("k", "rep", "c", F.coalesce("component", "rep").alias("g")), "spots")
+    crowds = spots.groupBy("k").agg(F.count("*").alias("n"), F.min("g").alias("least"), F.max("g").alias("most"))
+    crowds = saved(crowds.where((F.col("n") > CROWD) & (F.col("least") != F.col("most"))).select("k"), "crowds")
+    crowded = saved(spots.join(crowds, "k", "left_semi").select("rep", "g").distinct(), "crowded")
+    shingled = sets(docs, rows, crowded.select("rep"), text, doc_id).join(crowded, "rep")
+    rare = by_rare_shingles(shingled, similarity)
+    spots = spots.join(crowds, "k", "left_anti")
     other = spots.select("k", F.col("rep").alias("b"), F.col("c").alias("bc"), F.col("g").alias("bg"))
     rest = spots.withColumnRenamed("rep", "a").join(other, "k").where((F.col("a") < F.col("b")) & (F.col("g") != F.col("bg")) & (apart("c", "bc") <= most))
-    links = links.unionByName(alike(saved(rest.select("a", "b").distinct(), "candidates")))
+    links = links.unionByName(alike(saved(rest.select("a", "b").unionByName(rare).distinct(), "candidates")))
     groups = components(saved(links, "links")).withColumnRenamed("vertex", "rep")
     return rows.select("key", "rep").distinct().join(groups, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))

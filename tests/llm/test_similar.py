@@ -118,3 +118,40 @@ def test_words_by_definition():
             mixed.append(x ^ x >> 31)
         got = similar.words_of(h, count)[-1:].view("u1")
         assert np.unpackbits(got).tolist() == [2 * sum(y >> (8 * (b // 8) + 7 - b % 8) & 1 for y in mixed) > len(mixed) for b in range(64)]
+
+
+def test_rare_shingles_miss_no_similar_pair_and_skip_shared_passages(spark):
+    """By all pairs; texts that share 80 words of 100 with all others and nothing else never meet."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, base = word(80), word(100)
+    apart = [" ".join(word(10) + passage + word(10)) for _ in range(200)]
+    near = [edited(rng, base, int(rng.integers(1, 5))) for _ in range(60)] + [" ".join(base[:k]) for k in range(70, 100, 3)] + ["a b", "a b c"]
+    sets = [shingles(t) for t in apart + near]
+    hashes = [similar.shingles(t) for t in apart + near]
+    rows = [(i, i, bytearray(h.tobytes())) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "rep long, g long, h binary")
+    got = {(r["a"], r["b"]) for r in similar.by_rare_shingles(df, 0.8).collect()}
+    want = {(j, i) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(want) > 100 and want <= got
+    assert not [p for p in got if p[0] < 200]
+    one = df.withColumn("g", F.lit(0).cast("long"))
+    assert similar.by_rare_shingles(one, 0.8).count() == 0
+    assert similar.by_rare_shingles(df.where("rep < 0"), 0.8).count() == 0
+
+
+def test_crowded_cells_lose_no_link(spark, monkeypatch):
+    texts = corpus(9)[:200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = []
+    for crowd in (10**9, 2):
+        monkeypatch.setattr(similar, "CROWD", crowd)
+        near = {r["key"]: r["component"] for r in similar.near_copies(df).collect()}
+        groups.append(near)
+    plain, crowded = groups
+    assert plain.keys() == crowded.keys()
+    assert all(len({crowded[k] for k in plain if plain[k] == c}) == 1 for c in set(plain.values()))
+    want, _ = classes_of(texts)
+    key = {r["doc_id"]: r["k"] for r in df.select("doc_id", similar.row_key().alias("k")).collect()}
+    for c in set(crowded.values()):
+        assert len({want[i] for i in key if crowded[key[i]] == c}) == 1
