@@ -148,7 +148,8 @@ def next_time(est: DataFrame) -> DataFrame:
     Input: ``estimators_long`` joined by ``with_window``.
     """
     p, r, lo, hi = F.col("period"), F.col("r"), F.col("lo"), F.col("hi")
-    t, tm = p - r, p - F.pmod(r.cast("double"), p)
+    # the remainder by whole cycles, as the definition has it: an exact remainder differs from it in the last bits
+    t, tm = p - r, p - (r - F.floor(r / p) * p)
     return est.select(
         CID, "hist", "est", "period",
         t.alias("t"),
