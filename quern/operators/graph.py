@@ -15,10 +15,10 @@ from quern.session import cut_lineage
 
 def mutual_best(pairs: DataFrame, cost: str) -> DataFrame:
     """Pairs that are the cheapest choice of both their ends (ties by ids)."""
-    p = pairs.withColumn("_c", F.struct(F.col(cost), F.col("source_id"), F.col("target_id")))
-    a = p.groupBy("source_id").agg(F.min("_c").alias("_a"))
-    b = p.groupBy("target_id").agg(F.min("_c").alias("_b"))
-    return p.join(a, "source_id").join(b, "target_id").where((F.col("_c") == F.col("_a")) & (F.col("_c") == F.col("_b"))).drop("_a", "_b", "_c")
+    rest = F.struct(*[c for c in pairs.columns if c not in ("source_id", "target_id")])
+    choice = F.struct(F.col(cost), F.col("source_id"), F.col("target_id"))
+    best = lambda key: pairs.groupBy(key).agg(F.min_by(F.struct("source_id", "target_id", rest.alias("_r")), choice).alias("_e")).select("_e.*")
+    return best("source_id").join(best("target_id").select("source_id", "target_id"), ["source_id", "target_id"]).select("source_id", "target_id", "_r.*").select(*pairs.columns)
 
 
 def link_greedy(pairs: DataFrame, cost: str) -> DataFrame:
