@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.ordered import join_keys
+from quern.session import stored
 
 
 def left_m1(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -84,40 +85,88 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.92).otherwise(ratio)
 
 
+SHORT = 40  # letters of a title up to which letters are dropped: about 800 keys for two edits
+PIECE = 8  # letters of the pieces by which contained titles are found
+
+
+def shortened(d: DataFrame, edits: int) -> DataFrame:
+    """(k, h): each key of up to ``SHORT`` + ``edits`` letters with all that is left without up to ``edits`` of them."""
+    rows = d.where(F.length("k") <= SHORT + edits).withColumn("h", F.col("k"))
+    out = rows
+    for _ in range(edits):
+        drop = lambda i: F.concat(F.substring("h", F.lit(1), i - 1), F.substring("h", i + 1, F.length("h")))
+        rows = rows.where("h <> ''").select("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("h")), drop))).alias("h")).distinct()
+        out = out.unionByName(rows)
+    return out.select("k", F.xxhash64("h").alias("h"))
+
+
+def contained(inner: DataFrame, outer: DataFrame, inner_name: str, outer_name: str) -> DataFrame:
+    """Pairs of keys that may lie in another, by the rarest piece of ``PIECE`` letters of the inner one (all of it, if shorter)."""
+    grams = lambda size: F.transform(F.sequence(F.lit(1), F.length("k") - size + 1), lambda i: F.substring("k", i, size))
+    sizes = inner.where(F.length("k") < PIECE).select(F.length("k").alias("n")).distinct()
+    short = outer.join(F.broadcast(sizes), F.length("k") >= F.col("n")).select("k", F.explode(F.array_distinct(grams(F.col("n")))).alias("h"))
+    pieces = lambda d: d.where(F.length("k") >= PIECE).select("k", F.explode(F.array_distinct(grams(F.lit(PIECE)))).alias("h"))
+    holds = pieces(outer)
+    often = holds.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    # a piece that no outer key holds leaves its key without a match
+    own = pieces(inner).join(often.hint("merge"), "h", "left").groupBy("k").agg(F.min_by("h", F.struct(F.coalesce("f", F.lit(0)), "h")).alias("h"))
+    own = own.unionByName(inner.where(F.length("k") < PIECE).select("k", F.col("k").alias("h")))
+    got = own.select(F.col("k").alias(inner_name), "h").join(holds.unionByName(short).select(F.col("k").alias(outer_name), "h").hint("merge"), "h")
+    return got.where(F.contains(outer_name, F.col(inner_name))).select("lk", "rk")
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_title: str, right_id: str, right_title: str, accept: float = 0.75) -> DataFrame:
     """Best candidate per title with similarity >= ``accept`` (ties: smallest id); null below it.
 
-    Titles collapse to distinct keys, and pairs come from shared rare bigrams: an edit touches at most two
-    bigrams, so two titles within the allowed distance must share one of each other's rarest few; a contained
-    title shares all of its bigrams, its rarest included. Only those pairs are compared.
+    Titles collapse to distinct keys. Equal and contained keys are found by hash joins. Keys one, then two edits apart
+    share what is left when as many letters are dropped from each: a title whose best candidate beats all that could lie
+    further away is settled. The rest, and keys above ``SHORT`` letters, meet through rare bigrams: an edit touches at
+    most two bigrams, so two titles within the allowed distance must share one of each other's rarest few.
     """
-    lk = left.select(title_key(left_title).alias("k")).where("k <> ''").distinct()
-    rk = right.select(title_key(right_title).alias("k")).where("k <> ''").distinct()
+    lk = stored(left.select(title_key(left_title).alias("k")).where("k <> ''").distinct())
+    rk = stored(right.select(title_key(right_title).alias("k")).where("k <> ''").distinct())
+    ids = right.select(title_key(right_title).alias("rk"), right_id).groupBy("rk").agg(F.min(right_id).alias(right_id))
+    ids = stored(ids)
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        s = F.round(title_similarity(F.col("lk"), F.col("rk")), 9)
+        scored = pairs.withColumn("s", s).where(F.col("s") >= accept).join(ids.hint("merge"), "rk")
+        return scored.groupBy("lk").agg(F.min(F.struct((-F.col("s")).alias("m"), F.col(right_id))).alias("b"))
+
+    named = lambda d, n: d.select(F.col("k").alias(n), "h")
+    # the planner does not count exploded rows and would broadcast them: these joins ask for a shuffle
+    meet = lambda a, b: named(a, "lk").join(named(b, "rk").hint("merge"), "h").select("lk", "rk")
+    found = judged(lk.select(F.col("k").alias("lk"), F.col("k").alias("rk")))
+    found = found.unionByName(judged(contained(lk, rk, "lk", "rk"))).unionByName(judged(contained(rk, lk, "rk", "lk")))
+    left_over, best = lk, None
+    for edits in (1, 2):
+        near = meet(shortened(left_over, edits), shortened(rk, edits)).distinct()
+        found = (best if best is not None else found).unionByName(judged(near))
+        best = stored(found.groupBy("lk").agg(F.min("b").alias("b")))
+        # further away: one edit more, in a title longer by all of them
+        room = 1 - (edits + 1) / (F.length("k") + edits + 1)
+        sure = (-F.col("b.m") > room + 1e-8) & (F.length("k") <= SHORT)
+        done = left_over.join(best, F.col("k") == F.col("lk")).where(sure).select("k")
+        # nothing further away is accepted
+        far = (room + 1e-8 < accept) & (F.length("k") <= SHORT)
+        left_over = stored(left_over.where(~far).join(done, "k", "left_anti"))
 
     def grams(d: DataFrame) -> DataFrame:
         s = F.concat(F.lit("^"), F.col("k"), F.lit("$"))
         g = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))
         return d.select("k", F.explode(g).alias("g"))
 
-    lg, rg = grams(lk), grams(rk)
-    freq = lg.unionAll(rg).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-
-    def ranked(x: DataFrame) -> DataFrame:
-        items = x.join(freq, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))  # bigrams of one title
-        return items.select("k", F.posexplode("gs").alias("i", "x")).select("k", "i", "x.g")
-
-    lr, rr = ranked(lg), ranked(rg)
-    # d edits <= (1 - accept) * longer length, longer <= own / accept; equal bigrams repeated in a title only make its set smaller
-    room = lambda k: 2 * F.floor(F.length(k) * F.lit((1 - accept) / accept) + 1e-9) + 1
-    lp, rp = lr.where(F.col("i") < room(F.col("k"))), rr.where(F.col("i") < room(F.col("k")))
-    a = lp.select(F.col("k").alias("lk"), "g").join(rp.select(F.col("k").alias("rk"), "g"), "g").select("lk", "rk")
-    mid = lambda d: d.where(~F.contains("g", F.lit("^")) & ~F.contains("g", F.lit("$")))
-    rarest = lambda d: mid(d).groupBy("k").agg(F.min_by("g", "i").alias("g"))
-    b = rarest(lr).select(F.col("k").alias("lk"), "g").join(rr.select(F.col("k").alias("rk"), "g"), "g").select("lk", "rk")
-    c = rarest(rr).select(F.col("k").alias("rk"), "g").join(lr.select(F.col("k").alias("lk"), "g"), "g").select("lk", "rk")
-    pairs = a.unionByName(b).unionByName(c).distinct()
-    scored = pairs.withColumn("s", F.round(title_similarity(F.col("lk"), F.col("rk")), 9)).where(F.col("s") >= accept)
-    ids = right.select(title_key(right_title).alias("rk"), right_id).groupBy("rk").agg(F.min(right_id).alias(right_id))
-    best = scored.join(ids, "rk").groupBy("lk").agg(F.min(F.struct((-F.col("s")).alias("m"), F.col(right_id))).alias("b"))
+    if not left_over.isEmpty():
+        lg, rg = grams(left_over), grams(rk)
+        freq = stored(lg.unionAll(rg).groupBy("g").agg(F.count(F.lit(1)).alias("f")))
+
+        def ranked(x: DataFrame) -> DataFrame:
+            items = x.hint("merge").join(freq, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))  # bigrams of one title
+            return items.select("k", F.posexplode("gs").alias("i", "x")).select("k", "i", "x.g")
+
+        # d edits <= (1 - accept) * longer length, longer <= own / accept; equal bigrams repeated in a title only make its set smaller
+        room = lambda k: 2 * F.floor(F.length(k) * F.lit((1 - accept) / accept) + 1e-9) + 1
+        rare = lambda d: ranked(d).where(F.col("i") < room(F.col("k"))).select("k", F.col("g").alias("h"))
+        best = best.unionByName(judged(meet(rare(lg), rare(rg)).distinct())).groupBy("lk").agg(F.min("b").alias("b"))
     out = left.withColumn("lk", title_key(left_title)).join(best, "lk", "left")
     return out.select(left_id, F.col(f"b.{right_id}").alias(right_id), (-F.col("b.m")).alias("similarity"))
