@@ -62,7 +62,8 @@ def degree_filter(nodes: DataFrame, edges: DataFrame, longest: float) -> DataFra
     """Drop edges with missing ends, non-consecutive or long ones; keep the best edge per target, then per source."""
     a = nodes.select(F.col("node_id").alias("source_id"), F.col("t").alias("_ts"))
     b = nodes.select(F.col("node_id").alias("target_id"), F.col("t").alias("_tt"))
-    ok = edges.join(a, "source_id").join(b, "target_id").where((F.col("_tt") == F.col("_ts") + 1) & (F.col("distance") <= longest))
+    # as many nodes as edges: sorted on both sides, neither is broadcast
+    ok = edges.join(a.hint("merge"), "source_id").join(b.hint("merge"), "target_id").where((F.col("_tt") == F.col("_ts") + 1) & (F.col("distance") <= longest))
     rest = F.struct("source_id", "target_id", "prob", "distance")
     best = lambda df, key: df.groupBy(key).agg(F.min_by(rest, F.struct((-F.col("prob")).alias("p"), "distance", "source_id", "target_id")).alias("e")).select("e.*")
     return best(best(ok, "target_id"), "source_id")
