@@ -19,7 +19,9 @@ at 0.8; derived for many shingles, texts of few shingles differ in somewhat more
 4. Texts that share long passages without reaching ``SIMILARITY`` still crowd cells. Cells of more than ``CROWD``
    classes in different groups emit no pairs; all their classes are compared through their rarest shingles instead: two
    similar sets share one of them, at places that leave room for the overlap needed. That search is exact, so it loses
-   no pair, and texts that differ in their rare shingles never meet.
+   no pair, and texts that differ in their rare shingles never meet. Before it, each of these classes is checked
+   against the centre of the largest other group at each of its rare shingles, and the links found are contracted:
+   else the stragglers of a large group of close texts would each meet all of its members.
    A check compares the shingle sets themselves: no pair below ``SIMILARITY`` is linked.
 
 Rows with equal identifier and text are one row; different texts of one identifier, and rows without one, are judged by
@@ -250,12 +252,17 @@ def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
 
 
-def by_rare_shingles(shingled: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different groups that may be that similar, from (rep, g, h); no similar pair is missing.
+def grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """``df`` with the group ``g`` that each ``rep`` is in now: itself, if it has no link."""
+    now = groups.select(F.col("vertex").alias("rep"), "component")
+    return df.drop("g").join(now, "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component")
+
+
+def rare_shingles(shingled: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """All shingles (rep, g, n, t) of (rep, g, h), and those rare enough to find partners by, with their place r in the set.
 
     Shingles are ordered by the number of sets that hold them, then by value. The shorter set of a pair has its first
-    common shingle among its first n - 2 s / (1 + s) n + 1, the longer one among its first n - s n + 1; what follows
-    that shingle in either set bounds the overlap.
+    common shingle among its first n - 2 s / (1 + s) n + 1, the longer one among its first n - s n + 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +277,34 @@ def by_rare_shingles(shingled: DataFrame, similarity: float) -> DataFrame:
     tokens = saved(shingled.select("rep", "g", "h").mapInArrow(run, "rep long, g long, n long, t long"), "tokens")
     often = tokens.groupBy("t").agg(F.count("*").alias("df"))
     ranked = tokens.join(often, "t").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")))
-    places = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    probe = saved(ranked.where((F.col("r") <= places(similarity)) & (F.col("df") > 1)), "rare")
+    return tokens, saved(ranked.where((F.col("r") <= places(similarity)) & (F.col("df") > 1)), "rare")
+
+
+def places(share: float) -> Column:
+    return F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+
+
+def to_centres(tokens: DataFrame, rare: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set and the centre of the largest other group at each of its rare shingles.
+
+    The centre of a group is the set whose shingles are the most frequent in the group: it has the largest overlap with
+    its members on average, so a set that resembles some of them mostly resembles it. One row per rare shingle at most.
+    """
+    held = tokens.groupBy("g", "t").agg(F.count("*").alias("c"))
+    overlap = tokens.join(held, ["g", "t"]).groupBy("g", "rep").agg(F.avg("c").alias("c"))
+    centres = overlap.groupBy("g").agg(F.max(F.struct("c", "rep"))["rep"].alias("centre"))
+    top = rare.groupBy("t", "g").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "g"))["g"].alias("top"))
+    met = rare.join(top, "t").where("g <> top").select("rep", F.col("top").alias("g")).distinct()
+    return met.join(centres, "g").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+
+
+def by_rare_shingles(shingled: DataFrame, similarity: float, rare: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of different groups that may be that similar, from (rep, g, h); no similar pair is missing.
+
+    Two similar sets share one of their ``rare_shingles`` (``rare``, if they are known, with the groups of now); what
+    follows that shingle in either set bounds the overlap.
+    """
+    probe = rare_shingles(shingled, similarity)[1] if rare is None else rare
     index = probe.where(F.col("r") <= places(2 * similarity / (1 + similarity)))
     x = index.select("t", F.col("rep").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("r").alias("ra"))
     y = probe.select("t", F.col("rep").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
@@ -300,14 +333,16 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     alike = lambda pairs: checked(resembling(pairs, classes, count, similarity), docs, rows, text, doc_id, similarity)
     links = saved(alike(nearest), "links")
     links = saved(links.unionByName(alike(across(close.select("a", "b"), components(links)))), "links")
-    groups = components(links).withColumnRenamed("vertex", "rep")
-    spots = saved(shared.select("k", "rep", "c").join(groups, "rep", "left").select("k", "rep", "c", F.coalesce("component", "rep").alias("g")), "spots")
+    spots = saved(grouped(shared.select("k", "rep", "c"), components(links)), "spots")
     crowds = spots.groupBy("k").agg(F.count("*").alias("n"), F.min("g").alias("least"), F.max("g").alias("most"))
     crowds = saved(crowds.where((F.col("n") > CROWD) & (F.col("least") != F.col("most"))).select("k"), "crowds")
     crowded = saved(spots.join(crowds, "k", "left_semi").select("rep", "g").distinct(), "crowded")
     shingled = sets(docs, rows, crowded.select("rep"), text, doc_id).join(crowded, "rep")
-    rare = by_rare_shingles(shingled, similarity)
-    spots = spots.join(crowds, "k", "left_anti")
+    tokens, rare = rare_shingles(shingled, similarity)
+    links = saved(links.unionByName(alike(saved(to_centres(tokens, rare), "central"))), "links")
+    groups = components(links)
+    rare = by_rare_shingles(shingled, similarity, saved(grouped(rare, groups), "rare"))
+    spots = saved(grouped(spots.join(crowds, "k", "left_anti"), groups), "spots")
     other = spots.select("k", F.col("rep").alias("b"), F.col("c").alias("bc"), F.col("g").alias("bg"))
     rest = spots.withColumnRenamed("rep", "a").join(other, "k").where((F.col("a") < F.col("b")) & (F.col("g") != F.col("bg")) & (apart("c", "bc") <= most))
     links = links.unionByName(alike(saved(rest.select("a", "b").unionByName(rare).distinct(), "candidates")))

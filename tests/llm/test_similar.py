@@ -155,3 +155,19 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch):
     key = {r["doc_id"]: r["k"] for r in df.select("doc_id", similar.row_key().alias("k")).collect()}
     for c in set(crowded.values()):
         assert len({want[i] for i in key if crowded[key[i]] == c}) == 1
+
+
+def test_stragglers_of_a_large_group_meet_its_centre(spark):
+    """Copies with one edit are one group already; those with three edits resemble the original only."""
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    places = [list(5 + 7 * rng.permutation(20)[:n]) for n in [1] * 120 + [3] * 60]
+    hashes = [similar.shingles(" ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(base))) for i, at in enumerate([[], *places])]
+    rows = [(i, 0 if i <= 120 else i, bytearray(h.tobytes())) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "rep long, g long, h binary")
+    tokens, rare = similar.rare_shingles(df, 0.8)
+    assert similar.by_rare_shingles(df, 0.8, rare).count() > 5000
+    pairs = [(r["a"], r["b"]) for r in similar.to_centres(tokens, rare).collect()]
+    assert {(0, i) for i in range(121, 181)} <= set(pairs) and len(pairs) <= 180
+    links = spark.createDataFrame([(i, 0) for i in range(181)], "vertex long, component long")
+    assert similar.by_rare_shingles(df, 0.8, similar.grouped(rare, links)).count() == 0
