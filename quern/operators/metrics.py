@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.ordered import join_keys, numbered, running
+from quern.session import stored
 
 
 def attach(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,8 +44,11 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str, score: str, weight:
 
 
 def auc(df: DataFrame, keys: Sequence[str], y: str, score: str, weight: Column | None = None, limit: int | None = None) -> DataFrame:
-    """ROC-AUC per group, ties counted half; null when a class is missing."""
-    c = score_counts(df, keys, y, score, weight)
+    """ROC-AUC per group, ties counted half; null when a class is missing.
+
+    The counts per score are written: group sizes and sums both read them, and ``df`` may be a model's scores.
+    """
+    c = stored(score_counts(df, keys, y, score, weight))
     cum = running(c, keys, F.col("_s"), ["_s"], {"_n": F.col("_w") - F.col("_p")}, limit)
     neg = F.col("_w") - F.col("_p")
     part = F.col("_p") * (F.col("_n") - neg / 2.0)

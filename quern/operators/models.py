@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.metrics import auc, uniform
+from quern.session import stored
 
 
 def prepared(cols: Sequence[str], scale: bool = True) -> list:
@@ -141,7 +142,8 @@ def long_label_model(df: DataFrame, id_col: str, labels: Sequence[str], cols: Se
 
 
 def param_grid(df: DataFrame, cols: Sequence[str], label: str, fold: str, folds: int, grid: Sequence[dict]) -> DataFrame:
-    """Mean out-of-fold AUC of each setting and the best one."""
+    """Mean out-of-fold AUC of each setting and the best one. The table is written once for all settings and folds."""
+    df = stored(df.select(*dict.fromkeys([*cols, label, fold])))
     rows = []
     for g in grid:
         scored = oof(df, cols, label, fold, folds, lambda x, g=g: LogisticRegression(featuresCol=x, labelCol=label, maxIter=30, **g))
@@ -176,9 +178,13 @@ def shuffled(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
 
 
 def null_importance(df: DataFrame, cols: Sequence[str], label: str, id_col: str, rounds: int = 5, share: float = 0.9) -> DataFrame:
-    """Keep a feature if its importance beats the given percentile of its importances on shuffled labels."""
+    """Keep a feature if its importance beats the given percentile of its importances on shuffled labels.
+
+    A fit reads its rows several times, so the table and each shuffled copy are written once.
+    """
+    df = stored(df.select(*dict.fromkeys([id_col, label, *cols])))
     real = tree_importance(df, cols, label)
-    null = [tree_importance(shuffled(df, id_col, label, s), cols, label, s) for s in range(rounds)]
+    null = [tree_importance(stored(shuffled(df, id_col, label, s)), cols, label, s) for s in range(rounds)]
     rows = [(c, real[i], float(r[i])) for r in null for i, c in enumerate(cols)]
     t = df.sparkSession.createDataFrame(rows, "feature string, importance double, null_importance double")
     out = t.groupBy("feature", "importance").agg(F.percentile("null_importance", F.lit(share)).alias("threshold"))
@@ -200,7 +206,7 @@ def variance_and_kbest(df: DataFrame, cols: Sequence[str], target: str, k: int)
 
 def importance_views(df: DataFrame, cols: Sequence[str], label: str, id_col: str, seed: int = 0) -> DataFrame:
     """Impurity importance, and the AUC lost when one column is shuffled, averaged after scaling to sum 1."""
-    data = _numeric(df.select(id_col, label, *cols), cols).persist()
+    data = stored(_numeric(df.select(id_col, label, *cols), cols))
     m = Pipeline(stages=[*prepared(cols, False), RandomForestClassifier(featuresCol="_v", labelCol=label, numTrees=10, maxDepth=5, seed=seed)]).fit(
         data.withColumn(label, F.col(label).cast("double"))
     )
@@ -208,7 +214,6 @@ def importance_views(df: DataFrame, cols: Sequence[str], label: str, id_col: str
     value = lambda d: auc(m.transform(d).withColumn("score", vector_to_array("probability")[1]), [], label, "score").first()["auc"]
     base = value(data)
     loss = [max(base - value(shuffled(data.select(id_col, *cols, label), id_col, c, seed)), 0.0) for c in cols]
-    data.unpersist()
     total = sum(loss) or 1.0
     rows = [(c, impurity[i], loss[i], (impurity[i] + loss[i] / total) / 2) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "feature string, impurity double, auc_loss double, importance double")
@@ -216,6 +221,7 @@ def importance_views(df: DataFrame, cols: Sequence[str], label: str, id_col: str
 
 def baseline_ladder(df: DataFrame, cols: Sequence[str], single: str, label: str, fold: str, folds: int) -> DataFrame:
     """Balanced accuracy of the majority class, a one-feature tree and the reference model, out of fold."""
+    df = stored(df.select(*dict.fromkeys([*cols, single, label, fold])))
     hard = lambda d: d.withColumn("_p", (F.col("score") >= 0.5).cast("int"))
     recall = lambda d: d.groupBy(label).agg(F.avg((F.col("_p") == F.col(label)).cast("int")).alias("r")).agg(F.avg("r")).first()[0]
     # the most frequent class of the other folds, from one row per fold and class
