@@ -290,12 +290,16 @@ def to_centres(tokens: DataFrame, rare: DataFrame) -> DataFrame:
     The centre of a group is the set whose shingles are the most frequent in the group: it has the largest overlap with
     its members on average, so a set that resembles some of them mostly resembles it. One row per rare shingle at most.
     """
-    held = tokens.groupBy("g", "t").agg(F.count("*").alias("c"))
-    overlap = tokens.join(held, ["g", "t"]).groupBy("g", "rep").agg(F.avg("c").alias("c"))
-    centres = overlap.groupBy("g").agg(F.max(F.struct("c", "rep"))["rep"].alias("centre"))
     top = rare.groupBy("t", "g").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "g"))["g"].alias("top"))
-    met = rare.join(top, "t").where("g <> top").select("rep", F.col("top").alias("g")).distinct()
-    return met.join(centres, "g").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    met = saved(rare.join(top, "t").where("g <> top").select("rep", F.col("top").alias("g")).distinct(), "met")
+    # a group of one set is its own centre
+    many = tokens.groupBy("g").agg((F.min("rep") < F.max("rep")).alias("many")).where("many")
+    members = tokens.join(many.join(met, "g", "left_semi"), "g", "left_semi")
+    held = members.groupBy("g", "t").agg(F.count("*").alias("c"))
+    overlap = members.join(held, ["g", "t"]).groupBy("g", "rep").agg(F.avg("c").alias("c"))
+    centres = overlap.groupBy("g").agg(F.max(F.struct("c", "rep"))["rep"].alias("centre"))
+    met = met.join(centres, "g", "left").withColumn("centre", F.coalesce("centre", "g"))
+    return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
 def by_rare_shingles(shingled: DataFrame, similarity: float, rare: DataFrame | None = None) -> DataFrame:
