@@ -252,22 +252,26 @@ def calendar_features(ot_dates: DataFrame) -> DataFrame:
 
     Input: one row per order with ``d, order_id, order_date, scoring_date``.
     """
-    newest = F.struct("d", "order_id")
-    dom = F.dayofmonth("order_date")
+    dom, wd = F.dayofmonth("order_date"), F.weekday("order_date")
     idx = lambda c: F.year(c) * 12 + F.month(c)
-    rel = idx("scoring_date") - idx("order_date")
-    rows = ot_dates.withColumns({"_dom": dom, "_rel": rel, "_mi": idx("order_date")})
-    return rows.groupBy(CID).agg(
-        F.min_by(F.dayofmonth("order_date"), newest).alias("last_dom"),
-        F.min_by(F.weekday("order_date"), newest).alias("last_weekday"),
-        F.min_by(F.month("order_date"), newest).alias("last_month"),
-        F.avg((F.col("_dom") <= 10).cast("int")).alias("share_dom_le10"),
-        F.avg((F.col("_dom") >= 21).cast("int")).alias("share_dom_ge21"),
-        F.avg((F.weekday("order_date") >= 5).cast("int")).alias("weekend_share"),
-        when_sum(F.col("_rel").between(10, 12)).alias("n_window_ya"),
-        when_sum(F.col("_rel").between(22, 24)).alias("n_window_ya2"),
-        when_sum(F.col("_rel").between(13, 15)).alias("n_before_window_ya"),
-        when_sum(F.col("_rel").between(7, 9)).alias("n_after_window_ya"),
-        F.countDistinct("_mi").alias("active_months"),
-        F.countDistinct(F.when(F.col("_rel") <= 12, F.col("_mi"))).alias("active_months_year"),
+    newest = F.struct("d", "order_id", dom.alias("dom"), wd.alias("wd"), F.month("order_date").alias("mo"))
+    # one row per customer, month and distance first: distinct months are then counted without a copy of the rows for each
+    months = ot_dates.groupBy(CID, idx("order_date").alias("_mi"), (idx("scoring_date") - idx("order_date")).alias("_rel")).agg(
+        F.min(newest).alias("_new"), F.count("order_date").alias("_n"), when_sum(dom <= 10).alias("_le10"), when_sum(dom >= 21).alias("_ge21"), when_sum(wd >= 5).alias("_end"), F.count(F.lit(1)).alias("_rows")
+    )
+    inside = lambda lo, hi: F.sum(F.when(F.col("_rel").between(lo, hi), F.col("_rows")).otherwise(0))
+    share = lambda c: F.sum(c) / F.nullif(F.sum("_n"), F.lit(0))
+    return months.groupBy(CID).agg(
+        F.min("_new")["dom"].alias("last_dom"),
+        F.min("_new")["wd"].alias("last_weekday"),
+        F.min("_new")["mo"].alias("last_month"),
+        share("_le10").alias("share_dom_le10"),
+        share("_ge21").alias("share_dom_ge21"),
+        share("_end").alias("weekend_share"),
+        inside(10, 12).alias("n_window_ya"),
+        inside(22, 24).alias("n_window_ya2"),
+        inside(13, 15).alias("n_before_window_ya"),
+        inside(7, 9).alias("n_after_window_ya"),
+        F.size(F.collect_set("_mi")).cast("long").alias("active_months"),
+        F.size(F.collect_set(F.when(F.col("_rel") <= 12, F.col("_mi")))).cast("long").alias("active_months_year"),
     )
