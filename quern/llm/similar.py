@@ -53,6 +53,7 @@ SPARE = 1.1  # partitions to choose from, relative to the number needed
 STEPS = 500  # of the dynamic programme
 ROWS = 255  # hashes whose bits are counted at once, in bytes
 CROWD = 16  # classes of different groups in one cell, above which rare shingles are compared instead
+LISTED = 1 << 16  # most frequent shingles that every task knows, 1 MB
 THRESHOLDS = {-1: None, 0: 0, 2: 1}  # bits apart: radius in which both sides write cells
 
 
@@ -258,33 +259,78 @@ def grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
     return df.drop("g").join(now, "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component")
 
 
-def rare_shingles(shingled: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """All shingles (rep, g, n, t) of (rep, g, h), and those rare enough to find partners by, with their place r in the set.
+def occurrences(shingled: DataFrame) -> DataFrame:
+    """(t, df): how many sets of (rep, g, h) hold each shingle. A batch counts its own before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(h.as_py(), "i8") for h in batch.column("h")]
+            t, n = np.unique(np.concatenate(held) if held else np.zeros(0, "i8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n.astype("i8"))], names=["t", "df"])
+
+    return shingled.select("h").mapInArrow(run, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
+
+
+def rare_shingles(shingled: DataFrame, similarity: float, listed: int = LISTED) -> tuple[DataFrame, DataFrame]:
+    """The sets (rep, g, h), written once, and their shingles (rep, g, n, t, df, r) that are rare enough to find partners
+    by, with their place r in the set.
 
     Shingles are ordered by the number of sets that hold them, then by value. The shorter set of a pair has its first
     common shingle among its first n - 2 s / (1 + s) n + 1, the longer one among its first n - s n + 1.
+    The last ``listed`` shingles of that order, a list of bounded size, are known to every task: a set gives its other
+    shingles, and of the listed ones only as many as the others leave room for. So close texts do not give what they
+    all hold, and the places are those among all shingles. Shingles of one set only come first; they are but counted.
     """
+    shingled = saved(shingled.select("rep", "g", "h"), "shingled")
+    often = saved(occurrences(shingled), "often")
+    last = often.where("df > 1").orderBy(F.desc("df"), F.desc("t")).limit(listed).toArrow()
+    order = np.argsort(last.column("t").to_numpy())
+    common, times = last.column("t").to_numpy()[order], last.column("df").to_numpy()[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, g, h in zip(*(batch.column(c).to_pylist() for c in ("rep", "g", "h"))):
                 v = np.frombuffer(h, "i8")
-                for i in range(0, len(v), 1 << 16):
-                    part = v[i : i + (1 << 16)]
-                    columns = [pa.array(np.full(len(part), x, "i8")) for x in (rep, g, len(v))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(part)], names=["rep", "g", "n", "t"])
-
-    tokens = saved(shingled.select("rep", "g", "h").mapInArrow(run, "rep long, g long, n long, t long"), "tokens")
-    often = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = tokens.join(often, "t").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")))
-    return tokens, saved(ranked.where((F.col("r") <= places(similarity)) & (F.col("df") > 1)), "rare")
+                at = np.minimum(np.searchsorted(common, v), max(len(common) - 1, 0))
+                known = common[at] == v if len(common) else np.zeros(len(v), bool)
+                others = int((~known).sum())
+                room = max(len(v) - ceil(len(v) * similarity - 1e-9) + 1 - others, 0)
+                first = np.lexsort((v[known], times[at[known]]))[:room]
+                t = np.concatenate([v[~known], v[known][first]])
+                df = np.concatenate([np.zeros(len(t) - len(first), "i8"), times[at[known]][first]])
+                for i in range(0, len(t), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    columns = [pa.array(np.full(len(t[part]), x, "i8")) for x in (rep, g, len(v), others)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(t[part]), pa.array(df[part])], names=["rep", "g", "n", "others", "t", "df"])
+
+    given = saved(shingled.mapInArrow(run, "rep long, g long, n long, others long, t long, df long"), "given")
+    counted = given.where("df = 0").drop("df").join(often.where("df > 1"), "t").withColumn("met", F.lit(1))
+    counted = counted.unionByName(given.where("df > 0").withColumn("met", F.lit(0)))
+    alone = F.col("others") - F.sum("met").over(Window.partitionBy("rep"))
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")) + alone)
+    return shingled, saved(ranked.where(F.col("r") <= places(similarity)).drop("others", "met"), "rare")
 
 
 def places(share: float) -> Column:
     return F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
 
 
-def to_centres(tokens: DataFrame, rare: DataFrame) -> DataFrame:
+def exploded(shingled: DataFrame) -> DataFrame:
+    """(rep, g, t): one row per shingle of (rep, g, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, g, h in zip(*(batch.column(c).to_pylist() for c in ("rep", "g", "h"))):
+                v = np.frombuffer(h, "i8")
+                for i in range(0, len(v), 1 << 16):
+                    part = v[i : i + (1 << 16)]
+                    columns = [pa.array(np.full(len(part), x, "i8")) for x in (rep, g)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(part)], names=["rep", "g", "t"])
+
+    return shingled.select("rep", "g", "h").mapInArrow(run, "rep long, g long, t long")
+
+
+def to_centres(shingled: DataFrame, rare: DataFrame) -> DataFrame:
     """Pairs (a, b): each set and the centre of the largest other group at each of its rare shingles.
 
     The centre of a group is the set whose shingles are the most frequent in the group: it has the largest overlap with
@@ -293,8 +339,10 @@ def to_centres(tokens: DataFrame, rare: DataFrame) -> DataFrame:
     top = rare.groupBy("t", "g").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "g"))["g"].alias("top"))
     met = saved(rare.join(top, "t").where("g <> top").select("rep", F.col("top").alias("g")).distinct(), "met")
     # a group of one set is its own centre
-    many = tokens.groupBy("g").agg((F.min("rep") < F.max("rep")).alias("many")).where("many")
-    members = tokens.join(many.join(met, "g", "left_semi"), "g", "left_semi")
+    reps = shingled.select("rep", "g")
+    many = reps.groupBy("g").agg((F.min("rep") < F.max("rep")).alias("many")).where("many")
+    reps = reps.join(many.join(met, "g", "left_semi"), "g", "left_semi").select("rep")
+    members = saved(exploded(shingled.join(reps, "rep", "left_semi")), "members")
     held = members.groupBy("g", "t").agg(F.count("*").alias("c"))
     overlap = members.join(held, ["g", "t"]).groupBy("g", "rep").agg(F.avg("c").alias("c"))
     centres = overlap.groupBy("g").agg(F.max(F.struct("c", "rep"))["rep"].alias("centre"))
@@ -341,9 +389,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     crowds = spots.groupBy("k").agg(F.count("*").alias("n"), F.min("g").alias("least"), F.max("g").alias("most"))
     crowds = saved(crowds.where((F.col("n") > CROWD) & (F.col("least") != F.col("most"))).select("k"), "crowds")
     crowded = saved(spots.join(crowds, "k", "left_semi").select("rep", "g").distinct(), "crowded")
-    shingled = sets(docs, rows, crowded.select("rep"), text, doc_id).join(crowded, "rep")
-    tokens, rare = rare_shingles(shingled, similarity)
-    links = saved(links.unionByName(alike(saved(to_centres(tokens, rare), "central"))), "links")
+    shingled, rare = rare_shingles(sets(docs, rows, crowded.select("rep"), text, doc_id).join(crowded, "rep"), similarity)
+    links = saved(links.unionByName(alike(saved(to_centres(shingled, rare), "central"))), "links")
     groups = components(links)
     rare = by_rare_shingles(shingled, similarity, saved(grouped(rare, groups), "rare"))
     spots = saved(grouped(spots.join(crowds, "k", "left_anti"), groups), "spots")

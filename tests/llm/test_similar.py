@@ -171,3 +171,23 @@ def test_stragglers_of_a_large_group_meet_its_centre(spark):
     assert {(0, i) for i in range(121, 181)} <= set(pairs) and len(pairs) <= 180
     links = spark.createDataFrame([(i, 0) for i in range(181)], "vertex long, component long")
     assert similar.by_rare_shingles(df, 0.8, similar.grouped(rare, links)).count() == 0
+
+
+def test_places_of_rare_shingles_are_those_among_all(spark):
+    """However few shingles every task knows, a set gives the same ones with the same places, and not what all hold."""
+    rng = np.random.default_rng(8)
+    stem = rng.integers(-(2**60), 2**60, 90)
+    sets = [np.unique(np.concatenate([rng.permutation(stem)[: 60 + i % 30], rng.integers(0, 40, i % 7), rng.integers(2**61, 2**62, i % 25)])).astype("i8") for i in range(80)]
+    shingled = spark.createDataFrame([(i, i // 3, bytearray(v.astype("i8").view("u8").tobytes())) for i, v in enumerate(sets)], "rep long, g long, h binary")
+    df = {}
+    for v in sets:
+        for t in v.tolist():
+            df[t] = df.get(t, 0) + 1
+    want = set()
+    for i, v in enumerate(sets):
+        first = sorted((df[t], t) for t in v.tolist())[: len(v) - -(-8 * len(v) // 10) + 1]
+        want |= {(i, t, n, r) for r, (n, t) in enumerate(first, 1) if n > 1}
+    for listed in (0, 20, 1000):
+        rows = similar.rare_shingles(shingled, 0.8, listed)[1]
+        assert {(r["rep"], r["t"], r["df"], r["r"]) for r in rows.collect()} == want and want
+    assert {r["t"]: r["df"] for r in similar.occurrences(shingled).collect()} == df
