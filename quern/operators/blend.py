@@ -12,9 +12,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.ordered import average_rank, join_keys, numbered, running
+from quern.functions.ordered import average_rank, hot_groups, join_keys, numbered, numbered_ties, ranked_rows, running, value_ranks
 from quern.operators.profile import pair_table, pairs_of
-from quern.session import cut_lineage
+from quern.session import cut_lineage, stored
 
 PRED_EPS = 1e-15
 
@@ -44,8 +44,13 @@ def weighted(df: DataFrame, weights: dict[str, float], out: str = "blend", lo: f
 def rank_pct(df: DataFrame, keys: Sequence[str], weights: dict[str, float], out: str = "blend", limit: int | None = None) -> DataFrame:
     """Weighted mean of percentile ranks inside each slice."""
     ranked = df
-    for m in weights:
-        ranked = average_rank(ranked, keys, m, f"_r_{m}", pct=True, limit=limit)
+    if hot_groups(df, keys, ranked_rows(limit)) is None:
+        for m in weights:
+            ranked = average_rank(ranked, keys, m, f"_r_{m}", pct=True, limit=limit)
+    else:  # written once for all sets
+        ranked = rows = stored(df)
+        for m in weights:
+            ranked = join_keys(ranked, value_ranks(rows, keys, m, f"_r_{m}", pct=True, limit=limit), [*keys, m])
     blend = add([F.col(f"_r_{m}") * F.lit(float(w)) for m, w in weights.items()]) / F.lit(float(sum(weights.values())))
     return ranked.withColumn(out, blend).drop(*[f"_r_{m}" for m in weights])
 
@@ -64,18 +69,20 @@ def rank_ecdf(train: DataFrame, rows: DataFrame, models: Sequence[str], out: str
 
 
 def _position(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, limit: int | None) -> DataFrame:
-    rows = numbered(df, keys, F.col(value), [value, tie], out, limit)
+    rows = numbered_ties(df, keys, value, tie, out, limit)
     return rows.withColumn(out, F.col(out) - 1)
 
 
 def rank_remap(df: DataFrame, anchor: str, support: str, weight: float, tie: str, out: str = "blend", limit: int | None = None) -> DataFrame:
     """Blend ranks 0..1 of two sets, then give the i-th row of the blend the i-th smallest anchor value."""
+    large = hot_groups(df, [], limit) is not None
     rows = _position(df, [], anchor, tie, "_pa", limit)
     rows = _position(rows, [], support, tie, "_ps", limit)
     n = df.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).scalar()
     rows = rows.withColumn("_b", F.round((F.lit(1 - weight) * F.col("_pa") + F.lit(weight) * F.col("_ps")) / n, 12))
-    rows = _position(rows, [], "_b", tie, "_pb", limit)
+    rows = stored(rows) if large else rows  # both sides of the last join read it
     sorted_anchor = rows.select(F.col("_pa").alias("_pb"), F.col(anchor).alias(out))
+    rows = _position(rows, [], "_b", tie, "_pb", limit)
     return rows.join(sorted_anchor, "_pb").drop("_pa", "_ps", "_b", "_pb")
 
 
@@ -134,8 +141,15 @@ def selective(df: DataFrame, anchor: str, support: str, tie: str, share: float =
         r = F.col("_pa") / F.greatest(n - 1, F.lit(1))
         eligible = (r <= 0.10) | (r >= 0.90)
     rows = rows.withColumn("_d", F.when(eligible, -F.round(F.abs(F.col(support) - F.col(anchor)), 12)).otherwise(F.lit(1.0)))
+    rest = None
+    if extreme_only and hot_groups(df, [], limit) is not None:
+        # the rows between the ends come last and are never moved: they need no number
+        rows = stored(rows)
+        rest = rows.where("_d > 0").withColumn("_rn", F.lit(None).cast("long"))
+        rows = rows.where("_d IS NULL OR _d <= 0")
     rows = numbered(rows, [], F.col("_d"), ["_d", tie], "_rn", limit)
-    chosen = (F.col("_rn") <= F.greatest(F.bround(n * F.lit(share), 0), F.lit(1.0))) & (F.col("_d") <= 0)
+    rows = rows if rest is None else rows.unionByName(rest)
+    chosen = (F.col("_d") <= 0) & (F.col("_rn") <= F.greatest(F.bround(n * F.lit(share), 0), F.lit(1.0)))
     moved = F.lit(1 - weight) * F.col(anchor) + F.lit(weight) * F.col(support)
     value = F.when(chosen, moved).otherwise(F.col(anchor))
     drop = [c for c in ("_pa", "_d", "_rn") if c in rows.columns]

@@ -31,7 +31,7 @@ def rk(m, part="PARTITION BY slice"):
 
 @query("blend_rank_pct", f"{PR} SELECT id, 0.5e0 * {rk('m1')} + 0.3e0 * {rk('m2')} + 0.2e0 * {rk('m3')} AS blend FROM pred", f="blend")
 def _(t):
-    return N.rank_pct(P.pred(t), ["slice"], {"m1": 0.5, "m2": 0.3, "m3": 0.2}).select("id", "blend")
+    return N.rank_pct(P.pred(t).select("id", "slice", "m1", "m2", "m3"), ["slice"], {"m1": 0.5, "m2": 0.3, "m3": 0.2}).select("id", "blend")
 
 
 @query(
@@ -53,7 +53,7 @@ b AS (SELECT *, row_number() OVER (ORDER BY round((0.95e0 * pa + 0.05e0 * ps) /
     f="blend",
 )
 def _(t):
-    return N.rank_remap(P.pred(t), "m1", "m2", 0.05, "id").select("id", "blend")
+    return N.rank_remap(P.pred(t).select("id", "m1", "m2"), "m1", "m2", 0.05, "id").select("id", "blend")
 
 
 @query(
@@ -113,7 +113,7 @@ SELECT id, CASE WHEN rn <= greatest(round_even(n * 0.02, 0), 1) AND (r <= 0.1 OR
     f="blend",
 )
 def _(t):
-    return N.selective(P.pred(t), "m1", "m2", "id", extreme_only=True).select("id", "blend", "changed")
+    return N.selective(P.pred(t).select("id", "m1", "m2"), "m1", "m2", "id", extreme_only=True).select("id", "blend", "changed")
 
 
 @query("blend_family_mean", f"{PR} SELECT id, 'gbt' AS family, (m1 + m4) / 2 AS value, 2 AS members FROM pred UNION ALL SELECT id, 'net', m2, 1 FROM pred", f="value")
