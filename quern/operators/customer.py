@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.ordered import framed, join_keys, numbered, quantiles
+from quern.functions.ordered import framed, hot_groups, join_keys, numbered, quantiles
 
 CID = "customer_id"
+SET_LINES = 100_000  # lines of a customer whose distinct values one task holds as sets
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -161,15 +162,20 @@ def seasonal_window(days: DataFrame, gap_days: int = 14, margin: int = 30) -> Da
     return days.groupBy(CID).agg(*aggs)
 
 
-def distinct_counts(lines: DataFrame, cols: Sequence[str] = ("product_id", "brand", "category", "category2", "gender")) -> DataFrame:
+def distinct_counts(lines: DataFrame, cols: Sequence[str] = ("product_id", "brand", "category", "category2", "gender"), limit: int = SET_LINES) -> DataFrame:
     """Exact distinct counts of several columns plus active weeks and months.
 
-    One long (customer, column, value) de-duplication instead of one expand per distinct aggregate; the
-    de-duplication shuffles on all three, so a very large customer is spread over tasks.
+    A line is sent once, to its customer's task, which holds the sets of one customer at a time. With customers above
+    ``limit`` lines there is one long (customer, column, value) de-duplication instead, shuffled on all three, so that a
+    very large customer is spread over tasks.
     """
-    kinds = {**{c: F.col(c).cast("string") for c in cols}}
-    kinds["week"] = F.floor(F.col("d") / 7).cast("string")
-    kinds["month"] = F.date_format("order_date", "yyyy-MM")
+    kinds = {c: F.col(c) for c in cols}
+    kinds["week"] = F.floor(F.col("d") / 7)
+    kinds["month"] = F.year("order_date") * 12 + F.month("order_date")
+    if hot_groups(lines, [CID], limit) is None:
+        narrow = lines.select(CID, *[v.alias(f"_{k}") for k, v in kinds.items()]).repartition(CID)
+        return narrow.groupBy(CID).agg(*[F.size(F.collect_set(f"_{k}")).cast("long").alias(f"n_{k}") for k in kinds])
+    kinds = {k: v.cast("string") for k, v in kinds.items()}
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])
     long = lines.select(CID, F.explode(pairs).alias("p")).select(CID, "p.*").where("value IS NOT NULL").distinct()
     return long.groupBy(CID).agg(*[when_sum(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
