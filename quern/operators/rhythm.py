@@ -277,17 +277,21 @@ def overdue_share(cycles: DataFrame) -> DataFrame:
 
 def repeats(lines: DataFrame, col: str) -> DataFrame:
     """Share of levels bought on 2+ days, most days for one level, share of the newest day's levels bought before."""
-    rec = lines.groupBy(CID).agg(F.min("d").alias("r"))
-    u = lines.where(F.col(col).isNotNull()).select(CID, col, "d").distinct().join(rec, CID)
-    per = u.groupBy(CID, col).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max((F.col("d") == F.col("r")).cast("int")).alias("in_last"),
-        F.max((F.col("d") > F.col("r")).cast("int")).alias("before"),
+    known = F.col(col).isNotNull()
+    # lines without a level only tell the newest day; levels of one customer with the same newest day are summed first
+    # dealt by level at once, so that a large customer is in several tasks; the days of one level are bounded by the calendar
+    dealt = lines.select(CID, col, "d").repartition(CID, col)
+    per = dealt.groupBy(CID, col).agg(F.size(F.collect_set("d")).alias("n"), F.min("d").alias("newest"), F.max("d").alias("oldest"))
+    days = per.groupBy(CID, "newest").agg(
+        F.count(col).alias("levels"),
+        when_sum(known & (F.col("n") >= 2)).alias("twice"),
+        F.max(F.when(known, F.col("n"))).alias("most"),
+        when_sum(known & (F.col("oldest") > F.col("newest"))).alias("before"),
     )
-    return per.groupBy(CID).agg(
-        F.avg((F.col("n") >= 2).cast("int")).alias("repeat_share"),
-        F.max("n").alias("max_days"),
-        F.avg(F.when(F.col("in_last") == 1, F.col("before"))).alias("last_seen_share"),
+    last = F.min_by(F.struct("before", "levels"), "newest")
+    out = days.groupBy(CID).agg(F.sum("twice").alias("twice"), F.sum("levels").alias("levels"), F.max("most").alias("max_days"), last.alias("last"))
+    return out.where("levels > 0").select(
+        CID, (F.col("twice") / F.col("levels")).alias("repeat_share"), "max_days", ratio("last.before", "last.levels").alias("last_seen_share")
     )
 
 
