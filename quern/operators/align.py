@@ -169,6 +169,7 @@ def beam(rows: DataFrame, payload: DataFrame, entity: str, pos: str, uid: str, c
 
 COARSE, FINE = 4, 8  # parts of a window whose means make its words
 BREAKS = (-0.6745, 0.0, 0.6745)  # fixed values: quartiles of the normal distribution
+SHORT, SHORT_ROWS = 128, 10_000  # known rows and rows of entities that are held in one row of arrays
 SLACK = 1e-8  # scores are rounded to nine digits; bounds this close below one are still looked at
 
 
@@ -202,12 +203,17 @@ def _word(means: Column, parts: int) -> Column:
     return out
 
 
-def _described(rows: DataFrame, window: Column, size: int) -> DataFrame:
-    """Adds ``_z`` (the window with mean 0 and deviation 1), its square sum, part means and words."""
+def _unit(window: Column, size: int) -> Column:
+    """The window with mean 0 and deviation 1."""
     flat = lambda w, mean: F.transform(w, lambda x: x - mean)
     over = lambda c: F.sqrt(_total(F.transform(c, lambda x: x * x)) / size) + 1e-6
     scaled = lambda c: _let(over(c), lambda sd: F.transform(c, lambda x: x / sd))
-    rows = rows.withColumn("_z", _let(window, lambda w: _let(_total(w) / size, lambda mean: _let(flat(w, mean), scaled))))
+    return _let(window, lambda w: _let(_total(w) / size, lambda mean: _let(flat(w, mean), scaled)))
+
+
+def _described(rows: DataFrame, window: Column, size: int) -> DataFrame:
+    """Adds ``_z`` (the window with mean 0 and deviation 1), its square sum, part means and words."""
+    rows = rows.withColumn("_z", _unit(window, size))
     rows = rows.withColumns({"_ss": _total(F.transform("_z", lambda x: x * x)), "_m4": _means(F.col("_z"), size, COARSE), "_m8": _means(F.col("_z"), size, FINE)})
     return rows.withColumns({"_c": _word(F.col("_m4"), COARSE), "_f": _word(F.col("_m8"), FINE)})
 
@@ -264,14 +270,53 @@ def best_windows(suffix: DataFrame, cand: DataFrame, entity: str, uid: str, size
     return best.select(entity, F.col("_u").alias(uid), F.col("m.score").alias("score"), F.col("m.v").alias("value"))
 
 
-def match_ncc(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: str, halves: Sequence[int] = (8, 15, 25), stride: int = 3, sharpness: float = 3.0, limit: int | None = None) -> DataFrame:
-    """Position of the best-correlated known window for each suffix row, per window size and mixed.
+def _smooth(values: Column) -> Column:
+    """Means over five values, fewer at the ends."""
+    around = lambda i: F.slice(values, F.greatest(i - 2, F.lit(0)) + 1, F.least(i + 2, F.size(values) - 1) - F.greatest(i - 2, F.lit(0)) + 1)
+    return F.transform(values, lambda _, i: _let(around(i), lambda w: _total(w) / F.size(w)))
 
-    The series is smoothed over five rows. Windows of the known part are whole and start at every ``stride``-th row;
-    those of the suffix are one per row, with the edge values repeated beyond the ends. Where the known part has no more
-    rows than a window, its last value is given with score 0. The mixed position weighs the sizes by
-    exp(sharpness x correlation). Input: ``prefix_frame`` columns; rows without a value of ``col`` take no part.
+
+def _short_matches(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: str, halves: Sequence[int], stride: int) -> DataFrame:
+    """(entity, uid, last_known, pos_h, score_h): every suffix row against all known windows of its entity.
+
+    An entity is one row that holds its two parts as arrays, so its windows are never sent anywhere.
     """
+    entry = F.struct(F.col(pos).alias("p"), F.col(uid).alias("u"), F.col(col).cast("double").alias("x"), F.col(known).alias("v"))
+    taken = F.col(col).isNotNull()
+    first = F.col("rn") <= F.col("n_known")
+    parts = {"_k": first & taken, "_s": ~first & taken, "_o": ~first & ~taken}
+    e = p.groupBy(entity).agg(F.first("last_known").alias("last_known"), *[F.sort_array(F.collect_list(F.when(c, entry))).alias(n) for n, c in parts.items()])
+    e = e.where((F.size("_s") > 0) | (F.size("_o") > 0))
+    value = lambda name: F.transform(name, lambda r: r["x"])
+    e = e.withColumns({"_kx": _smooth(value("_k")), "_sx": _smooth(value("_s"))})
+    # an entity without a name has no windows in common with another row
+    n = F.when(F.col(entity).isNotNull(), F.size("_k")).otherwise(0)
+
+    def windows(h: int) -> Column:
+        size = 2 * h + 1
+        at = lambda i: F.struct(_unit(F.slice("_kx", i + 1, F.lit(size)), size).alias("y"), F.get("_k", i + h)["v"].alias("v"))
+        return F.when(n > size, F.transform(F.sequence(F.lit(0), n - size, F.lit(stride)), at))
+
+    listed = {f"_c{h}": windows(h) for h in halves}
+    top = max(halves)
+    ends = F.concat(F.array_repeat(F.get("_sx", F.lit(0)), top), F.col("_sx"), F.array_repeat(F.get("_sx", F.size("_sx") - 1), top))
+    e = e.withColumns(listed).withColumns({"_e": ends, "_n": F.size("_s"), "_u": F.transform(F.concat("_s", "_o"), lambda r: r["u"])})
+    rows = e.select(entity, "last_known", *listed, "_e", "_n", F.posexplode("_u").alias("_i", uid))
+
+    def best(h: int) -> Column:
+        size = 2 * h + 1
+        score = lambda z, c: F.round(_product(z, c["y"], size), 9)
+        highest = lambda z: F.array_max(F.transform(f"_c{h}", lambda c, i: F.struct(score(z, c).alias("score"), (-i).alias("at"), c["v"].alias("v"))))
+        window = F.slice("_e", F.col("_i") + (top - h + 1), F.lit(size))
+        return F.when(F.col(f"_c{h}").isNotNull() & (F.col("_i") < F.col("_n")), _let(_unit(window, size), highest))
+
+    rows = rows.withColumns({f"_m{h}": best(h) for h in halves})
+    found = {f"pos_{h}": F.coalesce(f"_m{h}.v", "last_known") for h in halves} | {f"score_{h}": F.coalesce(f"_m{h}.score", F.lit(0.0)) for h in halves}
+    return rows.select(entity, uid, "last_known", *[c.alias(n) for n, c in found.items()])
+
+
+def _long_matches(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: str, halves: Sequence[int], stride: int, limit: int | None) -> DataFrame:
+    """The same for entities of any length, by the words of their windows."""
     part = F.when(F.col("rn") <= F.col("n_known"), "known").otherwise("suffix")
     rows = p.withColumn("_part", part).where(F.col(col).isNotNull())
     keys = [entity, "_part"]
@@ -293,6 +338,29 @@ def match_ncc(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: st
         best = best_windows(suffix, cand, entity, uid, size).withColumnsRenamed({"score": f"score_{h}", "value": f"pos_{h}"})
         out = out.join(best, [entity, uid], "left")
         out = out.withColumns({f"pos_{h}": F.coalesce(f"pos_{h}", "last_known"), f"score_{h}": F.coalesce(f"score_{h}", F.lit(0.0))})
+    return out
+
+
+def match_ncc(p: DataFrame, entity: str, pos: str, uid: str, known: str, col: str, halves: Sequence[int] = (8, 15, 25), stride: int = 3, sharpness: float = 3.0, limit: int | None = None, short: int = SHORT) -> DataFrame:
+    """Position of the best-correlated known window for each suffix row, per window size and mixed.
+
+    The series is smoothed over five rows. Windows of the known part are whole and start at every ``stride``-th row;
+    those of the suffix are one per row, with the edge values repeated beyond the ends. Where the known part has no more
+    rows than a window, its last value is given with score 0. The mixed position weighs the sizes by
+    exp(sharpness x correlation). Input: ``prefix_frame`` columns; rows without a value of ``col`` take no part.
+    Entities of up to ``short`` known rows compare all windows in one row of arrays, longer ones look them up by words.
+    """
+    args = (entity, pos, uid, known, col, halves, stride)
+    sizes = p.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows"), F.max("n_known").alias("_known"))
+    long = (F.col("_known") > short) | (F.col("_rows") > SHORT_ROWS)
+    some, all_ = sizes.agg(F.max(long), F.min(long)).first()
+    if not some:
+        out = _short_matches(p, *args)
+    elif all_:
+        out = _long_matches(p, *args, limit)
+    else:
+        marked = join_keys(p, sizes.select(entity, long.alias("_long")), [entity])
+        out = _short_matches(marked.where("NOT _long"), *args).unionByName(_long_matches(marked.where("_long").drop("_long"), *args, limit))
     weights = [F.exp(F.lit(sharpness) * F.col(f"score_{h}")) for h in halves]
     moved = [F.col(f"pos_{h}") * w for h, w in zip(halves, weights)]
     return out.withColumn("matched", sum(moved[1:], moved[0]) / sum(weights[1:], weights[0])).drop("last_known")

@@ -81,3 +81,20 @@ def test_bounds_leave_most_candidates_out(series):
         away = ((ma[:, None] - mb[None]) ** 2 * np.array([n for _, n in cut])).sum(2)
         bound = ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - away) / (2 * size)
         assert (a @ b.T / size <= bound + 1e-9).all()
+
+
+def test_short_series_are_matched_in_one_row(spark, series):
+    """Series of few known rows need no join of windows and get what the search by words gives."""
+    p = series[1].where("e > 2")
+    odd = "e long, u long, md double, value double, tvt double, rn long, n_known long, last_known double, shape string"
+    holes = [(6, 900 + i, float(i), None if i % 7 == 3 else float(i * i % 11), 50.0 + i if i < 40 else None, i + 1, 40, 89.0, "x") for i in range(60)]
+    nameless = [(None, 990 + i, float(i), float(i % 4), 50.0 + i if i < 40 else None, i + 1, 40, 89.0, "x") for i in range(44)]
+    p = p.unionByName(spark.createDataFrame(holes + nameless, odd))
+    args = (p, "e", "md", "u", "tvt", "value")
+    short, long = align.match_ncc(*args), align.match_ncc(*args, short=0)
+    assert "Join" not in short._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: r["u"]
+    got, want = (sorted((r.asDict() for r in d.collect()), key=key) for d in (short, long))
+    assert len(got) == 10 + 40 + 4 + 20 + 4
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w, abs=2e-9, nan_ok=True)
