@@ -5,12 +5,14 @@ Nodes: (ds, node_id, t, x, y); edges: (source_id, target_id, prob, distance).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.ordered import numbered
 from quern.operators.spatial import within
-from quern.session import cut_lineage
+from quern.session import cut_lineage, stored
 
 
 def mutual_best(pairs: DataFrame, cost: str) -> DataFrame:
@@ -77,13 +79,39 @@ def ends_starts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.unionByName(nodes.join(inc, "node_id", "left_anti").withColumn("kind", F.lit("start")))
 
 
+def _trees(e: DataFrame) -> DataFrame | None:
+    """(node_id, component) of the nodes with edges u -> v, None unless every node has one source and no edges run in a circle."""
+    n, single = e.agg(F.count(F.lit(1)), F.countDistinct("v")).first()
+    if n != single:
+        return None
+    # where a node points, and whether that is the start of its tree
+    known = cut_lineage(e.join(e.select(F.col("v").alias("u"), F.lit(False).alias("end")), "u", "left").select(F.col("v").alias("node"), F.col("u").alias("to"), F.coalesce("end", F.lit(True)).alias("end")))
+    done, open_, left = known.where("end"), known.where("NOT end"), n
+    while True:
+        last, left = left, open_.count()
+        if not left:
+            break
+        if left == last:  # fewer nodes are open after each round, unless edges run in a circle
+            return None
+        further = done.unionByName(open_).select(F.col("node").alias("to"), F.col("to").alias("_t"), "end")
+        got = cut_lineage(open_.select("node", "to").join(further, "to").select("node", F.col("_t").alias("to"), "end"))
+        done, open_ = done.unionByName(got.where("end")), got.where("NOT end")
+    least = done.groupBy("to").agg(F.least(F.min("node"), F.first("to")).alias("component"))
+    inner = done.join(least, "to").select(F.col("node").alias("node_id"), "component")
+    return inner.unionByName(least.select(F.col("to").alias("node_id"), "component"))
+
+
 def components(nodes: DataFrame, edges: DataFrame, a: str = "source_id", b: str = "target_id") -> DataFrame:
     """(node_id, component): smallest node id of each connected component.
 
-    Alternating star steps: every node hands its larger neighbours, then its smaller ones, to the smallest node it
+    Where every node has one source, nodes find the start of their tree by steps that double. Other edges take
+    alternating star steps: every node hands its larger neighbours, then its smaller ones, to the smallest node it
     knows. Long chains shorten by a factor each round, and hub nodes only ever meet one row of minima.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    found = _trees(cut_lineage(e.distinct()))
+    if found is not None:
+        return nodes.join(found, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
     while True:  # ends when a round changes nothing: the edges are then stars around the smallest nodes
@@ -202,28 +230,49 @@ def forks(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("source_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children")).where("children >= 2")
 
 
+def descendants(start: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, node): the nodes of ``start`` and all nodes reached from them along the edges.
+
+    Where every node has one source, the steps double: a node gets what its ancestor 1, 2, 4, ... steps back was reached
+    by, so the rounds grow with the logarithm of the longest lineage. Other edges are walked one step a round.
+    """
+    e = cut_lineage(edges.select(F.col("source_id").alias("back"), F.col("target_id").alias("node")).where("back <> node").distinct())
+    start = cut_lineage(start.select(*keys, "node").distinct())
+    left, single = e.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
+    if left == single:
+        step, reach = e, start
+        while left:
+            reach = reach.unionByName(cut_lineage(step.join(reach.withColumnRenamed("node", "back"), "back").select(*keys, "node")))
+            step = cut_lineage(step.join(step.select(F.col("node").alias("back"), F.col("back").alias("_b")), "back").select(F.col("_b").alias("back"), "node"))
+            last, left = left, step.count()
+            if left == last:  # fewer nodes have an ancestor twice as far, unless edges run in a circle
+                break
+        else:
+            return reach
+    front = reach = start
+    while True:
+        front = front.join(e.select(F.col("back").alias("node"), F.col("node").alias("_n")), "node").select(*keys, F.col("_n").alias("node")).distinct()
+        front = cut_lineage(front.join(reach, [*keys, "node"], "left_anti"))
+        if front.isEmpty():
+            return reach
+        reach = reach.unionByName(front)
+
+
 def fork_confusion(pred_edges: DataFrame, true_edges: DataFrame, match: DataFrame, pred_comp: DataFrame) -> DataFrame:
     """TP, FP, FN divisions: the two child lineages of a true division and its anchor must meet in one forked component."""
     tf = forks(true_edges).select(F.col("node_id").alias("src"))
     kids = true_edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("kid")).join(tf, "src")
     two = kids.groupBy("src").agg(F.slice(F.array_sort(F.collect_set("kid")), 1, 2).alias("k")).select("src", F.posexplode("k").alias("side", "node"))
-    nxt = true_edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("_n"))
-    reach = front = cut_lineage(two)
-    while True:  # descendants, one frame per round, to the last frame of the longest lineage
-        front = front.join(nxt, "node").select("src", "side", F.col("_n").alias("node")).distinct()
-        front = cut_lineage(front.join(reach, ["src", "side", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        reach = reach.unionByName(front)
+    reach = descendants(two, true_edges, ["src", "side"])
     tp_ = match.select(F.col("true_id").alias("node"), F.col("pred_id"))
-    comp = pred_comp.select(F.col("node_id").alias("pred_id"), "component")
+    comp = stored(pred_comp.select(F.col("node_id").alias("pred_id"), "component"))
     hit = reach.join(tp_, "node").join(comp, "pred_id").select("src", "side", "component").distinct()
     both = hit.groupBy("src", "component").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("src", "component")
     parent = true_edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("node")).join(tf, "src")
     anchors = tf.select("src", F.col("src").alias("node")).unionByName(parent).join(tp_, "node").join(comp, "pred_id").select("src", "component").distinct()
     pf = forks(pred_edges).select(F.col("node_id").alias("pred_id"))
     forked = pf.join(comp, "pred_id").select("component").distinct()
-    good = both.join(anchors, ["src", "component"]).join(forked, "component").select("src").distinct()
+    good = cut_lineage(both.join(anchors, ["src", "component"]).join(forked, "component").select("src").distinct())
     n = lambda d: d.agg(F.count(F.lit(1)).alias("n")).scalar()
     has_out = true_edges.select(F.col("source_id").alias("node")).distinct()
     fp = pf.join(match, "pred_id").select(F.col("true_id").alias("node")).join(has_out, "node", "left_semi").join(good.select(F.col("src").alias("node")), "node", "left_anti")
