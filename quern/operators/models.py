@@ -162,10 +162,19 @@ def feature_views(df: DataFrame, views: dict[str, Sequence[str]], label: str, fo
     return out
 
 
+def _forest_importance(ready: DataFrame, label: str, seed: int, trees: int) -> list[float]:
+    """Impurity importances of a forest on rows with assembled features ``_v``."""
+    m = RandomForestClassifier(featuresCol="_v", labelCol=label, numTrees=trees, maxDepth=5, seed=seed).fit(ready)
+    return [float(x) for x in m.featureImportances.toArray()]
+
+
+def _ready(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+    rows = _numeric(df, cols).withColumn(label, F.col(label).cast("double"))
+    return Pipeline(stages=prepared(cols, False)).fit(rows).transform(rows)
+
+
 def tree_importance(df: DataFrame, cols: Sequence[str], label: str, seed: int = 0, trees: int = 10) -> list[float]:
-    m = Pipeline(stages=[*prepared(cols, False), RandomForestClassifier(featuresCol="_v", labelCol=label, numTrees=trees, maxDepth=5, seed=seed)])
-    fitted = m.fit(_numeric(df, cols).withColumn(label, F.col(label).cast("double")))
-    return [float(x) for x in fitted.stages[-1].featureImportances.toArray()]
+    return _forest_importance(_ready(df, cols, label), label, seed, trees)
 
 
 def shuffled(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
@@ -177,14 +186,18 @@ def shuffled(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
     return a.join(b, "_a").drop("_a", label).withColumnRenamed("_y", label)
 
 
-def null_importance(df: DataFrame, cols: Sequence[str], label: str, id_col: str, rounds: int = 5, share: float = 0.9) -> DataFrame:
-    """Keep a feature if its importance beats the given percentile of its importances on shuffled labels.
+def null_importance(df: DataFrame, cols: Sequence[str], label: str, id_col: str, rounds: int = 6, share: float = 0.9, fits: int = 3, trees: int = 10) -> DataFrame:
+    """Keep a feature if its importance, the mean of ``fits`` forests, beats the given percentile of its importances on
+    ``rounds`` shuffled labels.
 
-    A fit reads its rows several times, so the table and each shuffled copy are written once.
+    A fit reads its rows several times, so the table and each shuffled copy are written once. Features are filled and
+    assembled once for all fits: only labels are shuffled.
     """
     df = stored(df.select(*dict.fromkeys([id_col, label, *cols])))
-    real = tree_importance(df, cols, label)
-    null = [tree_importance(stored(shuffled(df, id_col, label, s)), cols, label, s) for s in range(rounds)]
+    ready = stored(_ready(df, cols, label).select(id_col, label, "_v"))
+    each = [_forest_importance(ready, label, s, trees) for s in range(fits)]
+    real = [sum(x) / fits for x in zip(*each)]
+    null = [_forest_importance(stored(shuffled(ready, id_col, label, s)), label, s, trees) for s in range(rounds)]
     rows = [(c, real[i], float(r[i])) for r in null for i, c in enumerate(cols)]
     t = df.sparkSession.createDataFrame(rows, "feature string, importance double, null_importance double")
     out = t.groupBy("feature", "importance").agg(F.percentile("null_importance", F.lit(share)).alias("threshold"))

@@ -64,7 +64,7 @@ def _(t):
 
 @query("null_importance_select")
 def _(t):
-    return L.null_importance(rows(t), NUM, "y", "id", rounds=3)
+    return L.null_importance(rows(t), NUM, "y", "id")
 
 
 @query("feature_budget")
