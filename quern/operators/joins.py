@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,31 +90,98 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 SHORT = 40  # letters of a title up to which letters are dropped: about 800 keys for two edits
 PIECE = 8  # letters of the pieces by which contained titles are found
+FILTER_BITS = 27  # bits of a filter, as a power of two: 16 MB, however many keys there are
 
 
-def shortened(d: DataFrame, edits: int) -> DataFrame:
-    """(k, h): each key of up to ``SHORT`` + ``edits`` letters with all that is left without up to ``edits`` of them."""
-    rows = d.where(F.length("k") <= SHORT + edits).withColumn("h", F.col("k"))
-    out = rows
-    for _ in range(edits):
-        drop = lambda i: F.concat(F.substring("h", F.lit(1), i - 1), F.substring("h", i + 1, F.length("h")))
-        rows = rows.where("h <> ''").select("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("h")), drop))).alias("h")).distinct()
-        out = out.unionByName(rows)
-    return out.select("k", F.xxhash64("h").alias("h"))
+def shortened(d: DataFrame, edits: int, bits=None) -> DataFrame:
+    """(k, h): each key of up to ``SHORT`` + ``edits`` letters with the hashes of all that is left without up to ``edits`` of them.
+
+    Made where the key is; of a key with many, only those that may be in ``bits``. Keys are plain letters, digits and blanks.
+    """
+    rate = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+    up = np.array([pow(rate, i, 1 << 64) for i in range(SHORT + edits)], "u8")
+    one, two = (np.uint64(pow(rate, -i, 1 << 64)) for i in (1, 2))
+
+    def run(batches):
+        for t in batches:
+            k = t.column("k")
+            text = np.frombuffer("".join(k.to_pylist()).encode(), "u1").astype("u8") + np.uint64(1)
+            size = np.asarray(pc.binary_length(k)).astype("i8")
+            start = np.cumsum(size) - size
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                sums = np.zeros((int(n) + 1, len(rows)), "u8")  # of the letters before each place, by their places
+                np.cumsum((text[start[rows][:, None] + np.arange(n)] * up[:n]).T, axis=0, out=sums[1:])
+                left = [sums[n]] + [sums[i] + (sums[n] - sums[i + 1]) * one for i in range(n)]
+                if edits == 2:
+                    left += [sums[i] + (sums[j] - sums[i + 1]) * one + (sums[n] - sums[j + 1]) * two for i in range(n) for j in range(i + 1, n)]
+                h = np.concatenate(left)
+                h = ((h ^ (h >> np.uint64(29))) * np.uint64(rate) >> np.uint64(1)).astype("i8")
+                at = np.tile(rows, len(left))
+                if bits is not None:
+                    x = h & ((1 << FILTER_BITS) - 1)
+                    hit = (bits.value[x >> 3] >> (x & 7).astype("u1")) & 1 == 1
+                    h, at = h[hit], at[hit]
+                yield pa.RecordBatch.from_arrays([k.take(pa.array(at)), pa.array(h)], names=["k", "h"])
+
+    return d.where(F.length("k") <= SHORT + edits).select("k").mapInArrow(run, "k string, h long")
+
+
+def pieces(d: DataFrame, size: Column | None = None) -> DataFrame:
+    """(k, hs): each key with the hashes of its pieces of ``PIECE`` (or ``size``) letters; shorter keys are left out."""
+    n = F.lit(PIECE) if size is None else size
+    grams = F.transform(F.sequence(F.lit(1), F.length("k") - n + 1), lambda i: F.xxhash64(F.substring("k", i, n)))
+    return d.where(F.length("k") >= n).select("k", F.array_distinct(grams).alias("hs"))
+
+
+def bits_of(hashes: DataFrame):
+    """Broadcast bits of the hashes in column ``h``: of fixed size, so many hashes fill it and let more pass."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = hashes.select(bit.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m"))
+    got = words.toArrow()  # a row per 64 bits at most
+    table = np.zeros(1 << (FILTER_BITS - 6), "i8")
+    table[got["w"].to_numpy()] = got["m"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table.view("u1"))
+
+
+def probed(lists: DataFrame, bits, every: bool = False) -> DataFrame:
+    """(k, h): the hashes of each key that may be in ``bits``, made where the key is; or with ``every`` the keys of which all may be."""
+
+    def run(batches):
+        for t in batches:
+            n, h = np.asarray(t.column("hs").value_lengths()), np.asarray(t.column("hs").flatten())
+            x = h & ((1 << FILTER_BITS) - 1)
+            hit = (bits.value[x >> 3] >> (x & 7).astype("u1")) & 1 == 1
+            row = np.repeat(np.arange(len(n)), n)
+            if every:
+                yield pa.RecordBatch.from_arrays([t.column("k").take(pa.array(np.flatnonzero(np.bincount(row[hit], minlength=len(n)) == n)))], names=["k"])
+            else:
+                yield pa.RecordBatch.from_arrays([t.column("k").take(pa.array(row[hit])), pa.array(h[hit])], names=["k", "h"])
+
+    return lists.mapInArrow(run, "k string" if every else "k string, h long")
+
+
+def each(lists: DataFrame) -> DataFrame:
+    return lists.select("k", F.explode("hs").alias("h"))
 
 
 def contained(inner: DataFrame, outer: DataFrame, inner_name: str, outer_name: str) -> DataFrame:
-    """Pairs of keys that may lie in another, by the rarest piece of ``PIECE`` letters of the inner one (all of it, if shorter)."""
-    grams = lambda size: F.transform(F.sequence(F.lit(1), F.length("k") - size + 1), lambda i: F.substring("k", i, size))
-    sizes = inner.where(F.length("k") < PIECE).select(F.length("k").alias("n")).distinct()
-    short = outer.join(F.broadcast(sizes), F.length("k") >= F.col("n")).select("k", F.explode(F.array_distinct(grams(F.col("n")))).alias("h"))
-    pieces = lambda d: d.where(F.length("k") >= PIECE).select("k", F.explode(F.array_distinct(grams(F.lit(PIECE)))).alias("h"))
-    holds = pieces(outer)
-    often = holds.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    """Pairs of keys that may lie in another, by the rarest piece of ``PIECE`` letters of the inner one (all of it, if shorter).
+
+    Inner keys with a piece that no outer key holds, and outer pieces by which no inner key is sought, are told by a filter
+    of fixed size where the pieces are made, and are not sent.
+    """
+    brief = inner.where(F.length("k") < PIECE)
+    possible = stored(probed(pieces(inner), bits_of(each(pieces(outer))), every=True))
+    mine = stored(each(pieces(possible)))
+    often = probed(pieces(outer), bits_of(mine)).groupBy("h").agg(F.count(F.lit(1)).alias("f"))
     # a piece that no outer key holds leaves its key without a match
-    own = pieces(inner).join(often.hint("merge"), "h", "left").groupBy("k").agg(F.min_by("h", F.struct(F.coalesce("f", F.lit(0)), "h")).alias("h"))
-    own = own.unionByName(inner.where(F.length("k") < PIECE).select("k", F.col("k").alias("h")))
-    got = own.select(F.col("k").alias(inner_name), "h").join(holds.unionByName(short).select(F.col("k").alias(outer_name), "h").hint("merge"), "h")
+    own = mine.join(often.hint("merge"), "h", "left").groupBy("k").agg(F.min_by("h", F.struct(F.coalesce("f", F.lit(0)), "h")).alias("h"))
+    own = stored(own.unionByName(brief.select("k", F.xxhash64("k").alias("h"))))
+    bits = bits_of(own)
+    sizes = brief.select(F.length("k").alias("n")).distinct()
+    holds = probed(pieces(outer), bits).unionByName(probed(pieces(outer.join(F.broadcast(sizes), F.length("k") >= F.col("n")), F.col("n")), bits))
+    got = own.select(F.col("k").alias(inner_name), "h").join(holds.select(F.col("k").alias(outer_name), "h").hint("merge"), "h")
     return got.where(F.contains(outer_name, F.col(inner_name))).select("lk", "rk")
 
 
@@ -123,8 +193,9 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_title: str
     further away is settled. The rest, and keys above ``SHORT`` letters, meet through rare bigrams: an edit touches at
     most two bigrams, so two titles within the allowed distance must share one of each other's rarest few.
     """
-    lk = stored(left.select(title_key(left_title).alias("k")).where("k <> ''").distinct())
-    rk = stored(right.select(title_key(right_title).alias("k")).where("k <> ''").distinct())
+    spread = 4 * left.sparkSession.sparkContext.defaultParallelism  # keys are few bytes with much work each
+    lk = stored(left.select(title_key(left_title).alias("k")).where("k <> ''").distinct().repartition(spread))
+    rk = stored(right.select(title_key(right_title).alias("k")).where("k <> ''").distinct().repartition(spread))
     ids = right.select(title_key(right_title).alias("rk"), right_id).groupBy("rk").agg(F.min(right_id).alias(right_id))
     ids = stored(ids)
 
@@ -140,7 +211,9 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_title: str
     found = found.unionByName(judged(contained(lk, rk, "lk", "rk"))).unionByName(judged(contained(rk, lk, "rk", "lk")))
     left_over, best = lk, None
     for edits in (1, 2):
-        near = meet(shortened(left_over, edits), shortened(rk, edits)).distinct()
+        own = stored(shortened(left_over, edits))
+        # what the other titles leave is sent only where one of these may have left it too
+        near = meet(own, shortened(rk, edits, bits_of(own))).distinct()
         found = (best if best is not None else found).unionByName(judged(near))
         best = stored(found.groupBy("lk").agg(F.min("b").alias("b")))
         # further away: one edit more, in a title longer by all of them
